@@ -5,19 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import line_dedup, quality_rules, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without lines that repeat an earlier one."""
+    return line_dedup.apply(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every near-duplicate with the document that stays for it."""
+    return simhash.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that pass the risk-controlled rules."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_rules.apply(docs, labels).drop("text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op8_quality_rules,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_line_dedup, op4_simhash, op8_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
