@@ -100,6 +100,25 @@ def fingerprint() -> Column:
     return F.xxhash64(F.col("text"))
 
 
+#: Words of 64 bits in a membership sketch, which bounds what is broadcast for it: 2**18 rows of 16 bytes.
+SKETCH_WORDS = 1 << 18
+
+
+def maybe_among(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """df's rows whose key may be among the long column `k` of wanted, none of those left out.
+
+    wanted is reduced to a blocked Bloom filter of SKETCH_WORDS words, three bits a key. It is of this size for any input, so
+    it can be broadcast; for more keys than it can tell apart it lets more rows through, and the exact join that follows
+    has more to do.
+    """
+    word = lambda k: F.pmod(F.xxhash64(k), F.lit(SKETCH_WORDS))
+    bit = lambda k, seed: F.shiftleft(F.lit(1).cast("long"), F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(64)).cast("int"))
+    mask = lambda k: bit(k, 1).bitwiseOR(bit(k, 2)).bitwiseOR(bit(k, 3))
+    sketch = wanted.groupBy(word(F.col("k")).alias("__word")).agg(F.bit_or(mask(F.col("k"))).alias("__mask"))
+    hit = (word(key) == F.col("__word")) & (mask(key).bitwiseAND(F.col("__mask")) == mask(key))
+    return df.join(F.broadcast(sketch), hit, "left_semi")
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

@@ -13,7 +13,8 @@ is that variant (an insertion), or to a line with the same variant at the same p
 of every joined pair is then verified on the texts. Exact copies of a line need no variant: a digest of 128 bits
 groups them. No candidate is dropped, and none of this depends on how often a line occurs.
 
-Text is shuffled for two things only: to fetch the candidate lines, and to join what goes with its document.
+Text is shuffled for two things only: to fetch the candidate lines (of documents that a broadcast sketch of fixed size lets
+through), and to join what goes with its document.
 
 Defined results: rows with a null doc_id or text pass unchanged, as they have no rank; an empty text stays; rows that
 share a doc_id and a text are one document in several copies, which lose the same lines, and rows that share a doc_id
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textvec as tv
-from .common import CHUNK_CHARS, fingerprint, map_rows, materialize, require, spark_to_arrow
+from .common import CHUNK_CHARS, fingerprint, map_rows, materialize, maybe_among, require, spark_to_arrow
 
 ID = ["h1", "h2"]
 RANK = ["doc_id", "line_no", "fp"]
@@ -149,13 +150,15 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, text: str) -> Iter
 def near_copies(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     """Digests of the distinct lines that have an earlier one within one edit."""
     w = Window.partitionBy("key")
-    shared = (
+    shared = materialize(
         distinct.select(*ID, "first.*", F.explode("keys").alias("key"))
         .withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1")
-        .groupBy("doc_id", "fp").agg(F.collect_list(F.struct("line_no", *ID, "key")).alias("wanted"))
+        .groupBy("doc_id", "fp").agg(F.collect_list(F.struct("line_no", *ID, "key")).alias("wanted")),
+        "shared",
     )
     wanted = shared.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), "wanted")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint().alias("fp"), "text").where("doc_id is not null and text is not null")
+    own = maybe_among(own, F.col("fp"), shared.select(F.col("fp").alias("k")))
     found = own.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.col("fp") == F.col("__fp"))).select("doc_id", "fp", "wanted", "text")
 
     def fetch(cols: list[list]) -> dict:
