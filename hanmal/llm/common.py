@@ -112,7 +112,7 @@ def maybe_among(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     has more to do.
     """
     word = lambda k: F.pmod(F.xxhash64(k), F.lit(SKETCH_WORDS))
-    bit = lambda k, seed: F.shiftleft(F.lit(1).cast("long"), F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(64)).cast("int"))
+    bit = lambda k, seed: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(64)).cast("int"))
     mask = lambda k: bit(k, 1).bitwiseOR(bit(k, 2)).bitwiseOR(bit(k, 3))
     sketch = wanted.groupBy(word(F.col("k")).alias("__word")).agg(F.bit_or(mask(F.col("k"))).alias("__mask"))
     hit = (word(key) == F.col("__word")) & (mask(key).bitwiseAND(F.col("__mask")) == mask(key))

@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality_rules, simhash
+from . import line_dedup, mixing, packing, quality_rules, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, domain posteriors, fitted rate and copies drawn."""
+    return mixing.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("fp")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents without lines that repeat an earlier one."""
     return line_dedup.apply(table(spark, sf_dir, "documents"))
@@ -22,11 +27,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's length bucket, batch and slot."""
+    return packing.apply(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that pass the risk-controlled rules."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_rules.apply(docs, labels).drop("text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_line_dedup, op4_simhash, op8_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_line_dedup, op4_simhash, op5_packing, op8_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
