@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, packing, quality_rules, simhash
+from . import line_dedup, mixing, packing, quality_rules, simhash, substring_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,5 +38,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, labels).drop("text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_line_dedup, op4_simhash, op5_packing, op8_quality_rules)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated passage: its document and offsets, and the document that keeps it."""
+    return substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("fp")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_line_dedup, op4_simhash, op5_packing, op8_quality_rules, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
