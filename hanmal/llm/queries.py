@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, packing, quality_rules, simhash, substring_dedup
+from . import line_dedup, mil_quality, mixing, packing, quality_rules, simhash, substring_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score from its attention-weighted passages, and whether to keep it."""
+    return mil_quality.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, domain posteriors, fitted rate and copies drawn."""
     return mixing.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("fp")
@@ -43,5 +48,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("fp")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_line_dedup, op4_simhash, op5_packing, op8_quality_rules, op10_substring_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mil_quality, op2_mixing, op3_line_dedup, op4_simhash, op5_packing, op8_quality_rules, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
