@@ -1,0 +1,7 @@
+"""Korean text analytics on Spark DataFrames."""
+
+__version__ = "0.1.0"
+
+
+def version() -> str:
+    return __version__
