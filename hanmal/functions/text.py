@@ -43,11 +43,14 @@ def lines(df: DataFrame, text: str, *keep: str, line: str = "line", index: str =
 
 def tokenize(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """One row for each word of a text column: word_idx, lex, c_begin, c_len, b_begin, b_len."""
-    found = F.arrays_zip(words(F.col(text)).alias("lex"), word_begins(chars(F.col(text))).alias("c_begin"))
-    row = df.where(F.length(F.regexp_replace(text, f"[{SPACES}]+", "")) > 0).select(*keep, text, F.posexplode(found).alias("word_idx", "w"))
+    # the character array is a column of its own: inside the lambda it would be split anew for each character
+    each = df.where(F.length(F.regexp_replace(text, f"[{SPACES}]+", "")) > 0).select(*keep, text, chars(F.col(text)).alias("__chars"), (F.octet_length(text) == F.char_length(text)).alias("__ascii"))
+    found = F.arrays_zip(words(F.col(text)).alias("lex"), word_begins(F.col("__chars")).alias("c_begin"))
+    row = each.select(*keep, text, "__ascii", F.posexplode(found).alias("word_idx", "w"))
+    before = F.when(F.col("__ascii"), F.col("w.c_begin")).otherwise(F.octet_length(F.substring(F.col(text), F.lit(1), F.col("w.c_begin"))))
     return row.select(
         *keep, "word_idx", F.col("w.lex").alias("lex"), F.col("w.c_begin").alias("c_begin"), F.char_length("w.lex").alias("c_len"),
-        F.octet_length(F.substring(F.col(text), F.lit(1), F.col("w.c_begin"))).alias("b_begin"), F.octet_length("w.lex").alias("b_len"),
+        before.alias("b_begin"), F.octet_length("w.lex").alias("b_len"),
     )
 
 

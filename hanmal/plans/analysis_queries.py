@@ -145,8 +145,8 @@ def patches(spark, sf_dir):
 @query(f"""WITH RECURSIVE {HWORDS}, {HCHARS}, {_SENT_TAGS},
 runs AS (SELECT DISTINCT mix[p:p + n - 1] AS l FROM st, LATERAL (SELECT unnest(range(1, len(mix) + 1)) AS p), (VALUES (4), (5), (6)) v(n) WHERE p + n - 1 <= len(mix)),
 pat AS (SELECT l, l[1] AS k, len(l) AS n FROM runs WHERE ((list_sum(l) % 97) + 97) % 97 = 5),
-at AS (SELECT {_S}, mix, unnest(mix) AS k, generate_subscripts(mix, 1) - 1 AS pos FROM st),
-best AS (SELECT {_S}, pos, max(n) AS n FROM at JOIN pat USING (k) WHERE mix[pos + 1:pos + n] = l GROUP BY {_S}, pos),
+spots AS (SELECT {_S}, mix, unnest(mix) AS k, generate_subscripts(mix, 1) - 1 AS pos FROM st),
+best AS (SELECT {_S}, pos, max(n) AS n FROM spots JOIN pat USING (k) WHERE mix[pos + 1:pos + n] = l GROUP BY {_S}, pos),
 walk AS (SELECT {_S}, min(pos) AS pos, min_by(n, pos) AS n FROM best GROUP BY {_S}
   UNION ALL
   SELECT w.conv_id, w.turn, w.line_idx, x.pos, x.n FROM walk w, LATERAL (SELECT b.pos, b.n FROM best b WHERE b.conv_id = w.conv_id AND b.turn = w.turn AND b.line_idx = w.line_idx AND b.pos >= w.pos + w.n ORDER BY b.pos LIMIT 1) x),
