@@ -9,7 +9,9 @@
    iteration is one aggregation over that table with the rates recomputed from the gradients so far.
 3. A document is drawn floor(x) times, and once more if a hash of its doc_id says so.
 
-Unless total_tokens is given, the total is the largest that needs no repetition. Tokens are those of operator 5.
+Unless total_tokens is given, the total is the one at which the domain with the largest target is kept whole. A domain that
+holds less than its target at max_rate has its target lowered to what it holds, so a scarce domain never shrinks the others.
+Tokens are those of operator 5.
 
 Defined results: null and empty texts have no tokens and the posteriors of the empty text; labels with nulls are ignored, of several
 labels of one document the first class of DOMAINS counts; a null doc_id is drawn by a hash of its text; repeated rows
@@ -133,7 +135,9 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], total_tokens: float
     w = w / w.sum()
     if not have.sum():
         return Rates((), max_rate)
-    total = total_tokens or float(min(h / t for h, t in zip(have, w, strict=True) if h > 0 and t > 0))
+    lead = int(np.argmax(w))
+    total = total_tokens or float(have[lead] / w[lead] if have[lead] else have.sum())
+    w = np.minimum(w, have * max_rate / total)
     lipschitz = np.linalg.norm(np.array([first[f"{a}{b}"] or 0.0 for a in P for b in P]).reshape(len(P), len(P)) / total, 2)
     rates = Rates((), max_rate)
     for _ in range(most_steps):
