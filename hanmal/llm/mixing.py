@@ -115,8 +115,8 @@ class Rates:
         p = [F.round(F.col(c) * GRID) / GRID for c in P]
         if not self.gradients:
             return F.lit(1.0)
-        steps = F.array(*[F.struct(*[F.lit(float(v)).alias(f"g{k}") for k, v in enumerate(g)]) for g in self.gradients])
-        down = lambda x, g: F.greatest(F.lit(0.0), F.least(F.lit(self.max_rate), x - sum((p[k] * g[f"g{k}"] for k in range(1, len(P))), p[0] * g["g0"])))
+        steps = F.expr("array(" + ", ".join("array(" + ", ".join(f"{v!r}D" for v in g) + ")" for g in self.gradients) + ")")
+        down = lambda x, g: F.greatest(F.lit(0.0), F.least(F.lit(self.max_rate), x - sum((p[k] * g[k] for k in range(1, len(P))), p[0] * g[0])))
         return F.aggregate(steps, F.lit(1.0), down)
 
 
@@ -139,13 +139,14 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], total_tokens: float
     total = total_tokens or float(have[lead] / w[lead] if have[lead] else have.sum())
     w = np.minimum(w, have * max_rate / total)
     lipschitz = np.linalg.norm(np.array([first[f"{a}{b}"] or 0.0 for a in P for b in P]).reshape(len(P), len(P)) / total, 2)
-    rates = Rates((), max_rate)
+    rates, was = Rates((), max_rate), np.full(len(P), np.inf)
     for _ in range(most_steps):
         x = rates.column()
         got = cells.select(*P, *[f"sum_{c}" for c in P], x.alias("x")).agg(*[F.sum(F.col(f"sum_{c}") * F.col("x")).alias(c) for c in P]).first()
         residual = np.array([got[c] for c in P]) / total - w
-        if np.abs(residual).max() < tolerance:
+        if np.abs(residual).max() < tolerance or np.abs(residual - was).max() < tolerance / 10:  # met, or as near as the bounds let it
             break
+        was = residual
         rates = Rates((*rates.gradients, tuple((residual / lipschitz).tolist())), max_rate)
     return rates
 
