@@ -63,7 +63,7 @@ def decode_adpcm(clips: list[bytes], block: int = BLOCK) -> list[np.ndarray]:
     value = raw[:, :2].copy().view("<i2")[:, 0].astype(np.int32)
     index = np.minimum(raw[:, 2], 88).astype(np.int32)
     out[:, 0] = value
-    nibbles = np.stack([raw[:, 4:] & 15, raw[:, 4:] >> 4], 2).reshape(len(raw), -1).T.astype(np.int32)
+    nibbles = np.stack([raw[:, 4:] & 15, raw[:, 4:] >> 4], 2).reshape(len(raw), 2 * (block - 4)).T.astype(np.int32)
     diff, after = _deltas()
     for k in range(len(nibbles)):
         cell = index * 16 + nibbles[k]
