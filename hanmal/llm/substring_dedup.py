@@ -5,12 +5,15 @@ words (a passage pasted into the middle of another sentence thus starts a unit o
 line that are shorter than that are taken together until they have min_words words. Units are normalised (lower
 case, white space squeezed) and hashed to 128 bits; digests are grouped globally and the occurrence in the smallest doc_id, and
 there the first, is kept. Repeats form runs of neighbouring units; what is left of short sentences is not hashed,
-as it repeats by chance, and a run may pass over it. A run of at least min_run words goes. Offsets are characters of the
-original text.
+as it repeats by chance, and a run may pass over it. A passage that starts or ends within a sentence shares only a part of the
+units at its edges, so a run is extended word by word as long as the words beside its units are those beside their kept
+occurrences, and goes if it then has at least min_run words. Offsets are characters of the original text. A passage without a
+whole unit in it has nothing to start from and is not found.
 
 A unit that occurred before in its own document needs no other: only first occurrences within a document are grouped, by a
 hash aggregation of fixed-width columns with map-side combining, so that no digest is hot, however often it occurs. The join
-that follows gets only units that a broadcast sketch of fixed size lets through.
+that follows gets only units that a broadcast sketch of fixed size lets through. Hashes of the words beside a unit are fetched a
+few at a time, and more only where all of them agree, up to the ends of the texts.
 
 Defined results: rows with a null doc_id or text take no part (clean() passes them on); empty texts have no units; rows that share a doc_id are one
 document: their units are not repeats of each other, and repeated rows lose the same; an empty table gives an empty
@@ -19,6 +22,7 @@ table; other columns are passed on by clean(), whatever their names.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 import sys
@@ -32,6 +36,8 @@ from pyspark.sql.window import Window
 from .common import fingerprint, map_rows, materialize, maybe_among, require
 
 MIN_WORDS, MIN_RUN = 4, 30
+#: Words beside a unit that are compared at first; each further round compares eight times as many.
+FIRST_REACH = 4
 Unit = tuple[int, int, int, bytes]
 
 
@@ -81,41 +87,110 @@ def _digest(words: list[str]) -> bytes:
 
 
 def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, fp, no, begin, end, words, h1, h2 and whether the document had the unit before."""
+    """doc_id, fp, no, begin, end, words, h1, h2, whether the document had the unit before, and where it first did."""
     require(docs, "doc_id", "text")
 
     def fn(cols: list[list]) -> dict:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "fp", "no", "begin", "end", "words", "h1", "h2", "again")}
-        ids, fps, nos, begins, ends, words, h1, h2, again = out.values()
+        out: dict[str, list] = {k: [] for k in ("doc_id", "fp", "no", "begin", "end", "words", "h1", "h2", "again", "kept_begin", "kept_end")}
+        ids, fps, nos, begins, ends, words, h1, h2, again, kept_begins, kept_ends = out.values()
         for doc_id, fp, text in zip(*cols, strict=True):
-            seen = set()
+            seen: dict[bytes, tuple[int, int]] = {}
             for no, (b, e, n, d) in enumerate(units(text, min_words)):
                 ids.append(doc_id), fps.append(fp), nos.append(no), begins.append(b), ends.append(e), words.append(n)
                 h1.append(int.from_bytes(d[:8], "little", signed=True)), h2.append(int.from_bytes(d[8:], "little", signed=True))
                 again.append(d in seen)
-                seen.add(d)
+                at = seen.setdefault(d, (b, e))
+                kept_begins.append(at[0]), kept_ends.append(at[1])
         return out
 
     src = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    schema = "doc_id long, fp long, no int, begin int, end int, words int, h1 long, h2 long, again boolean"
+    schema = "doc_id long, fp long, no int, begin int, end int, words int, h1 long, h2 long, again boolean, kept_begin int, kept_end int"
     return map_rows(src, [F.col("doc_id").cast("long"), fingerprint(), "text"], fn, schema)
 
 
+def beside(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
+    """Hashes and outer offsets of up to reach words before (side -1) or after (side 1) the places of wanted: doc_id, fp, side, at."""
+    wanted = materialize(wanted.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("side", "at")).alias("wanted")), "wanted")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint().alias("fp"), "text").where("doc_id is not null and text is not null")
+    own = maybe_among(own, F.col("fp"), wanted.select(F.col("fp").alias("k")))
+    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), "wanted")
+    found = own.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.col("fp") == F.col("__fp"))).select("doc_id", "fp", "wanted", "text")
+
+    def fetch(cols: list[list]) -> dict:
+        out: dict[str, list] = {k: [] for k in ("doc_id", "fp", "side", "at", "hashes", "outer")}
+        for doc_id, fp, want, text in zip(*cols, strict=True):
+            words = [m.span() for m in re.finditer(r"\S+", text)]
+            begins = [b for b, _ in words]
+            for x in want:
+                k = bisect.bisect_left(begins, x["at"])
+                near = words[k : k + reach] if x["side"] > 0 else words[max(0, k - reach) : k][::-1]
+                hashes = [xxhash.xxh3_64_intdigest(text[b:e].lower().encode()) - (1 << 63) for b, e in near]
+                row = (doc_id, fp, x["side"], x["at"], hashes, [e if x["side"] > 0 else b for b, e in near])
+                for k, v in zip(out, row, strict=True):
+                    out[k].append(v)
+        return out
+
+    schema = "doc_id long, fp long, side int, at int, hashes array<long>, outer array<int>"
+    return map_rows(found, ["doc_id", "fp", "wanted", "text"], fetch, schema).dropDuplicates(["doc_id", "fp", "side", "at"])
+
+
+def extended(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each run's outermost offset of the words that agree beyond its edge, and how many these are: doc_id, fp, run, side, reached, more.
+
+    edges: doc_id, fp, run, side, edge (of the run), at (of the unit), kept_doc_id, kept_fp, kept_at.
+    """
+    reach, rounds = FIRST_REACH, []
+    edges = edges.withColumn("more", F.lit(0))
+    while True:
+        places = edges.select("doc_id", "fp", "side", "at").union(edges.select("kept_doc_id", "kept_fp", "side", "kept_at"))
+        near = materialize(beside(docs, places, reach), "beside")
+        kept = near.select(F.col("doc_id").alias("kept_doc_id"), F.col("fp").alias("kept_fp"), "side", F.col("at").alias("kept_at"), F.col("hashes").alias("kept_hashes"), F.col("outer").alias("kept_outer"))
+        both = edges.join(near.hint("shuffle_hash"), ["doc_id", "fp", "side", "at"]).join(kept.hint("shuffle_hash"), ["kept_doc_id", "kept_fp", "side", "kept_at"])
+        differs = F.array_position(F.zip_with("hashes", "kept_hashes", lambda a, b: a.eqNullSafe(b)), F.lit(False))
+        same = F.when(differs > 0, differs - 1).otherwise(F.size("hashes")).cast("int")
+        both = both.withColumn("same", same).withColumn("agreed", F.slice("outer", 1, F.col("same")))
+        both = both.withColumn("more", F.col("more") + F.size(F.filter("agreed", lambda x: (x - F.col("edge")) * F.col("side") > 0)))
+        last = lambda c, or_else: F.when(F.col("same") > 0, F.element_at(c, F.greatest(F.col("same"), F.lit(1)))).otherwise(F.col(or_else))
+        both = both.withColumn("at", last("outer", "at")).withColumn("kept_at", last("kept_outer", "kept_at"))
+        done = materialize(both.select(*edges.columns, (F.col("same") == reach).alias("open")), "edges")
+        rounds.append(done.where("not open"))
+        edges = done.where("open").drop("open")
+        if edges.isEmpty():
+            break
+        reach *= 8
+    reached = functools.reduce(DataFrame.union, [r.select("doc_id", "fp", "run", "side", "at", "more") for r in rounds])
+    return reached.groupBy("doc_id", "fp", "run", "side").agg(F.max(F.col("at") * F.col("side")).alias("reached"), F.max("more").alias("more")).withColumn("reached", F.col("reached") * F.col("side"))
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
     """One row for each run that goes: doc_id, fp, begin, end, words, units, and kept_doc_id, which holds its first unit."""
     all_units = materialize(unit_table(docs, min_words), "units")
     spread = all_units.where("not again").groupBy("h1", "h2").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last")
     spread = materialize(spread.drop("last"), "spread")
-    likely = maybe_among(all_units.where("not again"), F.col("h1"), spread.select(F.col("h1").alias("k")))
-    columns = ["doc_id", "fp", "no", "begin", "end", "words", "kept_doc_id"]
-    gone = likely.join(spread, ["h1", "h2"]).where("kept_doc_id < doc_id").select(*columns)
-    gone = gone.unionByName(all_units.where("again").withColumn("kept_doc_id", F.col("doc_id")).select(*columns)).distinct()
+    likely = maybe_among(all_units.where("not again"), F.col("h1"), spread.select(F.col("h1").alias("k"))).drop("kept_begin", "kept_end")
+    shared = materialize(likely.join(spread, ["h1", "h2"]), "shared")
+    source = shared.where("kept_doc_id = doc_id").groupBy("h1", "h2").agg(F.min(F.struct("fp", "begin", "end")).alias("source"))
+    source = source.select("h1", "h2", F.col("source.fp").alias("kept_fp"), F.col("source.begin").alias("kept_begin"), F.col("source.end").alias("kept_end"))
+    columns = ["doc_id", "fp", "no", "begin", "end", "words", "kept_doc_id", "kept_fp", "kept_begin", "kept_end"]
+    gone = shared.where("kept_doc_id < doc_id").join(source, ["h1", "h2"]).select(*columns)
+    own = all_units.where("again").withColumn("kept_doc_id", F.col("doc_id")).withColumn("kept_fp", F.col("fp"))
+    gone = gone.unionByName(own.select(*columns)).distinct()
     order = Window.partitionBy("doc_id", "fp").orderBy("no")
+    gone = gone.withColumn("run", F.col("no") - F.row_number().over(order))
+    run = Window.partitionBy("doc_id", "fp", "run")
+    whole = {"run_begin": F.min("begin"), "run_end": F.max("end"), "run_words": F.sum("words"), "run_units": F.count(F.lit(1)), "run_kept": F.min(F.struct("no", "kept_doc_id"))}
+    gone = materialize(gone.withColumns({k: v.over(run) for k, v in whole.items()}).withColumn("run_kept", F.col("run_kept.kept_doc_id")), "runs")
+    # a short run may hold units whose kept occurrences are elsewhere by chance, so each of its units is tried
+    edge = lambda side, own: gone.where((F.col("run_words") < min_run) | (F.col(own) == F.col(f"run_{own}"))).select("doc_id", "fp", "run", F.lit(side).alias("side"), F.col(f"run_{own}").alias("edge"), F.col(own).alias("at"), "kept_doc_id", "kept_fp", F.col(f"kept_{own}").alias("kept_at"))
+    by_side = materialize(extended(docs, edge(-1, "begin").union(edge(1, "end"))), "extended")
+    runs = gone.select("doc_id", "fp", "run", *whole).distinct()
+    for side, name in ((-1, "left"), (1, "right")):
+        runs = runs.join(by_side.where(F.col("side") == side).select("doc_id", "fp", "run", F.col("reached").alias(name), F.col("more").alias(f"{name}_more")), ["doc_id", "fp", "run"])
+    runs = runs.select("doc_id", "fp", F.least("run_begin", "left").alias("begin"), F.greatest("run_end", "right").alias("end"), (F.col("run_words") + F.col("left_more") + F.col("right_more")).alias("words"), "run_units", "run_kept", "run_begin")
+    # runs of one passage that other cuts have parted are extended to the same
     return (
-        gone.withColumn("run", F.col("no") - F.row_number().over(order))
-        .groupBy("doc_id", "fp", "run")
-        .agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("units"), F.min_by("kept_doc_id", "no").alias("kept_doc_id"))
-        .where(F.col("words") >= min_run).drop("run")
+        runs.where(F.col("words") >= min_run).groupBy("doc_id", "fp", "begin", "end")
+        .agg(F.max("words").alias("words"), F.sum("run_units").alias("units"), F.min_by("run_kept", "run_begin").alias("kept_doc_id"))
     )
 
 

@@ -153,6 +153,18 @@ def test_substring_planted(spark):
             assert x.text == "\n".join(texts[i][s.begin : s.end].strip() for s in x.kept_spans)
 
 
+def test_substring_within_sentences(spark):
+    """Passages of over 50 words that start and end within a sentence, in lower case, or span lines; one unit of each is whole."""
+    r = random.Random("pasted")
+    texts = []
+    for k, (head, tail, inner) in enumerate([(23, 23, ". {}. "), (40, 3, "\n{}\n"), (2, 600, ". {}. ")]):
+        shared = prose(f"{k}head", head) + inner.format(prose(f"{k}unit", 8).capitalize()) + prose(f"{k}tail", tail)
+        texts += [(f"{prose(r.random(), 20)} x{2 * k + j}x {shared} y{2 * k + j}y {prose(r.random(), 20)}", shared) for j in range(2)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: (x.kept_doc_id, texts[x.doc_id][0][x.begin : x.end], x.words) for x in substring_dedup.repeats(docs).collect()}
+    assert got == {i: (i - 1, texts[i][1], len(texts[i][1].split())) for i in (1, 3, 5)}
+
+
 def test_optimal_boundaries_brute():
     r = random.Random(3)
     for _ in range(30):
