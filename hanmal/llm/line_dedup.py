@@ -2,8 +2,9 @@
 
 Two lines are duplicates when their normalised forms (lower case, white space squeezed) differ by at most one inserted,
 deleted or replaced character. A line goes if an earlier line, by (doc_id, line number), is its duplicate, whether or not
-that one goes too. Lines of fewer than min_chars normalised characters stay and are compared with nothing: short lines
-repeat legitimately.
+that one goes too. Of lines of fewer than min_chars normalised characters only exact copies of normalised lines are duplicates,
+as one edit makes another line of a very short one; blank lines stay. With short_copies off, the default of apply(), short
+lines stay and are compared with nothing.
 
 Emitting a deletion variant for every character of every line would multiply the corpus by its line length. Of two
 lines within one edit, though, either the first or the second half is equal. So each distinct line first sends the
@@ -61,17 +62,17 @@ def half_keys(s: str) -> list[int]:
     return sorted(out)
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row for each line that is long enough: doc_id, fp, line_no, digest, half keys."""
+def lines_of(docs: DataFrame, min_chars: int, short_copies: bool = False) -> DataFrame:
+    """One row for each line that is long enough: doc_id, fp, line_no, digest, half keys. short_copies: shorter ones too, without keys."""
 
     def fn(cols: list[list]) -> dict:
         ids, fps, nos, h1, h2, keys = [], [], [], [], [], []
         for doc_id, fp, text in zip(*cols, strict=True):
             for no, line in enumerate(text.split("\n")):
                 s = normalise(line)
-                if len(s) >= min_chars:
+                if len(s) >= min_chars or (s and short_copies):
                     a, b = digest(s.encode())
-                    ids.append(doc_id), fps.append(fp), nos.append(no), h1.append(a), h2.append(b), keys.append(half_keys(s))
+                    ids.append(doc_id), fps.append(fp), nos.append(no), h1.append(a), h2.append(b), keys.append(half_keys(s) if len(s) >= min_chars else [])
         return {"doc_id": ids, "fp": fps, "line_no": nos, "h1": h1, "h2": h2, "keys": keys}
 
     src = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
@@ -188,10 +189,10 @@ def near_copies(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFra
     return lines.repartition("key").sortWithinPartitions("key").mapInArrow(run, "h1 long, h2 long").distinct()
 
 
-def removals(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+def removals(docs: DataFrame, min_chars: int = 20, short_copies: bool = False) -> DataFrame:
     """doc_id, fp and the array of line numbers that go."""
     require(docs, "doc_id", "text")
-    lines = materialize(lines_of(docs, min_chars), "lines")
+    lines = materialize(lines_of(docs, min_chars, short_copies), "lines")
     distinct = lines.groupBy(*ID).agg(F.min(F.struct(*RANK)).alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n"))
     near = near_copies(docs, distinct, min_chars).withColumn("near", F.lit(True))
     rules = lines.groupBy(*ID).agg(F.min(F.struct(*RANK)).alias("first"), F.count(F.lit(1)).alias("n")).join(near, ID, "left").where("n > 1 or near")
@@ -199,9 +200,9 @@ def removals(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     return gone.groupBy("doc_id", "fp").agg(F.collect_set("line_no").alias("lines"))
 
 
-def apply(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+def apply(docs: DataFrame, min_chars: int = 20, short_copies: bool = False) -> DataFrame:
     """docs without the lines that repeat an earlier one."""
-    gone = removals(docs, min_chars).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("lines").alias("__gone"))
+    gone = removals(docs, min_chars, short_copies).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("lines").alias("__gone"))
     on = (F.col("doc_id").cast("long") == F.col("__id")) & (fingerprint() == F.col("__fp"))
     left = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull()), "\n")
     changed = F.col("__gone").isNotNull()

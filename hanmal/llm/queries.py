@@ -24,7 +24,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents without lines that repeat an earlier one."""
-    return line_dedup.apply(table(spark, sf_dir, "documents"))
+    return line_dedup.apply(table(spark, sf_dir, "documents"), short_copies=True)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

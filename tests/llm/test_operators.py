@@ -110,6 +110,14 @@ def test_line_dedup_brute(spark):
     assert {x.doc_id: x.text for x in got.collect()} == lines_brute(rows)
 
 
+def test_short_line_copies(spark, tmp_path):
+    """Exact copies of short lines go in op3, lines one edit apart and blank ones stay."""
+    rows = [(1, "and ornd.\n\nles."), (2, "And  ornd.\n\nlet."), (3, "les.\nles.\n\nown"), (4, "les."), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x.text for x in Q.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: rows[0][1], 2: "\nlet.", 3: "\nown", 5: ""}
+
+
 def components_brute(sigs, most):
     up = {i: i for i in sigs}
 
