@@ -40,11 +40,13 @@ BARE = re.compile(r"""[^\s,;"'`(){}\[\]<>#]+""")
 NAME = re.compile(r"[A-Za-z_$][\w$.]*")
 HOLE = re.compile(r"\$?\{\s*([A-Za-z_][\w.]*)\s*\}|\$([A-Za-z_]\w*)")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.95, "pass": 0.8, "secret": 1.0, "token": 0.95, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.75, "bearer": 0.85, "signature": 0.6, "key": 0.45, "salt": 0.45, "pin": 0.4, "cookie": 0.5}
+SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.95, "pass": 0.8, "secret": 1.0, "token": 0.95, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.75, "bearer": 0.85, "signature": 0.6, "key": 0.6, "salt": 0.6, "pin": 0.6, "cookie": 0.5}
+#: Names whose literals may be words: nothing else is assigned to them.
+PLAIN = {"password", "passwd", "passphrase", "pwd", "secret"}
 #: Words that make a neighbouring "key" or "token" sensitive, and words that say the value is something else.
 KEY_KINDS = {"api", "access", "private", "secret", "encryption", "signing", "master", "account", "client", "service", "auth", "ssh", "aws"}
 HARMLESS = {"count", "max", "min", "length", "len", "size", "type", "url", "uri", "path", "file", "filename", "name", "header", "expiry", "expires", "ttl", "id", "public", "primary", "foreign", "field", "column", "index", "limit", "prompt", "hint", "label", "placeholder", "policy", "env"}
-PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|_+|none|null|nil|true|false|undefined|todo|tbd|redacted|hidden|masked|empty|string|password|secret|token|changeme|change[_-]me|.*\b(?:your|example|sample|dummy|placeholder|insert)[_\- ].*|your.*|<.*>|\$\{?.*|\{\{.*|%\(?.*|os\.environ.*|process\.env.*|getenv.*)$")
+PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|_+|none|null|nil|true|false|undefined|todo|tbd|redacted|hidden|masked|empty|string|password|secret|token|changeme|change[_-]me|.*\b(?:your|example|sample|dummy|placeholder|insert)[_\- ].*|your.*|<.*>|\{\{.*|(?:(?:\$\{[^}]*\}|\$\([^)]*\)|\$[a-z_]\w*+|%\(\w+\)[a-z]|%[a-z_]\w*+%|%[sdr])[\s:/@.,_\-]*+)+|os\.environ.*|process\.env.*|getenv.*)$")
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,7 @@ class Pair:
     begin: int
     end: int
     propagated: bool
+    quoted: bool = False
 
 
 def _words(name: str) -> list[str]:
@@ -70,7 +73,7 @@ def name_score(name: str) -> float:
         best = max(best, s)
     if {"apikey", "secretkey", "accesskey", "authtoken"} & {name.lower().replace("_", "").replace("-", "").rsplit(".", 1)[-1]}:
         best = max(best, 0.95)
-    return best * 0.3 if any(w in HARMLESS for w in words) else best
+    return best * 0.3 if any(w in HARMLESS for w in _words(name.rsplit(".", 1)[-1])) else best
 
 
 def entropy(s: str) -> float:
@@ -79,9 +82,16 @@ def entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
-def literal_score(s: str) -> float:
+def literal_score(s: str, name: str = "", quoted: bool = False) -> float:
     if len(s) < 4 or PLACEHOLDER.match(s) or len(set(s)) < 3:
         return 0.0
+    words = _words(name)
+    if "pin" in words and re.fullmatch(r"\d{4,12}", s):
+        return 1.0
+    return max(_looks(s), 0.55 if quoted and not PLAIN.isdisjoint(words) else 0.0)
+
+
+def _looks(s: str) -> float:
     kinds = sum(bool(re.search(p, s)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w\s]"))
     if " " in s:
         return 0.55 if kinds >= 3 and len(s) < 80 else 0.15
@@ -111,9 +121,15 @@ class Lexer:
             if op.group() == "+=":
                 value, propagated = self.known.get(key, "") + value, propagated or key in self.known
             self.known[key] = value
-            out.append(Pair(name, value, begin, end, propagated))
+            out.append(Pair(name, value, begin, end, propagated, self.text[begin - 1] in "\"'`" or self.setting(op, end)))
         return out
 
+    def setting(self, op: re.Match, end: int) -> bool:
+        """Whether a bare value is all of a line NAME=value, as in an environment file."""
+        line = self.text[self.text.rfind("\n", 0, op.start()) + 1 : op.start()]
+        rest = self.text[op.end() : end]
+        return op.group() == "=" and re.fullmatch(r"(?:export\s+)?\w+", line) is not None and not rest[:1].isspace() and self.text[end : end + 1] in ("", "\n", "\r")
+
     def target(self, at: int) -> str | None:
         low = max(0, at - REACH, self.text.rfind("\n", 0, at) + 1)
         m = TARGET.search(self.text[low:at])
@@ -204,7 +220,7 @@ def findings(text: str | None, threshold: float = THRESHOLD) -> list[tuple[Pair,
     out = []
     for p in Lexer(text).pairs() if text else ():
         by_name = name_score(p.name)
-        score = by_name * literal_score(p.literal) if by_name else 0.0
+        score = by_name * literal_score(p.literal, p.name, p.quoted) if by_name else 0.0
         if score >= threshold:
             out.append((p, score))
     return out

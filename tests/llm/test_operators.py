@@ -316,3 +316,20 @@ def test_secrets_found(text):
 @pytest.mark.parametrize("text", ["password = os.environ['X']", 'token = "your_token_here"', "max_tokens: 4096", "The key: a word of prose.", f'title = "{SECRET}"', "", None])
 def test_secrets_left_alone(text):
     assert secret_scan.findings(text) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "literal"),
+    [
+        ('password = "correcthorsebattery"', "correcthorsebattery"), ("DB_PASSWORD=correcthorsebattery\n", "correcthorsebattery"), ('passphrase = "correct horse battery staple"', "correct horse battery staple"),
+        ("password = '$ecretP4ss!'", "$ecretP4ss!"), ("password_hash = '$2b$12$EixZaYVK1fsbw1ZfbX3OXe'", "$2b$12$EixZaYVK1fsbw1ZfbX3OXe"), ("password = '%9xQ!rT2w'", "%9xQ!rT2w"),
+        (f'process.env.API_KEY = "{SECRET}"', SECRET), (f'config.url.password = "{SECRET}"', SECRET), (f'key = "{SECRET}"', SECRET), (f'salt = "{SECRET}"', SECRET), ('pin = "4821"', "4821"),
+    ],
+)
+def test_secrets_of_each_class(text, literal):
+    assert [p.literal for p, _ in secret_scan.findings(text)] == [literal]
+
+
+@pytest.mark.parametrize("text", ['password = "${DB_PASSWORD}"', 'password = "$DB_PASSWORD"', 'password = "%(password)s"', 'secret = "${A}:${B}"', 'config.password_file = "correcthorsebattery"', "password = correcthorsebattery", 'token = "identifier"', "key: value of prose"])
+def test_references_left_alone(text):
+    assert secret_scan.findings(text) == []
