@@ -10,7 +10,9 @@
 3. A document is drawn floor(x) times, and once more if a hash of its doc_id says so.
 
 Unless total_tokens is given, the total is the one at which the domain with the largest target is kept whole. A domain that
-holds less than its target at max_rate has its target lowered to what it holds, so a scarce domain never shrinks the others.
+holds less than its target is repeated: max_rate is then raised to twice what that domain needs, and the descent is scaled by
+what each domain holds, as steps of 1 / L would never reach it. Only a domain without any tokens has its target lowered, to
+nothing. Targets and achieved totals are in the Rates and logged, a missed target as a warning.
 Tokens are those of operator 5.
 
 Defined results: null and empty texts have no tokens and the posteriors of the empty text; labels with nulls are ignored, of several
@@ -20,6 +22,7 @@ are drawn alike; an empty table gives an empty table; without labels all posteri
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +37,7 @@ from .tokens import VOCABULARY, count_tokens
 DOMAINS = {"clean": "quality > 0 and coalesce(toxic, 0) <= 0", "low": "quality <= 0", "toxic": "quality > 0 and toxic > 0"}
 TARGETS = {"clean": 0.96, "low": 0.02, "toxic": 0.02}
 GRID = 250
+log = logging.getLogger(__name__)
 P = [f"p_{d}" for d in DOMAINS]
 
 
@@ -110,6 +114,8 @@ class Rates:
 
     gradients: tuple[tuple[float, ...], ...]
     max_rate: float
+    #: By domain: wanted and achieved expected tokens.
+    totals: tuple[tuple[str, float, float], ...] = ()
 
     def column(self) -> Column:
         p = [F.round(F.col(c) * GRID) / GRID for c in P]
@@ -137,8 +143,13 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], total_tokens: float
         return Rates((), max_rate)
     lead = int(np.argmax(w))
     total = total_tokens or float(have[lead] / w[lead] if have[lead] else have.sum())
+    asked = w
+    scarce = (have > 0) & (have * max_rate < w * total)
+    if scarce.any():
+        max_rate = 2 * float((w[scarce] * total / have[scarce]).max())
     w = np.minimum(w, have * max_rate / total)
     lipschitz = np.linalg.norm(np.array([first[f"{a}{b}"] or 0.0 for a in P for b in P]).reshape(len(P), len(P)) / total, 2)
+    step = 1 / (np.maximum(have, 1e-9 * have.sum()) / total if scarce.any() else np.full(len(P), lipschitz))
     rates, was = Rates((), max_rate), np.full(len(P), np.inf)
     for _ in range(most_steps):
         x = rates.column()
@@ -147,8 +158,11 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], total_tokens: float
         if np.abs(residual).max() < tolerance or np.abs(residual - was).max() < tolerance / 10:  # met, or as near as the bounds let it
             break
         was = residual
-        rates = Rates((*rates.gradients, tuple((residual / lipschitz).tolist())), max_rate)
-    return rates
+        rates = Rates((*rates.gradients, tuple((residual * step).tolist())), max_rate)
+    totals = tuple((d, float(a * total), float(got[c])) for d, a, c in zip(DOMAINS, asked, P, strict=True))
+    for d, want, met in totals:
+        log.log(logging.WARNING if abs(met - want) > 0.05 * want else logging.INFO, "domain %s: target %.0f tokens, achieved %.0f", d, want, met)
+    return Rates(rates.gradients, max_rate, totals)
 
 
 def copies(rate: Column, seed: int = 11) -> Column:
@@ -171,6 +185,5 @@ def apply(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     drawn = drawn.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("copies").alias("__n")).distinct()
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & fingerprint().eqNullSafe(F.col("__fp"))
     out = docs.join(drawn.hint("shuffle_hash"), on)
-    if max_rate > 1:
-        out = out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    out = out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

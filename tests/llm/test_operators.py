@@ -248,6 +248,23 @@ def test_mixing_meets_targets(spark):
     assert out["rate"].between(0, 1).all() and (out["copies"] <= 1).all()
 
 
+def test_mixing_raises_a_scarce_domain(spark):
+    r = random.Random(6)
+    kinds = [0] * 900 + [1] * 95 + [2] * 5
+    rows = []
+    for k in kinds:
+        a, b = r.uniform(0.0, 0.01), r.uniform(0.0, 0.002)
+        p = [(1 - a - b, a, b), (a, 1 - a - b, b), (a, b, 1 - a - b)][k]
+        rows.append((r.randrange(50, 150), *p))
+    scored = spark.createDataFrame(rows, "n_tokens long, " + ", ".join(f"{c} double" for c in mixing.P))
+    rates = mixing.fit_rates(scored, mixing.TARGETS)
+    out = scored.withColumn("rate", rates.column()).toPandas()
+    for c, (d, want, met) in zip(mixing.P, rates.totals, strict=True):
+        got = (out["n_tokens"] * out["rate"] * out[c]).sum()
+        assert abs(got - want) < 0.05 * want and abs(met - got) < 0.01 * want, d
+    assert out["rate"].max() > 1
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a", "<p>x</p>"), (1, "http://a", "<p>x</p>"), (2, None, "y\r\n\r\nz"), (3, "http://c", None), (None, "http://d", ""), (4, "http://e", "w" * 3_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file", F.lit("f")).withColumn("digest", F.lit(1)).repartition(2)
