@@ -32,8 +32,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{scratch_dir(spark)}/hanmal-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes every table that this application wrote into the shared folder; results that were not written yet can't be read any more."""
+    delete(spark, run_dir(spark))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -45,10 +60,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Deletes a table of materialize() that no later plan reads."""
-    spark = df.sparkSession
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, f)
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that df does not have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"__{stem}"
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """df's columns, whatever characters their names hold."""
+    return [F.col(quoted(c)) for c in df.columns]
 
 
 def map_rows(df: DataFrame, columns: list, fn: Callable[[list[list]], dict], schema: str) -> DataFrame:
@@ -114,8 +147,9 @@ def maybe_among(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     word = lambda k: F.pmod(F.xxhash64(k), F.lit(SKETCH_WORDS))
     bit = lambda k, seed: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(64)).cast("int"))
     mask = lambda k: bit(k, 1).bitwiseOR(bit(k, 2)).bitwiseOR(bit(k, 3))
-    sketch = wanted.groupBy(word(F.col("k")).alias("__word")).agg(F.bit_or(mask(F.col("k"))).alias("__mask"))
-    hit = (word(key) == F.col("__word")) & (mask(key).bitwiseAND(F.col("__mask")) == mask(key))
+    at, bits = unused(df, "word", "mask")
+    sketch = wanted.groupBy(word(F.col("k")).alias(at)).agg(F.bit_or(mask(F.col("k"))).alias(bits))
+    hit = (word(key) == F.col(at)) & (mask(key).bitwiseAND(F.col(bits)) == mask(key))
     return df.join(F.broadcast(sketch), hit, "left_semi")
 
 
@@ -127,3 +161,9 @@ def require(df: DataFrame, *names: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def one_label(labels: DataFrame) -> DataFrame:
+    """doc_id, quality, toxic: of several labels of one document the lowest quality and the highest toxic; none without a doc_id or quality."""
+    worst = [F.min("quality").alias("quality"), *[F.max("toxic").alias("toxic")] * ("toxic" in labels.columns)]
+    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(*worst)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import map_rows
+from .common import map_rows, one_label
 from .quality_rules import RULES, rule_values
 
 BUCKETS = 1 << 18
@@ -44,8 +44,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, classes: dict[str, str],
     classes: SQL conditions on labels by name, which exclude each other. Returns doc_id, class, text; all labels are
     counted. The sampled ids are at most `most` for each class, so they are broadcast.
     """
-    own = labels.where("doc_id is not null").withColumn("class", F.coalesce(*[F.when(F.expr(c), F.lit(k)) for k, c in classes.items()]))
-    own = own.where("class is not null").groupBy("doc_id").agg(F.min("class").alias("class"))
+    own = one_label(labels).withColumn("class", F.coalesce(*[F.when(F.expr(c), F.lit(k)) for k, c in classes.items()])).where("class is not null")
     sizes = {r["class"]: r["count"] for r in own.groupBy("class").count().collect()}
     picked = None
     for k in classes:
@@ -68,9 +67,9 @@ def choose_buckets(sample: DataFrame, names: list[str], n_chosen: int) -> np.nda
     rows = map_rows(sample, ["class", "text"], fn, "class string, buckets array<int>").select("class", F.explode("buckets").alias("b")).groupBy("class", "b").count()
     total = {r["class"]: r["count"] for r in sample.groupBy("class").count().collect()}
     seen = np.zeros((len(names), BUCKETS))
-    frequent = rows.where("count >= 3").toPandas()
+    counts = rows.toPandas()  # at most BUCKETS rows a class
     for k, name in enumerate(names):
-        own = frequent[frequent["class"] == name]
+        own = counts[counts["class"] == name]
         seen[k, own["b"].to_numpy(np.int64)] = own["count"].to_numpy()
     n = np.array([total.get(x, 0) for x in names], float)
     p = seen.sum(0) / max(1.0, n.sum())

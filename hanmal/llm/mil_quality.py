@@ -6,7 +6,7 @@ passages of a document, weighs the encodings, and a logistic unit scores their w
 of the document loss teaches the attention which passages matter.
 
 The model is fitted on the driver, on at most max_train labelled documents of each class, drawn by a hash of doc_id; what
-is collected are their passage features, not their texts. Scoring is one pass over all documents without a shuffle.
+is collected are their passage features (about 40 numbers for 64 words), not their texts. Scoring is one pass over all documents without a shuffle.
 
 Defined results: a null or empty text is one empty passage; labels with a null doc_id or quality are ignored, of conflicting
 ones the lower quality counts; repeated rows are scored alike and rows with a null doc_id are scored too; without labels of both
