@@ -4,8 +4,8 @@ A unit is a line, cut further after sentence-final punctuation, and before a cap
 words (a passage pasted into the middle of another sentence thus starts a unit of its own). Neighbouring sentences of a
 line that are shorter than that are taken together until they have min_words words. Units are normalised (lower
 case, white space squeezed) and hashed to 128 bits; digests are grouped globally and the occurrence in the smallest doc_id, and
-there the first, is kept. Repeats form runs of neighbouring units; what is left of short sentences is not hashed,
-as it repeats by chance, and a run may pass over it. A passage that starts or ends within a sentence shares only a part of the
+there the first, is kept. Repeats form runs of neighbouring units. What is left of short sentences (a gap) is not a unit,
+as it repeats by chance; a run goes on over a gap only if the kept units are neighbours too, with the same gap between them. A passage that starts or ends within a sentence shares only a part of the
 units at its edges, so a run is extended word by word as long as the words beside its units are those beside their kept
 occurrences, and goes if it then has at least min_run words. Offsets are characters of the original text. A passage without a
 whole unit in it has nothing to start from and is not found.
@@ -17,7 +17,7 @@ few at a time, and more only where all of them agree, up to the ends of the text
 
 Defined results: rows with a null doc_id or text take no part (clean() passes them on); empty texts have no units; rows that share a doc_id are one
 document: their units are not repeats of each other, and repeated rows lose the same; an empty table gives an empty
-table; other columns are passed on by clean(), whatever their names.
+table; other columns are passed on by clean(), whatever their names, but for a column kept_spans, which is replaced.
 """
 
 from __future__ import annotations
@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fingerprint, map_rows, materialize, maybe_among, require
+from .common import fingerprint, map_rows, materialize, maybe_among, quoted, require, unused
 
 MIN_WORDS, MIN_RUN = 4, 30
 #: Words beside a unit that are compared at first; each further round compares eight times as many.
 FIRST_REACH = 4
-Unit = tuple[int, int, int, bytes]
+UNIT_COLUMNS = {"doc_id": "long", "fp": "long", "no": "int", "begin": "int", "end": "int", "words": "int", "h1": "long", "h2": "long", "gap_words": "int", "gap": "long", "again": "boolean", "kept_begin": "int", "kept_end": "int", "kept_no": "int", "kept_gap": "long"}
+#: Begin, end, words, digest; words and hash of the gap before it, 0 and 0 without one.
+Unit = tuple[int, int, int, bytes, int, int]
 
 
 def _ranges(*categories: str) -> str:
@@ -59,24 +61,32 @@ def cuts() -> re.Pattern:
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> list[Unit]:
-    """Begin, end, words and digest of each unit of at least min_words words."""
+    """The units of at least min_words words, in order."""
     out: list[Unit] = []
     begin, held = 0, []  # held: neighbouring short sentences of one line
+    gap: list[str] = []  # words since the last unit that are in no unit
+
+    def add(b: int, e: int, words: list[str]) -> None:
+        out.append((b, e, len(words), _digest(words), len(gap), _short(gap) if gap else 0))
+        gap.clear()
+
     for m in [*cuts().finditer(text), None]:
         end = m.start() if m else len(text)
         if m and m.group(1) is not None and text.count(" ", begin, end) < min_words - 1:
             continue
         words = text[begin:end].lower().split()
         if len(words) >= min_words:
-            out.append((begin, end, len(words), _digest(words)))
+            gap += [w for x in held for w in x[2]]
+            add(begin, end, words)
             held = []
         elif words:
             held.append((begin, end, words))
             together = [w for x in held for w in x[2]]
             if len(together) >= min_words:
-                out.append((held[0][0], end, len(together), _digest(together)))
+                add(held[0][0], end, together)
                 held = []
         if m and "\n" in m.group():
+            gap += [w for x in held for w in x[2]]
             held = []
         begin = m.end() if m else end
     return out
@@ -86,26 +96,29 @@ def _digest(words: list[str]) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(words).encode())
 
 
+def _short(words: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(words).encode()) - (1 << 63)
+
+
 def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, fp, no, begin, end, words, h1, h2, whether the document had the unit before, and where it first did."""
+    """doc_id, fp, no, begin, end, words, h1, h2, gap_words, gap, whether the document had the unit before, and where it first did."""
     require(docs, "doc_id", "text")
 
     def fn(cols: list[list]) -> dict:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "fp", "no", "begin", "end", "words", "h1", "h2", "again", "kept_begin", "kept_end")}
-        ids, fps, nos, begins, ends, words, h1, h2, again, kept_begins, kept_ends = out.values()
+        out: dict[str, list] = {k: [] for k in UNIT_COLUMNS}
+        rows = []
         for doc_id, fp, text in zip(*cols, strict=True):
-            seen: dict[bytes, tuple[int, int]] = {}
-            for no, (b, e, n, d) in enumerate(units(text, min_words)):
-                ids.append(doc_id), fps.append(fp), nos.append(no), begins.append(b), ends.append(e), words.append(n)
-                h1.append(int.from_bytes(d[:8], "little", signed=True)), h2.append(int.from_bytes(d[8:], "little", signed=True))
-                again.append(d in seen)
-                at = seen.setdefault(d, (b, e))
-                kept_begins.append(at[0]), kept_ends.append(at[1])
+            seen: dict[bytes, tuple[int, int, int, int]] = {}
+            for no, (b, e, n, d, gap_words, gap) in enumerate(units(text, min_words)):
+                again = d in seen
+                first = seen.setdefault(d, (b, e, no, gap))
+                rows.append((doc_id, fp, no, b, e, n, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), gap_words, gap, again, *first))
+        for k, values in zip(out, zip(*rows, strict=True), strict=False):
+            out[k] = values
         return out
 
     src = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    schema = "doc_id long, fp long, no int, begin int, end int, words int, h1 long, h2 long, again boolean, kept_begin int, kept_end int"
-    return map_rows(src, [F.col("doc_id").cast("long"), fingerprint(), "text"], fn, schema)
+    return map_rows(src, [F.col("doc_id").cast("long"), fingerprint(), "text"], fn, ", ".join(f"{k} {v}" for k, v in UNIT_COLUMNS.items()))
 
 
 def beside(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
@@ -113,7 +126,7 @@ def beside(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
     wanted = materialize(wanted.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("side", "at")).alias("wanted")), "wanted")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint().alias("fp"), "text").where("doc_id is not null and text is not null")
     own = maybe_among(own, F.col("fp"), wanted.select(F.col("fp").alias("k")))
-    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), "wanted")
+    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), "wanted")  # own has no other columns
     found = own.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.col("fp") == F.col("__fp"))).select("doc_id", "fp", "wanted", "text")
 
     def fetch(cols: list[list]) -> dict:
@@ -167,18 +180,22 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN)
     all_units = materialize(unit_table(docs, min_words), "units")
     spread = all_units.where("not again").groupBy("h1", "h2").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last")
     spread = materialize(spread.drop("last"), "spread")
-    likely = maybe_among(all_units.where("not again"), F.col("h1"), spread.select(F.col("h1").alias("k"))).drop("kept_begin", "kept_end")
+    likely = maybe_among(all_units.where("not again"), F.col("h1"), spread.select(F.col("h1").alias("k"))).drop("kept_begin", "kept_end", "kept_no", "kept_gap")
     shared = materialize(likely.join(spread, ["h1", "h2"]), "shared")
-    source = shared.where("kept_doc_id = doc_id").groupBy("h1", "h2").agg(F.min(F.struct("fp", "begin", "end")).alias("source"))
-    source = source.select("h1", "h2", F.col("source.fp").alias("kept_fp"), F.col("source.begin").alias("kept_begin"), F.col("source.end").alias("kept_end"))
-    columns = ["doc_id", "fp", "no", "begin", "end", "words", "kept_doc_id", "kept_fp", "kept_begin", "kept_end"]
+    source = shared.where("kept_doc_id = doc_id").groupBy("h1", "h2").agg(F.min(F.struct("fp", "begin", "end", "no", "gap")).alias("source"))
+    source = source.select("h1", "h2", *[F.col(f"source.{c}").alias(f"kept_{c}") for c in ("fp", "begin", "end", "no", "gap")])
+    columns = ["doc_id", "fp", "no", "begin", "end", "words", "gap_words", "gap", "kept_doc_id", "kept_fp", "kept_begin", "kept_end", "kept_no", "kept_gap"]
     gone = shared.where("kept_doc_id < doc_id").join(source, ["h1", "h2"]).select(*columns)
     own = all_units.where("again").withColumn("kept_doc_id", F.col("doc_id")).withColumn("kept_fp", F.col("fp"))
     gone = gone.unionByName(own.select(*columns)).distinct()
     order = Window.partitionBy("doc_id", "fp").orderBy("no")
-    gone = gone.withColumn("run", F.col("no") - F.row_number().over(order))
+    last = lambda c: F.lag(c).over(order)
+    alike = (F.col("gap") == F.col("kept_gap")) & (last("kept_doc_id") == F.col("kept_doc_id")) & (last("kept_fp") == F.col("kept_fp")) & (last("kept_no") + 1 == F.col("kept_no"))
+    goes_on = F.coalesce((last("no") + 1 == F.col("no")) & ((F.col("gap_words") == 0) | alike), F.lit(False))
+    gone = gone.withColumn("opens", (~goes_on).cast("int")).withColumn("run", F.sum("opens").over(order))
     run = Window.partitionBy("doc_id", "fp", "run")
-    whole = {"run_begin": F.min("begin"), "run_end": F.max("end"), "run_words": F.sum("words"), "run_units": F.count(F.lit(1)), "run_kept": F.min(F.struct("no", "kept_doc_id"))}
+    inner = F.col("words") + F.when(F.col("opens") == 0, F.col("gap_words")).otherwise(0)
+    whole = {"run_begin": F.min("begin"), "run_end": F.max("end"), "run_words": F.sum(inner), "run_units": F.count(F.lit(1)), "run_kept": F.min(F.struct("no", "kept_doc_id"))}
     gone = materialize(gone.withColumns({k: v.over(run) for k, v in whole.items()}).withColumn("run_kept", F.col("run_kept.kept_doc_id")), "runs")
     # a short run may hold units whose kept occurrences are elsewhere by chance, so each of its units is tried
     edge = lambda side, own: gone.where((F.col("run_words") < min_run) | (F.col(own) == F.col(f"run_{own}"))).select("doc_id", "fp", "run", F.lit(side).alias("side"), F.col(f"run_{own}").alias("edge"), F.col(own).alias("at"), "kept_doc_id", "kept_fp", F.col(f"kept_{own}").alias("kept_at"))
@@ -206,9 +223,10 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[in
 
 def clean(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
     """docs with the repeats cut out of text, and kept_spans: begin and end of what is left, null where all is."""
-    spans = repeats(docs, min_words, min_run).groupBy("doc_id", "fp").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("__spans"))
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), "__spans")
-    joined = docs.join(spans.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col("__id")) & (fingerprint() == F.col("__fp")), "left")
+    key, print_, gone, done = unused(docs, "id", "fp", "spans", "cut")
+    spans = repeats(docs, min_words, min_run).groupBy("doc_id", "fp").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias(gone))
+    spans = spans.select(F.col("doc_id").alias(key), F.col("fp").alias(print_), gone)
+    joined = docs.join(spans.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col(key)) & (fingerprint() == F.col(print_)), "left")
 
     @F.pandas_udf("struct<text string, kept array<struct<begin int, end int>>>")
     def cut(text, gone):
@@ -217,6 +235,7 @@ def clean(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -
         got = [without(t, [(x["begin"], x["end"]) for x in g]) if g is not None else (t, None) for t, g in zip(text, gone, strict=True)]
         return pd.DataFrame({"text": [a for a, _ in got], "kept": [None if b is None else [{"begin": x, "end": y} for x, y in b] for _, b in got]})
 
-    out = joined.withColumn("__cut", F.when(F.col("__spans").isNotNull(), cut("text", "__spans")))
-    text = F.when(F.col("__spans").isNotNull(), F.col("__cut.text")).otherwise(F.col("text"))
-    return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("__cut.kept").alias("kept_spans"))
+    out = joined.withColumn(done, F.when(F.col(gone).isNotNull(), cut("text", gone)))
+    text = F.when(F.col(gone).isNotNull(), F.col(f"{done}.text")).otherwise(F.col("text"))
+    own = [text.alias(c) if c == "text" else F.col(quoted(c)) for c in docs.columns if c.lower() != "kept_spans"]
+    return out.select(*own, F.col(f"{done}.kept").alias("kept_spans"))
