@@ -1,27 +1,31 @@
 """WARC archives read by an index first (operator 6).
 
-build_index() scans archives once, a file a task, and writes one row for each record: file, offset, length, type, URL, payload
-digest. A selection is then any query on that table, and fetch() reads only the selected records: rows are
+build_index() scans archives once, a file a task, and writes one row for each record: file, offset and length of its bytes, the
+record's place in them (inner, size; a gzip member may hold several records), type, URL, payload digest. A selection is then any query on that table, and fetch() reads only the selected records: rows are
 partitioned by file and block of BLOCK bytes, sorted by offset, and ranges closer than MAX_GAP are read together, up to MAX_READ
 bytes at once. Every record is parsed from its own range and its payload checked against the indexed digest.
 
-Archives are .warc (plain) or .warc.gz with one gzip member a record, as the format wants it. They are opened through
+Archives are .warc (plain) or .warc.gz, in gzip members of whole records (one each, as the format wants it). They are opened through
 pyarrow.fs, so any file system that executors share will do. write_archives() makes archives from a table of pages: each
 task writes a file of its own under a temporary name and renames it, so a lost or repeated task does no harm.
 
-Defined results: a null url or html survives the round trip (the header is left out; the payload is marked absent, its
+Defined results: every URL survives the round trip: one with control characters, or with blanks around it, is written percent-encoded
+and marked so; a null url or html survives the round trip (the header is left out; the payload is marked absent, its
 digest is null); an empty html is an empty payload; repeated rows are records of their own; an empty table makes archives without
 records, and an empty selection an empty table; other columns of pages are not archived; a damaged record, or one that does not
-match its digest, raises an error that names file and offset.
+match its digest, raises an error that names file and offset, and so do bytes after a record that are not a record.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, require, spark_to_arrow
 
 BLOCK, MAX_GAP, MAX_READ = 64 << 20, 128 << 10, 8 << 20
-INDEX = "file string, offset long, length long, type string, url string, digest string, page_id long"
+INDEX = "file string, offset long, length long, inner long, size long, type string, url string, digest string, page_id long"
 RECORDS = "page_id long, url string, html string, digest string"
 
 
@@ -47,13 +51,31 @@ def digest_of(payload: bytes) -> str:
     return "sha1:" + hashlib.sha1(payload).hexdigest()
 
 
+_UNSAFE = re.compile("[\\x00-\\x20\\x7f%]")
+
+
+def header_value(url: str) -> tuple[str, bool]:
+    """url as a header can hold it, and whether that is percent-encoded."""
+    if not re.search("[\\x00-\\x1f\\x7f]|^ | $", url):
+        return url, False
+    return _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url), True
+
+
+def matches(digest: str, body: bytes) -> bool:
+    """Whether a digest, SHA-1 in hexadecimal or base 32, is that of body; other algorithms are not checked."""
+    kind, _, value = digest.partition(":")
+    sha = hashlib.sha1(body)
+    return kind.lower() != "sha1" or value.lower() == sha.hexdigest() or value.upper() == base64.b32encode(sha.digest()).decode()
+
+
 def make_record(page_id: int | None, url: str | None, html: str | None) -> bytes:
     """A response record, uncompressed."""
     body = (html or "").encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
     head = ["WARC/1.0", "WARC-Type: response", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
-        head.append("WARC-Target-URI: " + url)
+        value, encoded = header_value(url)
+        head += ["WARC-Target-URI: " + value, *["X-Target-URI-Encoding: percent"] * encoded]
     head.append("WARC-Payload-Digest: " + digest_of(body) if html is not None else "X-Payload: absent")
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
@@ -71,19 +93,44 @@ def parse(data: bytes, where: str = "record") -> tuple[dict[str, str], bytes]:
     head, sep, rest = data.partition(b"\r\n\r\n")
     if not sep or not head.startswith(b"WARC/"):
         raise ValueError(f"{where}: no WARC header")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    headers = {k.strip().lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
     n = int(headers.get("content-length", "-1"))
     if not 0 <= n <= len(rest):
         raise ValueError(f"{where}: truncated")
     return headers, rest[:n]
 
 
+def url_of(headers: dict[str, str]) -> str | None:
+    url = headers.get("warc-target-uri")
+    return unquote(url) if url is not None and headers.get("x-target-uri-encoding") == "percent" else url
+
+
+def records(data: bytes, where: str) -> Iterator[tuple[int, int]]:
+    """Offset and length of each record of the content of a gzip member."""
+    at = 0
+    while at < len(data):
+        head_end = data.find(b"\r\n\r\n", at)
+        if not data.startswith(b"WARC/", at) or head_end < 0:
+            raise ValueError(f"{where}: no WARC header at {at} of its content")
+        n = head_end + 4 - at + content_length(data[at:head_end])
+        if at + n > len(data):
+            raise ValueError(f"{where}: truncated")
+        while data[at + n : at + n + 2] == b"\r\n":
+            n += 2
+        yield at, n
+        at += n
+
+
+def content_length(head: bytes) -> int:
+    return next((int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
+
+
 def payload(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
 
 
 def members(f, where: str, chunk: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
-    """Offset, length and content of each record of an open archive, gzip or plain."""
+    """Offset, length and content of each gzip member, or of each record of a plain archive."""
     buf, at = f.read(chunk), 0
     if buf[:2] == b"\x1f\x8b":
         while buf:
@@ -105,8 +152,9 @@ def members(f, where: str, chunk: int = 1 << 20) -> Iterator[tuple[int, int, byt
                 raise ValueError(f"{where} at {at}: truncated")
             buf += more
         head = buf.partition(b"\r\n\r\n")[0]
-        size = next((int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
-        n = len(head) + 4 + size + 4
+        if not head.startswith(b"WARC/"):
+            raise ValueError(f"{where} at {at}: no WARC header")
+        n = len(head) + 4 + content_length(head) + 4
         parts = [buf]
         have = len(buf)
         while have < n:
@@ -159,19 +207,20 @@ def build_index(spark: SparkSession, files: list[str]) -> DataFrame:
                 rows: list[tuple] = []
                 with fs.open_input_stream(path, compression=None) as f:
                     for offset, length, data in members(f, name):
-                        headers, block = parse(data, f"{name} at {offset}")
-                        absent = headers.get("x-payload") == "absent"
-                        digest = None if absent else headers.get("warc-payload-digest") or digest_of(payload(block))
-                        page = headers.get("x-page-id")
-                        rows.append((name, offset, length, headers.get("warc-type"), headers.get("warc-target-uri"), digest, int(page) if page else None))
-                        if len(rows) == 5000:
+                        for inner, size in records(data, f"{name} at {offset}"):
+                            headers, block = parse(data[inner : inner + size], f"{name} at {offset}")
+                            absent = headers.get("x-payload") == "absent"
+                            digest = None if absent else headers.get("warc-payload-digest") or digest_of(payload(block))
+                            page = headers.get("x-page-id")
+                            rows.append((name, offset, length, inner, size, headers.get("warc-type"), url_of(headers), digest, int(page) if page else None))
+                        if len(rows) >= 5000:
                             yield _batch(rows, schema)
                             rows = []
                 yield _batch(rows, schema)
 
     names = spark.createDataFrame([(f,) for f in files], "file string")
     path = fresh_path(spark, "warc-index")
-    names.repartition(max(1, len(files)), "file").mapInArrow(run, INDEX).write.parquet(path)
+    names.repartitionByRange(max(1, len(files)), "file").mapInArrow(run, INDEX).write.parquet(path)
     return spark.read.schema(INDEX).parquet(path)
 
 
@@ -194,11 +243,11 @@ def coalesce(ranges: Iterator[tuple], gap: int = MAX_GAP, most: int = MAX_READ)
 def fetch(selected: DataFrame) -> DataFrame:
     """page_id, url, html and digest of the selected index rows."""
     schema = spark_to_arrow(selected.sparkSession, RECORDS)
-    columns = ["file", "offset", "length", "url", "digest", "page_id"]
+    columns = ["file", "offset", "length", "inner", "size", "url", "digest", "page_id"]
 
     def run(batches):
         rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
-        name, f, out, size = None, None, [], 0
+        name, f, out, held = None, None, [], 0
         for group in coalesce(rows):
             if group[0][0] != name:
                 if f is not None:
@@ -208,23 +257,23 @@ def fetch(selected: DataFrame) -> DataFrame:
                 f = fs.open_input_file(path)
             start = group[0][1]
             data = f.read_at(max(r[1] + r[2] for r in group) - start, start)
-            for _, offset, length, url, digest, page_id in group:
+            for _, offset, length, inner, size, url, digest, page_id in group:
                 raw = data[offset - start : offset - start + length]
                 where = f"{name} at {offset}"
                 if raw[:2] == b"\x1f\x8b":
                     raw = zlib.decompress(raw, 31)
-                _, block = parse(raw, where)
+                _, block = parse(raw[inner : inner + size], where)
                 body = payload(block)
-                if digest is not None and digest_of(body) != digest:
+                if digest is not None and not matches(digest, body):
                     raise ValueError(f"{where}: payload does not match {digest}")
                 out.append((page_id, url, None if digest is None else body.decode("utf-8", "replace"), digest))
-                size += len(body)
-                if size > 4 << 20:
+                held += len(body)
+                if held > 4 << 20:
                     yield _batch(out, schema)
-                    out, size = [], 0
+                    out, held = [], 0
         if f is not None:
             f.close()
         yield _batch(out, schema)
 
     placed = selected.where("type = 'response'").select(*columns).repartition("file", F.floor(F.col("offset") / BLOCK))
-    return placed.sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
+    return placed.sortWithinPartitions("file", "offset", "inner").mapInArrow(run, RECORDS)
