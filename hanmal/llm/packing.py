@@ -8,9 +8,8 @@ budget allows, and at least one, so a document longer than the budget is a batch
 Positions within a bucket are exact global ranks without a global sort in one task: documents are range-partitioned by
 (bucket, doc_id), the counts per partition and bucket are summed up, and local ranks are shifted by them.
 
-The driver holds the histogram of distinct lengths, rounded up to multiples of a step once lengths exceed
-steps_per_octave per power of two, so its size grows with the logarithm of the longest text. The rounding is part of the bucket
-boundaries, never of the counts.
+The driver holds the exact histogram: a row for each distinct token count, so its size grows with the longest text, never with the
+number of documents. The programme is exact, in integers, and linear in the histogram for each bucket.
 
 Defined results: null, empty texts have 0 tokens and go into the first bucket; a null doc_id ranks before all others;
 repeated rows are packed as often as they occur; ties of doc_id are ordered by a hash of the text; an empty table gives an
@@ -19,7 +18,8 @@ empty table; other columns are ignored.
 
 from __future__ import annotations
 
-import numpy as np
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,54 +29,46 @@ from .tokens import VOCABULARY, with_counts
 
 TOKEN_BUDGET = 65536
 BUCKETS = 16
-STEPS_PER_OCTAVE = 256
-
-
-def rounded(length: int, steps: int = STEPS_PER_OCTAVE) -> int:
-    """length, rounded up so that each power of two holds at most `steps` values."""
-    step = max(1, (1 << max(0, length - 1).bit_length()) // (2 * steps))
-    return -(-length // step) * step
 
 
 def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """Upper boundaries, among the ascending lengths, of the at most `buckets` ranges with the least padding.
 
-    The cost obeys the quadrangle inequality, so the best cuts are monotone and divide and conquer finds them in
-    O(buckets * n log n).
+    Lengths i .. j-1 in one bucket cost x[j-1] * (N[j] - N[i]) - (M[j] - M[i]) tokens of padding, N and M being the running counts and
+    tokens. For fixed j this is the least of the lines best[i] + M[i] - N[i] * x at x = x[j-1]; their slopes fall with i and
+    the places rise with j, so one pass over their lower envelope finds all of a bucket's cuts.
     """
     n = len(lengths)
     if n <= buckets:
         return list(lengths)
-    x = np.array(lengths, np.float64)
-    number = np.concatenate(([0.0], np.cumsum(np.array(counts, np.float64))))
-    mass = np.concatenate(([0.0], np.cumsum(np.array(counts, np.float64) * x)))
-
-    def cost(i, j):  # lengths i .. j-1 padded to the last of them
-        return x[j - 1] * (number[j] - number[i]) - (mass[j] - mass[i])
-
-    best = np.full(n + 1, np.inf)
-    best[1:] = cost(np.zeros(n, int), np.arange(1, n + 1))
+    number = [0, *accumulate(counts)]
+    mass = [0, *accumulate(a * b for a, b in zip(lengths, counts, strict=True))]
+    best: list[int | None] = [0] + [lengths[j - 1] * number[j] - mass[j] for j in range(1, n + 1)]
     cuts = []
     for _ in range(buckets - 1):
-        new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        todo = [(1, n, 0, n - 1)]
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
-            j = (lo + hi) // 2
-            i = np.arange(a, min(b, j - 1) + 1)
-            total = best[i] + cost(i, j)
-            k = int(np.argmin(total))
-            new[j], cut[j] = total[k], i[k]
-            todo += [(lo, j - 1, a, int(i[k])), (j + 1, hi, int(i[k]), b)]
-        cuts.append(np.where(new < best, cut, -1))
-        best = np.minimum(new, best)
+        new, cut, lines, front = list(best), [-1] * (n + 1), [], 0
+        for j in range(1, n + 1):
+            i = j - 1  # the line that may now be used
+            slope, base = -number[i], best[i] + mass[i]
+            while len(lines) - front >= 2:
+                (s1, b1, _), (s2, b2, _) = lines[-2], lines[-1]
+                if (base - b1) * (s1 - s2) > (b2 - b1) * (s1 - slope):
+                    break
+                lines.pop()  # the last line is nowhere below both of its neighbours
+            lines.append((slope, base, i))
+            x = lengths[j - 1]
+            while len(lines) - front >= 2 and lines[front + 1][0] * x + lines[front + 1][1] <= lines[front][0] * x + lines[front][1]:
+                front += 1
+            least = lines[front][0] * x + lines[front][1] + x * number[j] - mass[j]
+            if least < best[j]:
+                new[j], cut[j] = least, lines[front][2]
+        cuts.append(cut)
+        best = new
     out, j = [], n
     for cut in reversed(cuts):
         if cut[j] >= 0:
             out.append(lengths[j - 1])
-            j = int(cut[j])
+            j = cut[j]
             if j == 0:
                 return sorted(out)
     out.append(lengths[j - 1])
@@ -85,10 +77,7 @@ def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> l
 
 def boundaries(counted: DataFrame, buckets: int) -> list[int]:
     """Bucket boundaries for a table with n_tokens, from the histogram of all of it."""
-    top = F.ceil(F.log2(F.greatest(F.col("n_tokens"), F.lit(1))))
-    step = F.greatest(F.lit(1), F.floor(F.pow(F.lit(2.0), top) / (2 * STEPS_PER_OCTAVE))).cast("long")
-    up = (F.ceil(F.col("n_tokens") / step) * step).cast("long")
-    rows = counted.groupBy(up.alias("length")).count().collect()
+    rows = counted.groupBy(F.col("n_tokens").alias("length")).count().collect()
     hist = sorted((r["length"], r["count"]) for r in rows)
     return optimal_boundaries([a for a, _ in hist], [b for _, b in hist], buckets)
 
