@@ -3,21 +3,24 @@
 1. A softmax classifier, fitted on a bounded sample of the labels table (at most max_train documents of each class),
    predicts for every document its posteriors over the domains: low quality, toxic, clean. The classes are sampled alike
    and the intercepts corrected to their shares among all labels.
-2. Document rates x >= 0, at most max_rate, are fitted so that the expected domain token totals sum(x * tokens * posterior)
-   match the targets: projected gradient descent on the squared residuals, from x = 1. The step of a document depends on its
-   posteriors alone, so documents are first summed up by posterior (rounded to 1/GRID; totals stay exact), and each
-   iteration is one aggregation over that table with the rates recomputed from the gradients so far.
+2. Document rates x >= 0 are fitted so that the expected domain token totals sum(x * tokens * posterior) match the targets:
+   projected gradient descent on the squared residuals, from x = 1, with no upper bound unless max_rate sets one. Residuals are weighted
+   by the inverse Gram matrix of the documents whose rate can move, which spares the descent the many steps that unlike domains cost,
+   and a step that does not lower the residuals is halved. A document's rate is a function of its own posteriors and of the steps, three
+   numbers each, so an iteration is one aggregation over all documents that computes their rates anew, and nothing per
+   document is held between iterations.
 3. A document is drawn floor(x) times, and once more if a hash of its doc_id says so.
 
-Unless total_tokens is given, the total is the one at which the domain with the largest target is kept whole. A domain that
-holds less than its target is repeated: max_rate is then raised to twice what that domain needs, and the descent is scaled by
-what each domain holds, as steps of 1 / L would never reach it. Only a domain without any tokens has its target lowered, to
-nothing. Targets and achieved totals are in the Rates and logged, a missed target as a warning.
+Unless total_tokens is given, the total is the one at which the domain with the largest target keeps its tokens. A domain that holds
+less than its target is repeated. The descent ends when the targets are met within `tolerance` of the total, or when the
+projected gradient is nought (to GRADIENT of the total), as where no document's posteriors reach a domain: `unmet`, the largest difference as
+a share of the total, is a column of every row, and is logged. A descent that has done neither after most_steps raises NotConverged.
 Tokens are those of operator 5.
 
-Defined results: null and empty texts have no tokens and the posteriors of the empty text; labels with nulls are ignored, of several
-labels of one document the first class of DOMAINS counts; a null doc_id is drawn by a hash of its text; repeated rows
-are drawn alike; an empty table gives an empty table; without labels all posteriors are equal.
+Defined results: null and empty texts have no tokens and the posteriors of the empty text; labels with a null doc_id or quality
+are ignored and a null toxic counts as 0; of several labels of one document the lowest quality and the highest toxic count; a null
+doc_id is drawn by a hash of its text; repeated rows are drawn alike; an empty table gives an empty table; without labels all
+posteriors are equal, so that no rates can meet unequal targets; other columns are passed on by apply(), whatever their names.
 """
 
 from __future__ import annotations
@@ -30,13 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import features
-from .common import fingerprint, map_rows, materialize, require
+from .common import fingerprint, map_rows, materialize, own_columns, require, unused
 from .tokens import VOCABULARY, count_tokens
 
-#: Conditions on labels; in order of name, so that the first wins where labels of a document disagree.
+#: Conditions on labels, which exclude each other.
 DOMAINS = {"clean": "quality > 0 and coalesce(toxic, 0) <= 0", "low": "quality <= 0", "toxic": "quality > 0 and toxic > 0"}
 TARGETS = {"clean": 0.96, "low": 0.02, "toxic": 0.02}
-GRID = 250
+#: Projected gradients below this share of the total count as nought.
+GRADIENT = 1e-7
 log = logging.getLogger(__name__)
 P = [f"p_{d}" for d in DOMAINS]
 
@@ -108,61 +112,106 @@ def with_posteriors(docs: DataFrame, model: Softmax, vocabulary: str = VOCABULAR
     return map_rows(docs, [F.col("doc_id").cast("long"), fingerprint(), "text"], fn, schema)
 
 
+class NotConverged(RuntimeError):
+    """The descent met neither its targets nor a stationary point."""
+
+
 @dataclass(frozen=True)
 class Rates:
-    """Rates as a function of posteriors: the descent from 1 along the gradients so far, clipped at each step."""
+    """Rates as a function of posteriors: from 1 down the steps so far, projected to [0, max_rate] after each."""
 
-    gradients: tuple[tuple[float, ...], ...]
-    max_rate: float
+    steps: tuple[tuple[float, ...], ...] = ()
+    max_rate: float | None = None
     #: By domain: wanted and achieved expected tokens.
     totals: tuple[tuple[str, float, float], ...] = ()
+    #: The largest difference between these, as a share of all wanted tokens.
+    unmet: float = 0.0
 
     def column(self) -> Column:
-        p = [F.round(F.col(c) * GRID) / GRID for c in P]
-        if not self.gradients:
-            return F.lit(1.0)
-        steps = F.expr("array(" + ", ".join("array(" + ", ".join(f"{v!r}D" for v in g) + ")" for g in self.gradients) + ")")
-        down = lambda x, g: F.greatest(F.lit(0.0), F.least(F.lit(self.max_rate), x - sum((p[k] * g[k] for k in range(1, len(P))), p[0] * g[0])))
-        return F.aggregate(steps, F.lit(1.0), down)
-
-
-def fit_rates(scored: DataFrame, targets: dict[str, float], total_tokens: float | None = None, max_rate: float = 1.0, tolerance: float = 1e-4, most_steps: int = 60) -> Rates:
-    """scored: n_tokens and posteriors. Projected gradient with the step 1 / L."""
-    cells = materialize(
-        scored.groupBy(*[(F.round(F.col(c) * GRID) / GRID).alias(f"cell_{c}") for c in P])
-        .agg(F.sum("n_tokens").cast("double").alias("tokens"), *[F.sum(F.col("n_tokens") * F.col(c)).alias(f"sum_{c}") for c in P])
-        .select("tokens", *[F.col(f"cell_{c}").alias(c) for c in P], *[f"sum_{c}" for c in P]),
-        "cells",
-    )
-    products = [F.sum(F.col(f"sum_{a}") * F.col(b)).alias(f"{a}{b}") for a in P for b in P]
-    first = cells.agg(F.sum("tokens").alias("tokens"), *[F.sum(f"sum_{c}").alias(c) for c in P], *products).first()
-    have = np.array([first[c] or 0.0 for c in P])
-    w = np.array([targets[d] for d in DOMAINS])
+        x = F.lit(1.0)
+        for step in self.steps:
+            x = F.greatest(F.lit(0.0), x - sum((F.col(c) * v for c, v in zip(P[1:], step[1:], strict=True)), F.col(P[0]) * step[0]))
+            if self.max_rate is not None:
+                x = F.least(F.lit(self.max_rate), x)
+        return x
+
+    def then(self, step: np.ndarray) -> Rates:
+        return Rates((*self.steps, tuple(map(float, step))), self.max_rate)
+
+
+@dataclass(frozen=True)
+class _State:
+    """Of all documents at some rates: domain totals as shares of the total, and the Gram matrices of documents at 0, at max_rate, and between."""
+
+    got: np.ndarray
+    free: np.ndarray
+    zero: np.ndarray
+    top: np.ndarray
+
+
+def _state(scored: DataFrame, rates: Rates, total: float) -> _State:
+    t = F.col("n_tokens").cast("double")
+    pairs = [(i, j) for i in range(len(P)) for j in range(i, len(P))]
+    at = F.when(F.col("x") <= 0, "zero").when((F.col("x") >= rates.max_rate) if rates.max_rate is not None else F.lit(False), "top").otherwise("free")
+    sums = [F.sum(t * F.col("x") * F.col(c)).alias(c) for c in P] + [F.sum(t * F.col(P[i]) * F.col(P[j])).alias(f"g{i}{j}") for i, j in pairs]
+    rows = {r["at"]: r for r in scored.select("n_tokens", *P, rates.column().alias("x")).withColumn("at", at).groupBy("at").agg(*sums).collect()}
+    got = np.array([sum(r[c] or 0.0 for r in rows.values()) for c in P]) / total
+    gram = dict.fromkeys(("free", "zero", "top"), None)
+    for name in gram:
+        g = np.zeros((len(P), len(P)))
+        for i, j in pairs:
+            g[i, j] = g[j, i] = (rows[name][f"g{i}{j}"] or 0.0) / total if name in rows else 0.0
+        gram[name] = g
+    return _State(got, **gram)
+
+
+def fit_rates(scored: DataFrame, targets: dict[str, float], total_tokens: float | None = None, max_rate: float | None = None, tolerance: float = 1e-4, most_steps: int = 200) -> Rates:
+    """scored: n_tokens and posteriors, cheap to read more than once."""
+    w = np.array([targets[d] for d in DOMAINS], float)
     w = w / w.sum()
-    if not have.sum():
-        return Rates((), max_rate)
+    rates = Rates((), max_rate)
+    first = _state(scored, rates, 1.0).got
+    if not first.sum():
+        return rates
     lead = int(np.argmax(w))
-    total = total_tokens or float(have[lead] / w[lead] if have[lead] else have.sum())
-    asked = w
-    scarce = (have > 0) & (have * max_rate < w * total)
-    if scarce.any():
-        max_rate = 2 * float((w[scarce] * total / have[scarce]).max())
-    w = np.minimum(w, have * max_rate / total)
-    lipschitz = np.linalg.norm(np.array([first[f"{a}{b}"] or 0.0 for a in P for b in P]).reshape(len(P), len(P)) / total, 2)
-    step = 1 / (np.maximum(have, 1e-9 * have.sum()) / total if scarce.any() else np.full(len(P), lipschitz))
-    rates, was = Rates((), max_rate), np.full(len(P), np.inf)
-    for _ in range(most_steps):
-        x = rates.column()
-        got = cells.select(*P, *[f"sum_{c}" for c in P], x.alias("x")).agg(*[F.sum(F.col(f"sum_{c}") * F.col("x")).alias(c) for c in P]).first()
-        residual = np.array([got[c] for c in P]) / total - w
-        if np.abs(residual).max() < tolerance or np.abs(residual - was).max() < tolerance / 10:  # met, or as near as the bounds let it
+    total = total_tokens or float(first[lead] / w[lead] if first[lead] else first.sum())
+    now = _state(scored, rates, total)
+    error = lambda s: float(np.abs(s.got - w).max())
+    every = now.free + now.zero + now.top
+    scale = np.linalg.norm(every, 2)
+    done, size, steps = error(now) <= tolerance, 1.0, 0
+    while not done:
+        residual = now.got - w
+        # documents at a bound move only if the gradient leads inwards; their share of the Gram matrix is added if they might
+        gram = now.free + (now.zero if (residual < 0).any() else 0) + (now.top if (residual > 0).any() else 0)
+        flat = np.linalg.norm(gram @ residual) <= GRADIENT * max(scale, 1e-30)
+        if flat:
             break
-        was = residual
-        rates = Rates((*rates.gradients, tuple((residual * step).tolist())), max_rate)
-    totals = tuple((d, float(a * total), float(got[c])) for d, a, c in zip(DOMAINS, asked, P, strict=True))
+        way = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ residual
+        while True:
+            steps += 1
+            tried = rates.then(way * size)
+            new = _state(scored, tried, total)
+            better = np.linalg.norm(new.got - w) < (1 - 1e-4 * size) * np.linalg.norm(residual)
+            if better or steps >= most_steps or size < 1e-3:
+                break
+            size /= 2
+        if not better and size < 1e-3:
+            if gram is now.free or not np.isfinite(way).all():
+                break
+            plain = residual / max(scale, 1e-30)  # the unweighted gradient, at the step that can't overshoot
+            tried = rates.then(plain)
+            new = _state(scored, tried, total)
+            if np.linalg.norm(new.got - w) >= (1 - GRADIENT) * np.linalg.norm(residual):
+                break
+        rates, now, size = tried, new, min(1.0, 2 * size)
+        done = error(now) <= tolerance
+        if not done and steps >= most_steps:
+            raise NotConverged(f"after {steps} steps the domain totals are {(now.got).round(5).tolist()} of {w.round(5).tolist()}")
+    totals = tuple((d, float(a * total), float(g * total)) for d, a, g in zip(DOMAINS, w, now.got, strict=True))
     for d, want, met in totals:
-        log.log(logging.WARNING if abs(met - want) > 0.05 * want else logging.INFO, "domain %s: target %.0f tokens, achieved %.0f", d, want, met)
-    return Rates(rates.gradients, max_rate, totals)
+        log.log(logging.WARNING if abs(met - want) > tolerance * total else logging.INFO, "domain %s: target %.0f tokens, achieved %.0f", d, want, met)
+    return Rates(rates.steps, max_rate, totals, error(now))
 
 
 def copies(rate: Column, seed: int = 11) -> Column:
@@ -172,18 +221,18 @@ def copies(rate: Column, seed: int = 11) -> Column:
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("int")
 
 
-def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = 1.0, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, fp, n_tokens, posteriors, rate and copies of each row."""
+def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, fp, n_tokens, posteriors, rate, copies and unmet of each row."""
     scored = materialize(with_posteriors(docs, fit_classifier(docs, labels), vocabulary), "posteriors")
-    out = scored.withColumn("rate", fit_rates(scored, targets, max_rate=max_rate).column())
-    return out.withColumn("copies", copies(F.col("rate")))
+    rates = fit_rates(scored, targets, max_rate=max_rate)
+    return scored.withColumn("rate", rates.column()).withColumn("copies", copies(F.col("rate"))).withColumn("unmet", F.lit(rates.unmet))
 
 
-def apply(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = 1.0, vocabulary: str = VOCABULARY) -> DataFrame:
+def apply(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """docs, each row as often as it is drawn."""
+    key, print_, n = unused(docs, "id", "fp", "n")
     drawn = rated(docs, labels, targets, max_rate, vocabulary).where("copies > 0")
-    drawn = drawn.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("copies").alias("__n")).distinct()
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & fingerprint().eqNullSafe(F.col("__fp"))
+    drawn = drawn.select(F.col("doc_id").alias(key), F.col("fp").alias(print_), F.col("copies").alias(n)).distinct()
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & fingerprint().eqNullSafe(F.col(print_))
     out = docs.join(drawn.hint("shuffle_hash"), on)
-    out = out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*own_columns(docs), F.explode(F.sequence(F.lit(1), F.col(n))).alias(n)).drop(n)
