@@ -11,7 +11,9 @@ lines within one edit, though, either the first or the second half is equal. So
 64-bit hashes of its halves (three keys, as the shorter of a pair sets the cut), and only lines that share a half go on.
 Within each shared half, all their deletion variants are emitted as hashed keys; equal variants join a line to the line that
 is that variant (an insertion), or to a line with the same variant at the same place (a replacement); the edit distance
-of every joined pair is then verified on the texts. Exact copies of a line need no variant: a digest of 128 bits
+of every joined pair is then verified on the texts. A half that many lines share (more than hot_lines) is not one task's work: its
+lines send their variants as rows of their own, which are joined on (half, variant) by the cluster, and the pairs are verified after
+joining the texts; at most one line for each character there is shares a variant at one place, so no variant is hot. Both ways find the same pairs. Exact copies of a line need no variant: a digest of 128 bits
 groups them. No candidate is dropped, and none of this depends on how often a line occurs.
 
 Text is shuffled for two things only: to fetch the candidate lines (of documents that a broadcast sketch of fixed size lets
@@ -33,12 +35,13 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import textvec as tv
-from .common import CHUNK_CHARS, fingerprint, map_rows, materialize, maybe_among, require, spark_to_arrow
+from .common import CHUNK_CHARS, fingerprint, map_rows, materialize, maybe_among, own_columns, require, spark_to_arrow, unused
 
 ID = ["h1", "h2"]
+#: Distinct lines that share a half, up to which one task joins their variants in memory.
+HOT_LINES = 100_000
 RANK = ["doc_id", "line_no", "fp"]
 
 
@@ -132,29 +135,84 @@ def later_neighbours(group: np.ndarray, rank: np.ndarray, texts: list[str]) -> n
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, text: str) -> Iterator[pa.Table]:
     """Tables of about CHUNK_CHARS of text that never cut a group of equal keys; the batches come sorted by key."""
-    held: pa.Table | None = None
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        if (pc.sum(pc.binary_length(held.column(text))).as_py() or 0) < CHUNK_CHARS:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(text))).as_py() or 0
+        if size < CHUNK_CHARS:
             continue
-        keys = held.column(key).to_numpy()
+        keys = batch.column(key).to_numpy()
         cut = int(np.searchsorted(keys, keys[-1]))
-        if cut:
-            yield held.slice(0, cut)
-            held = held.slice(cut)
-    if held is not None and held.num_rows:
-        yield held
-
+        if cut:  # else the last group began before this batch
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+            size = pc.sum(pc.binary_length(held[0].column(text))).as_py() or 0
+        elif held[0].column(key)[0].as_py() != keys[-1]:  # groups before that one are whole
+            whole, rest = [], []
+            for b in held:
+                at = int(np.searchsorted(b.column(key).to_numpy(), keys[-1]))
+                whole.append(b.slice(0, at)), rest.append(b.slice(at))
+            yield pa.Table.from_batches(whole)
+            held = [b for b in rest if b.num_rows]
+            size = sum(pc.sum(pc.binary_length(b.column(text))).as_py() or 0 for b in held)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def variant_rows(lines: DataFrame) -> DataFrame:
+    """For each (key, line) its place-bound variants, its variants, and itself: v1, v2 (a digest with the key), kind, h1, h2, RANK.
+
+    kind 0: a variant and the place of the deleted character; 1: a variant; 2: the line itself.
+    """
+    kinds = "v1 long, v2 long, kind int, h1 long, h2 long, doc_id long, line_no int, fp long"
+    schema = spark_to_arrow(lines.sparkSession, kinds)
 
-def near_copies(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, h1, h2, doc_id, line_no, fp, s in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own, salt = (h1, h2, doc_id, line_no, fp), key.to_bytes(8, "little", signed=True)
+                rows.append((*digest(salt + s.encode()), 2, *own))
+                for i in range(len(s)):
+                    cut = salt + (s[:i] + s[i + 1 :]).encode()
+                    rows.append((*digest(cut), 1, *own))
+                    rows.append((*digest(cut + i.to_bytes(8, "little")), 0, *own))
+                if len(rows) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return lines.select("key", *ID, *RANK, "line").mapInArrow(run, kinds)
+
+
+def joined_variants(lines: DataFrame) -> DataFrame:
+    """Digests of the lines (key, ID, RANK, line) that have an earlier one within one edit in their key: by joins on variants alone."""
+    v = ["v1", "v2"]
+    rows = materialize(variant_rows(lines), "variants")
+    who = F.struct(*RANK, *ID)
+    first = rows.where("kind = 0").groupBy(*v).agg(F.min(who).alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    pairs = rows.where("kind = 0").select(*v, who.alias("one")).join(first, v)
+    whole = rows.where("kind = 2").select(*v, who.alias("other"))
+    pairs = pairs.union(rows.where("kind = 1").select(*v, who.alias("one")).join(whole, v).select(pairs.columns))
+    later, earlier = F.greatest("one", "other"), F.least("one", "other")
+    pairs = pairs.where("one != other").select(later.alias("one"), earlier.alias("other")).select("one.h1", "one.h2", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2")).distinct()
+    text = lines.select(*ID, "line").dropDuplicates(ID)
+    near = pairs.join(text, ID).join(text.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other")), ["o1", "o2"])
+    return near.where(F.levenshtein("line", "other", 1) >= 0).select(*ID)
+
+
+def near_copies(docs: DataFrame, distinct: DataFrame, hot_lines: int = HOT_LINES) -> DataFrame:
     """Digests of the distinct lines that have an earlier one within one edit."""
-    w = Window.partitionBy("key")
+    each = materialize(distinct.select(*ID, "first.*", F.explode("keys").alias("key")), "keys")
+    counts = materialize(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "halves")
+    likely = maybe_among(each, F.col("key"), counts.select(F.col("key").alias("k")))
     shared = materialize(
-        distinct.select(*ID, "first.*", F.explode("keys").alias("key"))
-        .withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1")
-        .groupBy("doc_id", "fp").agg(F.collect_list(F.struct("line_no", *ID, "key")).alias("wanted")),
+        likely.join(counts, "key").groupBy("doc_id", "fp")
+        .agg(F.collect_list(F.struct("line_no", *ID, "key", (F.col("n") > hot_lines).alias("hot"))).alias("wanted")),
         "shared",
     )
     wanted = shared.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), "wanted")
@@ -163,16 +221,16 @@ def near_copies(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFra
     found = own.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.col("fp") == F.col("__fp"))).select("doc_id", "fp", "wanted", "text")
 
     def fetch(cols: list[list]) -> dict:
-        out: dict[str, list] = {k: [] for k in ("key", *ID, *RANK, "line")}
+        out: dict[str, list] = {k: [] for k in ("key", "hot", *ID, *RANK, "line")}
         for doc_id, fp, want, text in zip(*cols, strict=True):
             lines = text.split("\n")
             for x in want:
-                row = (x["key"], x["h1"], x["h2"], doc_id, x["line_no"], fp, normalise(lines[x["line_no"]]))
+                row = (x["key"], x["hot"], x["h1"], x["h2"], doc_id, x["line_no"], fp, normalise(lines[x["line_no"]]))
                 for k, v in zip(out, row, strict=True):
                     out[k].append(v)
         return out
 
-    schema = "key long, h1 long, h2 long, doc_id long, line_no int, fp long, line string"
+    schema = "key long, hot boolean, h1 long, h2 long, doc_id long, line_no int, fp long, line string"
     lines = map_rows(found, ["doc_id", "fp", "wanted", "text"], fetch, schema).dropDuplicates(["key", *ID])
     names = spark_to_arrow(docs.sparkSession, "h1 long, h2 long")
 
@@ -186,29 +244,34 @@ def near_copies(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFra
             for b in t.select(ID).filter(gone).cast(names).combine_chunks().to_batches():
                 yield b
 
-    return lines.repartition("key").sortWithinPartitions("key").mapInArrow(run, "h1 long, h2 long").distinct()
+    any_hot = not counts.where(F.col("n") > hot_lines).isEmpty()
+    if any_hot:
+        lines = materialize(lines, "candidates")
+    near = lines.where("not hot").repartition("key").sortWithinPartitions("key").mapInArrow(run, "h1 long, h2 long")
+    return (near.union(joined_variants(lines.where("hot"))) if any_hot else near).distinct()
 
 
-def removals(docs: DataFrame, min_chars: int = 20, short_copies: bool = False) -> DataFrame:
+def removals(docs: DataFrame, min_chars: int = 20, short_copies: bool = False, hot_lines: int = HOT_LINES) -> DataFrame:
     """doc_id, fp and the array of line numbers that go."""
     require(docs, "doc_id", "text")
     lines = materialize(lines_of(docs, min_chars, short_copies), "lines")
     distinct = lines.groupBy(*ID).agg(F.min(F.struct(*RANK)).alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n"))
-    near = near_copies(docs, distinct, min_chars).withColumn("near", F.lit(True))
+    near = near_copies(docs, distinct, hot_lines).withColumn("near", F.lit(True))
     rules = lines.groupBy(*ID).agg(F.min(F.struct(*RANK)).alias("first"), F.count(F.lit(1)).alias("n")).join(near, ID, "left").where("n > 1 or near")
     gone = lines.select(*ID, *RANK).join(rules, ID).where(F.col("near").isNotNull() | (F.struct(*RANK) != F.col("first")))
     return gone.groupBy("doc_id", "fp").agg(F.collect_set("line_no").alias("lines"))
 
 
-def apply(docs: DataFrame, min_chars: int = 20, short_copies: bool = False) -> DataFrame:
+def apply(docs: DataFrame, min_chars: int = 20, short_copies: bool = False, hot_lines: int = HOT_LINES) -> DataFrame:
     """docs without the lines that repeat an earlier one."""
-    gone = removals(docs, min_chars, short_copies).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("lines").alias("__gone"))
-    on = (F.col("doc_id").cast("long") == F.col("__id")) & (fingerprint() == F.col("__fp"))
-    left = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull()), "\n")
-    changed = F.col("__gone").isNotNull()
+    key, print_, lines = unused(docs, "id", "fp", "gone")
+    gone = removals(docs, min_chars, short_copies, hot_lines).select(F.col("doc_id").alias(key), F.col("fp").alias(print_), F.col("lines").alias(lines))
+    on = (F.col("doc_id").cast("long") == F.col(key)) & (fingerprint() == F.col(print_))
+    left = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.array_contains(lines, i), x)), lambda x: x.isNotNull()), "\n")
+    changed = F.col(lines).isNotNull()
     kinds = dict(docs.dtypes)
     columns = {"text": F.when(changed, left).otherwise(F.col("text"))}
     out = docs.join(gone.hint("shuffle_hash"), on, "left").withColumns(columns).where(~changed | ~F.col("text").rlike(r"^\s*$"))
     if "n_chars" in kinds:
         out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(kinds["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*own_columns(docs))
