@@ -12,8 +12,8 @@ of equals; where nothing can be certified, the rule rejects nothing in that stra
 Labels and counts cover all labelled documents: what reaches the driver is a histogram of strata x rules x cutoffs.
 
 Defined results: a null or empty text counts as the empty text (shortness 2, all else 0); a null language is a stratum of
-its own; labels whose quality or doc_id is null are ignored, of conflicting or repeated labels the highest quality counts
-once; repeated rows are judged alike; without documents or labels nothing is rejected; other columns are passed through.
+its own; labels whose quality or doc_id is null are ignored, of conflicting or repeated labels the lowest quality counts
+once; of rows that share a doc_id the one with the smallest hash of its text stands for the labelled document; repeated rows are judged alike; without documents or labels nothing is rejected; other columns are passed through.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import chunks, map_rows, require
+from .common import chunks, fingerprint, map_rows, materialize, maybe_among, one_label, require
 
 RULES = ("symbol_share", "upper_share", "repeat_share", "bare_share", "top_share", "exclaim_share", "shortness", "word_length", "digit_share")
 #: A value is rejected when it exceeds the cutoff; the first rejects no share of 1 at all.
@@ -107,11 +107,13 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, level: float,
 
 def fit(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, weight: float = 5.0) -> dict[str | None, dict[str, float]]:
     """Cutoffs by stratum and rule. weight: bad documents that one good one is worth in the choice of a cutoff."""
-    labelled = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    labelled = materialize(one_label(labels).select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), "labelled")
     place = F.array(*[F.expr(f"size(filter(grid, c -> c >= {r}))") for r in RULES])
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", fingerprint().alias("fp"), "text").where("doc_id is not null")
+    own = maybe_among(own, F.col("doc_id"), labelled.select(F.col("doc_id").alias("k")))  # rules are computed for labelled documents only
+    one = with_values(own, "doc_id", "lang", "fp").groupBy("doc_id").agg(F.min_by(F.struct("lang", *RULES), F.coalesce("fp", F.lit(0))).alias("x")).select("doc_id", "x.*")
     counts = (
-        with_values(docs.where(F.col("doc_id").isNotNull()), "doc_id", "lang").dropDuplicates(["doc_id"])
-        .join(labelled, "doc_id").withColumn("grid", F.lit(GRID.tolist()))
+        one.join(labelled, "doc_id").withColumn("grid", F.lit(GRID.tolist()))
         .select("lang", (F.col("quality") > 0).alias("good"), F.posexplode(place).alias("rule", "place"))
         .groupBy("lang", "rule", "place", "good").count().collect()
     )
@@ -148,7 +150,8 @@ def keep(docs: DataFrame, cutoffs: dict) -> DataFrame:
                 bad = rejected(rule_values(part.column(len(names)).to_pylist()), langs, cutoffs)
                 yield part.select([*range(len(names))]).filter(pa.array(~bad))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with dots or backticks can't pass through Python
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def apply(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
