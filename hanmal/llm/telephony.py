@@ -2,13 +2,14 @@
 
 The companded codecs expand by a table lookup on whole columns. ADPCM is sequential within a block only, so the decoder walks
 over the places of a block and handles all blocks of a chunk at each place with numpy. The samples are resampled
-by a polyphase windowed-sinc filter and stored as 16-bit little-endian PCM.
+by a polyphase windowed-sinc filter, which computes only the samples that stay, and stored as 16-bit little-endian PCM. Memory is in
+proportion to a clip's input and output, whatever the rates.
 
 Rows are media structs: codec, rate, block (bytes of an ADPCM block) and data. Every byte is decoded; nothing is cut or capped.
 
 Defined results: null data gives null PCM and no samples; empty data gives empty PCM; an unknown or null codec, or a rate or block that cannot
 be, gives null PCM and the reason in `error`; a last ADPCM block that is cut short gives the samples it holds, one of fewer than
-four bytes none; repeated rows are decoded alike; an empty table gives an empty table; other columns are ignored.
+four bytes none; a key column named like one of OUTPUT is returned as key_NAME; repeated rows are decoded alike; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, require, table
+from .common import map_rows, quoted, require, table
 
 TARGET_RATE = 16_000
 BLOCK = 256
+#: Products of a sample and a tap that resampling holds at once.
+BLOCK_CELLS = 1 << 18
+OUTPUT = ("codec", "rate", "n_samples", "seconds", "pcm", "error")
 CODECS = ("mulaw", "alaw", "ima_adpcm")
 _INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
 _STEP = np.array([7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767], np.int32)
@@ -96,12 +100,25 @@ def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
     h = _filter(up, down)
     middle = len(h) // 2
     x = x.astype(np.float32)
-    full = np.zeros((len(x) + -(-len(h) // up), up), np.float32)
-    for p in range(up):
-        y = np.convolve(x, h[p::up])
-        full[: len(y), p] = y
     n = -(-len(x) * up // down)
-    y = full.reshape(-1)[middle : middle + len(x) * up][::down][:n]
+    if down == 1:  # every phase is wanted whole
+        y = np.empty((len(x) + -(-len(h) // up), up), np.float32)
+        for p in range(up):
+            z = np.convolve(x, h[p::up])
+            y[: len(z), p] = z
+            y[len(z) :, p] = 0
+        y = y.reshape(-1)[middle : middle + n]
+    else:  # only the samples that stay, a block at a time: each is its phase's taps over the inputs around it
+        taps = np.zeros((-(-len(h) // up), up), np.float32)
+        taps.reshape(-1)[: len(h)] = h
+        back = np.arange(len(taps))
+        y = np.empty(n, np.float32)
+        block = max(1, BLOCK_CELLS // len(taps))
+        for lo in range(0, n, block):
+            at = middle + np.arange(lo, min(n, lo + block), dtype=np.int64) * down
+            source = at[:, None] // up - back
+            inside = (source >= 0) & (source < len(x))
+            y[lo : lo + block] = np.einsum("ij,ij->i", np.where(inside, x[np.clip(source, 0, len(x) - 1)], 0), taps[:, at % up].T)
     return np.clip(np.rint(y), -32768, 32767).astype(np.int16)
 
 
@@ -136,14 +153,15 @@ def to_pcm(clips: DataFrame, key: str, target: int = TARGET_RATE) -> DataFrame:
     """clips: key, codec, rate, block, data. Key, codec, rate, n_samples, seconds, pcm and error of each row."""
     require(clips, key, "codec", "rate", "block", "data")
     kind = dict(clips.dtypes)[key]
+    named = f"key_{key}" if key.lower() in OUTPUT else key
 
     def fn(cols: list[list]) -> dict:
         media = [dict(zip(("codec", "rate", "block", "data"), r, strict=True)) for r in zip(*cols[1:], strict=True)]
         got = decode(media, target)
-        return {key: cols[0], "codec": cols[1], "rate": [target] * len(got), "n_samples": [n for _, n, _ in got], "seconds": [n / target for _, n, _ in got], "pcm": [p for p, _, _ in got], "error": [e for _, _, e in got]}
+        return {named: cols[0], "codec": cols[1], "rate": [target] * len(got), "n_samples": [n for _, n, _ in got], "seconds": [n / target for _, n, _ in got], "pcm": [p for p, _, _ in got], "error": [e for _, _, e in got]}
 
-    schema = f"`{key}` {kind}, codec string, rate int, n_samples long, seconds double, pcm binary, error string"
-    return map_rows(clips, [key, "codec", "rate", "block", "data"], fn, schema)
+    schema = f"{quoted(named)} {kind}, codec string, rate int, n_samples long, seconds double, pcm binary, error string"
+    return map_rows(clips, [F.col(quoted(key)).alias("__key"), "codec", "rate", "block", "data"], fn, schema)
 
 
 def clips_of(docs: DataFrame) -> DataFrame:
