@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.batches import rows_of, with_columns
+from . import scan
+
 #: What separates words in the analyzer, and nothing else: no form feed, no no-break space.
 SPACES = " \t\x0b\r\n　"
 NOT_SPACE = "[^ \\t\\x0B\\r\\n\\u3000]+"
@@ -31,40 +35,35 @@ def words(text: Column, trainer: bool = False) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({TRAIN_NOT_SPACE if trainer else NOT_SPACE})"), F.lit(1))
 
 
-def word_begins(cs: Column) -> Column:
-    """0-based positions at which the words of a character array begin."""
-    return F.filter(F.sequence(F.lit(0), F.greatest(F.size(cs) - 1, F.lit(0))), lambda i: (i < F.size(cs)) & ~is_space(F.get(cs, i)) & ((i == 0) | is_space(F.get(cs, F.greatest(i - 1, F.lit(0))))))
-
-
 def lines(df: DataFrame, text: str, *keep: str, line: str = "line", index: str = "line_idx") -> DataFrame:
     """One row for each line of a text column: a line is a sentence."""
     return df.select(*keep, F.posexplode(F.split(text, "\n", -1)).alias(index, line))
 
 
 def tokenize(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """One row for each word of a text column: word_idx, lex, c_begin, c_len, b_begin, b_len."""
-    # the character array is a column of its own: inside the lambda it would be split anew for each character
-    each = df.where(F.length(F.regexp_replace(text, f"[{SPACES}]+", "")) > 0).select(*keep, text, chars(F.col(text)).alias("__chars"), (F.octet_length(text) == F.char_length(text)).alias("__ascii"))
-    found = F.arrays_zip(words(F.col(text)).alias("lex"), word_begins(F.col("__chars")).alias("c_begin"))
-    row = each.select(*keep, text, "__ascii", F.posexplode(found).alias("word_idx", "w"))
-    before = F.when(F.col("__ascii"), F.col("w.c_begin")).otherwise(F.octet_length(F.substring(F.col(text), F.lit(1), F.col("w.c_begin"))))
-    return row.select(
-        *keep, "word_idx", F.col("w.lex").alias("lex"), F.col("w.c_begin").alias("c_begin"), F.char_length("w.lex").alias("c_len"),
-        before.alias("b_begin"), F.octet_length("w.lex").alias("b_len"),
-    )
+    """One row for each word of a text column, up to its first NUL: word_idx, lex, c_begin, c_len, b_begin, b_len."""
+
+    def fn(texts: list[str]) -> tuple:
+        w = scan.Scan(texts).words()
+        return w["owner"], [pa.array(w[k], pa.int32()) if k != "lex" else w[k] for k in ("word_idx", "lex", "c_begin", "c_len", "b_begin", "b_len")]
+
+    return rows_of(df, list(keep), text, fn, "word_idx int, lex string, c_begin int, c_len int, b_begin int, b_len int")
 
 
 def char_table(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """One row for each character: char_idx, chr, b_begin, b_end."""
-    return df.select(*keep, text, F.posexplode(chars(F.col(text))).alias("char_idx", "chr")).select(
-        *keep, "char_idx", "chr", F.octet_length(F.substring(F.col(text), F.lit(1), F.col("char_idx"))).alias("b_begin"),
-        F.octet_length(F.substring(F.col(text), F.lit(1), F.col("char_idx") + 1)).alias("b_end"),
-    )
+    """One row for each character, up to the first NUL: char_idx, chr, b_begin, b_end."""
+
+    def fn(texts: list[str]) -> tuple:
+        c = scan.Scan(texts).chars()
+        return c["owner"], [pa.array(c[k], pa.int32()) if k != "chr" else c[k] for k in ("char_idx", "chr", "b_begin", "b_end")]
+
+    return rows_of(df, list(keep), text, fn, "char_idx int, chr string, b_begin int, b_end int")
 
 
-def byte_to_char(text: Column, byte_pos: Column) -> Column:
-    """The index of the character that starts at a byte position."""
-    return F.char_length(F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), byte_pos), "UTF-8"))
+def byte_to_char(df: DataFrame, text: str, places: str, into: str) -> DataFrame:
+    """df with `into`: for each byte offset in the array `places` the number of the character that begins there."""
+    fn = lambda cols: [[None if t is None or p is None else scan.chars_at_bytes(t, p) for t, p in zip(*cols, strict=True)]]
+    return with_columns(df, [text, places], fn, f"`{into}` array<int>")
 
 
 def split_trailing(text: Column, delim: str) -> Column:

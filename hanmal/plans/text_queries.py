@@ -23,18 +23,53 @@ def trainer_words(spark, sf_dir):
     return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.char_length("lex")).cast("long").alias("n_chars"))
 
 
-@query("WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS chr, generate_subscripts(string_split(text, ''), 1) AS i FROM benchmark) SELECT item_id, CAST(i - 1 AS INTEGER) AS char_idx, chr, CAST(sum(strlen(chr)) OVER w - strlen(chr) AS INTEGER) AS b_begin, CAST(sum(strlen(chr)) OVER w AS INTEGER) AS b_end FROM c WINDOW w AS (PARTITION BY item_id ORDER BY i)")
+def word_places(lines, line: str):
+    """lines with the byte offsets of their words as arrays."""
+    from ..functions.scan import Scan
+    from ..operators.batches import with_columns
+
+    def fn(cols):
+        out = [], []
+        for t in cols[0]:
+            w = Scan([t or ""]).words()
+            out[0].append(w["b_begin"].tolist()), out[1].append((w["b_begin"] + w["b_len"]).tolist())
+        return out
+
+    return with_columns(lines, [line], fn, "b_begin array<int>, b_end array<int>")
+
+
+_CHARS = "CAST(i - 1 AS INTEGER) AS char_idx, chr, CAST(sum(strlen(chr)) OVER w - strlen(chr) AS INTEGER) AS b_begin, CAST(sum(strlen(chr)) OVER w AS INTEGER) AS b_end FROM c WINDOW w AS"
+
+
+@query(f"WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS chr, generate_subscripts(string_split(text, ''), 1) AS i FROM documents) SELECT doc_id, {_CHARS} (PARTITION BY doc_id ORDER BY i)")
 def char_offsets(spark, sf_dir):
     """B2: characters with byte begin and end."""
-    return text.char_table(load(spark, sf_dir, "benchmark"), "text", "item_id")
+    return text.char_table(load(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@query(f"WITH c AS (SELECT item_id, unnest(string_split(t, '')) AS chr, generate_subscripts(string_split(t, ''), 1) AS i FROM (SELECT item_id, substr(text, 1, CAST(item_id % 97 + 5 AS INTEGER)) AS t FROM benchmark)) SELECT item_id, {_CHARS} (PARTITION BY item_id ORDER BY i)")
+def char_offsets_until_nul(spark, sf_dir):
+    """B2: nothing after a NUL counts."""
+    cut = (F.col("item_id") % 97 + 5).cast("int")
+    t = F.concat(F.substring("text", F.lit(1), cut), F.lit("\0"), F.substring("text", cut + 1, F.char_length("text")), F.lit("\0 end"))
+    return text.char_table(load(spark, sf_dir, "benchmark").select("item_id", t.alias("text")), "text", "item_id")
+
+
+@query(rf"WITH b AS (SELECT item_id, substr(text, 1, CAST(item_id % 97 + 5 AS INTEGER)) AS t FROM benchmark), w AS (SELECT item_id, unnest(regexp_extract_all(t, '{NSP}+')) AS lex, generate_subscripts(regexp_extract_all(t, '{NSP}+'), 1) AS i FROM b) SELECT item_id, CAST(i - 1 AS INTEGER) AS word_idx, lex FROM w")
+def tokenize_until_nul(spark, sf_dir):
+    """Words before a NUL."""
+    cut = (F.col("item_id") % 97 + 5).cast("int")
+    t = F.concat(F.substring("text", F.lit(1), cut), F.lit("\0"), F.substring("text", cut + 1, F.char_length("text")))
+    return text.tokenize(load(spark, sf_dir, "benchmark").select("item_id", t.alias("text")), "text", "item_id").select("item_id", "word_idx", "lex")
 
 
 @query(f"WITH {LINES}, {WORDS} SELECT doc_id, line_idx, word_idx, b_begin, CAST(length(lex) AS INTEGER) AS c_len, c_begin, c_begin + CAST(length(lex) AS INTEGER) AS c_end FROM words")
 def byte_to_char(spark, sf_dir):
     """Character offsets found from byte offsets."""
-    w = text.tokenize(doc_lines(spark, sf_dir), "line", "doc_id", "line_idx", "line")
-    at = w.select("doc_id", "line_idx", "word_idx", "b_begin", text.byte_to_char(F.col("line"), F.col("b_begin")).alias("c_begin"), text.byte_to_char(F.col("line"), F.col("b_begin") + F.col("b_len")).alias("c_end"))
-    return at.withColumn("c_len", F.col("c_end") - F.col("c_begin"))
+    nested = word_places(doc_lines(spark, sf_dir), "line")
+    at = text.byte_to_char(text.byte_to_char(nested, "line", "b_begin", "c_begin"), "line", "b_end", "c_end")
+    each = at.select("doc_id", "line_idx", F.posexplode(F.arrays_zip("b_begin", "c_begin", "c_end")).alias("word_idx", "w")).select("doc_id", "line_idx", "word_idx", "w.*")
+    return each.withColumn("c_len", F.col("c_end") - F.col("c_begin"))
 
 
 _VOCAB = r"vocab AS (SELECT CAST(row_number() OVER (ORDER BY encode(chr)) + 3 AS INTEGER) AS id, chr, freq FROM (SELECT chr, count(*) AS freq FROM (SELECT unnest(string_split(text, '')) AS chr FROM documents) WHERE NOT regexp_matches(chr, '^[ \t\x0b\r\n\x{3000}]$') GROUP BY chr) WHERE freq >= 2)"
@@ -81,7 +116,7 @@ def jamo_normalize(spark, sf_dir):
 @query(f"WITH {HWORDS}, {HCHARS} SELECT conv_id, turn, line_idx, word_idx, char_idx, chr, tag_out, CAST(unicode(chr) AS BIGINT) * 4096 + tag_out AS packed FROM hchars")
 def pack_char_tags(spark, sf_dir):
     """The packed key of a character and its tag."""
-    c = hangul_chars(hangul_words(spark, sf_dir))
+    c = hangul_chars(spark, sf_dir)
     return c.select(*WORD, "char_idx", "chr", "tag_out", tags.pack(F.col("chr"), F.col("tag_out")).alias("packed"))
 
 
@@ -97,7 +132,7 @@ def mix_char_tag(spark, sf_dir):
 @query(f"WITH {HWORDS}, {HCHARS}, t(num, tag) AS (VALUES {', '.join(f'({i}, {chr(39)}{t}{chr(39)})' for i, t in enumerate(tags.TAGS, 1))}) SELECT tag_out, tag, CASE WHEN tag_out > 46 THEN 1 ELSE 0 END AS bi, count(*) AS n, tag_out > 92 AS composite FROM hchars LEFT JOIN t ON tag_out <= 92 AND (tag_out - 1) % 46 + 1 = num GROUP BY ALL")
 def unpack_tags(spark, sf_dir):
     """Output tags as simple tags and B/I."""
-    c = hangul_chars(hangul_words(spark, sf_dir))
+    c = hangul_chars(spark, sf_dir)
     t, many = F.col("tag_out"), tags.needs_restore(F.col("tag_out"))
     return c.groupBy("tag_out", F.when(~many, tags.tag_name(tags.simple_tag(t).cast("int"))).alias("tag"), tags.is_inside(t).alias("bi"), many.alias("composite")).agg(F.count(F.lit(1)).alias("n"))
 
