@@ -1,61 +1,64 @@
-"""The analyzer's deterministic stages as relational operators over a table of characters.
+"""The analyzer's deterministic stages over a table of sentences: one row has words (array of strings) and tags (an array of output tags for each word).
 
-A character row has the columns of its word (the list `word`), char_idx within the word, chr, and tag_out.
+Every stage is a column expression or an Arrow pass over its own rows; nothing is shuffled, so streams can use them too. Dictionaries
+go to the workers (resources.Dictionaries), behind a check of their size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import tags as T
-from .sizes import small
+from . import sentence as S
+from .batches import with_columns
+from .resources import Dictionaries
 
+RESTORED = "struct<chr:string,tag:int,bi:int>"
+MORPH = "struct<lex:string,tag:string,first_char:int,last_char:int>"
 
-def revise_tags(chars: DataFrame, word: list[str], dic: DataFrame, firsts: DataFrame) -> DataFrame:
-    """chars with tag_out revised: a composite that dic lacks for its character becomes its first tag; then a B- tag at a
-    word's start, or after another category, becomes I-.
 
-    The second step changes no category, so each character needs its predecessor's category only, and no fold. A composite's
-    category is that of its last restored character. dic, firsts: as for dictionary.restore.
-    """
-    known = dic.select("chr", "tag_out", F.element_at("vals", -1)["tag"].alias("__last"))
-    at = chars.join(small(known), ["chr", "tag_out"], "left").join(small(firsts), "tag_out", "left")
-    tag = F.when(T.needs_restore(F.col("tag_out")) & F.col("__last").isNull(), F.coalesce("first_tag", "tag_out")).otherwise(F.col("tag_out"))
-    category = F.when(T.needs_restore(F.col("__tag")), F.col("__last")).otherwise(T.simple_tag(F.col("__tag")))
-    at = at.withColumn("__tag", tag).withColumn("__cat", category)
-    before = F.lag("__cat").over(Window.partitionBy(*word).orderBy("char_idx"))
-    begins = F.col("__tag") <= T.N_TAGS
-    out = at.withColumn("__new", F.when(begins & (before.isNull() | (before != F.col("__cat"))), F.col("__tag") + T.N_TAGS).otherwise(F.col("__tag")))
-    return out.withColumn("tag_out", F.col("__new").cast("int")).drop("__tag", "__cat", "__new", "__last", "first_tag")
-
-
-def make_morphs(restored: DataFrame, word: list[str]) -> DataFrame:
-    """One row for each morpheme: word columns, morph_idx, lex, tag, and the first and last character it comes from.
-
-    restored: word columns, char_idx, restored array of (chr, tag, bi). A character continues the morpheme before it
-    if it is I- and has the same tag.
-    """
-    flat = restored.select(*word, "char_idx", F.posexplode("restored").alias("__k", "__r")).select(*word, "char_idx", "__k", "__r.*")
-    order = Window.partitionBy(*word).orderBy("char_idx", "__k")
-    starts = F.when((F.col("bi") == 1) & (F.lag("tag").over(order) == F.col("tag")), 0).otherwise(1)
-    marked = flat.withColumn("__start", starts).withColumn("morph_idx", F.sum("__start").over(order) - 1)
-    grouped = marked.groupBy(*word, "morph_idx").agg(F.array_sort(F.collect_list(F.struct("char_idx", "__k", "chr"))).alias("__c"), F.first("tag").alias("num"))
-    return grouped.select(
-        *word, F.col("morph_idx").cast("int").alias("morph_idx"), F.array_join(F.transform("__c", lambda c: c["chr"]), "").alias("lex"), T.tag_name(F.col("num")).alias("tag"),
-        F.get("__c", F.lit(0))["char_idx"].alias("first_char"), F.element_at("__c", -1)["char_idx"].alias("last_char"),
-    )
-
-
-def morph_offsets(morphs: DataFrame, words: DataFrame, word: list[str]) -> DataFrame:
-    """morphs with c_begin, c_len, b_begin and b_len in the sentence; words has lex, c_begin and b_begin."""
-    w = words.select(*word, F.col("lex").alias("__lex"), F.col("c_begin").alias("__c"), F.col("b_begin").alias("__b"))
-    upto = lambda n: F.octet_length(F.substring(F.col("__lex"), F.lit(1), n))
-    return morphs.join(w, word).select(
-        *morphs.columns, (F.col("__c") + F.col("first_char")).alias("c_begin"), (F.col("last_char") - F.col("first_char") + 1).alias("c_len"),
-        (F.col("__b") + upto(F.col("first_char"))).alias("b_begin"), (upto(F.col("last_char") + 1) - upto(F.col("first_char"))).alias("b_len"),
-    )
+def _each(sents: DataFrame, fn, added: str, *inputs: str) -> DataFrame:
+    """Columns computed from each row's words, tags and further inputs."""
+
+    def run(cols: list[list]) -> list[list]:
+        rows = [fn(*r) for r in zip(*cols, strict=True)]
+        return [list(x) for x in zip(*rows, strict=True)] if rows else [[] for _ in range(added.count("`") // 2)]
+
+    return with_columns(sents, ["words", "tags", *inputs], run, added)
+
+
+def apply_preanal(sents: DataFrame, d: Dictionaries) -> DataFrame:
+    """sents (words) with tags from the pre-analysis dictionary, 0 where it says nothing."""
+    longest = d.longest()
+    return with_columns(sents, ["words"], lambda cols: [[[S.preanal(w, d, longest) for w in ws] for ws in cols[0]]], "`tags` array<array<int>>")
+
+
+def revise_tags(sents: DataFrame, d: Dictionaries) -> DataFrame:
+    """A composite that d lacks for its character becomes its first tag; then a B- tag at a word's begin, or after another category, becomes I-."""
+    return _each(sents, lambda w, t: (S.revise(w, t, d),), "`tags` array<array<int>>")
+
+
+def apply_errpatch(sents: DataFrame, d: Dictionaries) -> DataFrame:
+    """Leftmost-longest, non-overlapping error patches over characters, tags and delimiters."""
+    patcher = S.Patcher(d.patches)
+    return _each(sents, lambda w, t: (patcher.apply(w, t),), "`tags` array<array<int>>")
+
+
+def restore(sents: DataFrame, d: Dictionaries, use_dic: bool = True) -> DataFrame:
+    """restored: for each character the characters it stands for; missing: whether it is a composite that d lacks."""
+
+    def fn(words, tags):
+        got = [[[dict(zip(("chr", "tag", "bi"), r, strict=True)) for r in S.restore(c, t, d, use_dic)] for c, t in zip(w, ts, strict=True)] for w, ts in zip(words, tags, strict=True)]
+        return got, [[t > 2 * T.N_TAGS and (c, t) not in d.restored for c, t in zip(w, ts, strict=True)] for w, ts in zip(words, tags, strict=True)]
+
+    return _each(sents, fn, f"`restored` array<array<array<{RESTORED}>>>, `missing` array<array<boolean>>")
+
+
+def make_morphs(sents: DataFrame, d: Dictionaries, use_dic: bool = True) -> DataFrame:
+    """morphs: of each word its morphemes, with the first and last character they come from."""
+    names = ("lex", "tag", "first_char", "last_char")
+    return _each(sents, lambda w, t: ([[dict(zip(names, m, strict=True)) for m in S.morphs(x, y, d, use_dic)] for x, y in zip(w, t, strict=True)],), f"`morphs` array<array<{MORPH}>>")
 
 
 def sentence_tags(words: Column) -> Column:
@@ -68,11 +71,11 @@ def sentence_tags(words: Column) -> Column:
     return F.when(F.size(words) == 0, end).otherwise(F.concat(end, body, end))
 
 
-def context_windows(chars: DataFrame, sentence: list[str], order: list[str], window: int, value: str = "id") -> DataFrame:
-    """chars with `context`: the values of `window` characters on each side, across words, 0 beyond the sentence."""
-    over = Window.partitionBy(*sentence).orderBy(*order)
-    at = [F.lag(value, window - k, 0).over(over) if k < window else F.col(value) if k == window else F.lead(value, k - window, 0).over(over) for k in range(2 * window + 1)]
-    return chars.withColumn("context", F.array(*at))
+def contexts(ids: Column, window: int) -> Column:
+    """For each of a sentence's ids those of `window` characters on each side, across words, 0 beyond the sentence."""
+    pad = F.array_repeat(F.lit(0), window)
+    padded = F.concat(pad, ids, pad)
+    return F.transform(ids, lambda _, i: F.slice(padded, i + 1, 2 * window + 1))
 
 
 def bound_masks(char_idx: Column, word_len: Column, window: int) -> tuple[Column, Column]:
@@ -82,11 +85,28 @@ def bound_masks(char_idx: Column, word_len: Column, window: int) -> tuple[Column
 
 
 def dropped(keys: list[Column], rate: float, seed: int = 0) -> Column:
-    """Whether a mask is zeroed: a share `rate` of keys, chosen by hash, so that both runs of a task agree."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) < int(rate * 1_000_000)
+    """Whether a mask is zeroed: a share `rate` of keys, chosen by plain arithmetic on them, so that both runs of a task agree."""
+    from .split import uniform
+
+    return uniform(*keys, seed=seed) < rate
 
 
 def positional_encoding(position: Column, dim: Column, length: int, width: int) -> Column:
     """1 - p/L - (i/D)(1 - 2p/L) for position p and dimension i, both from 1."""
     p = position / length
     return 1 - p - dim / width * (1 - 2 * p)
+
+
+def char_rows(sents: DataFrame, keep: list[str], *values: str) -> DataFrame:
+    """One row for each character: word_idx, word, char_idx, chr and the values (arrays of arrays beside words)."""
+    w = sents.select(*keep, F.posexplode(F.arrays_zip("words", *values)).alias("word_idx", "w"))
+    w = w.select(*keep, "word_idx", F.col("w.words").alias("word"), *[F.col(f"w.{v}").alias(v) for v in values])
+    c = w.select(*keep, "word_idx", "word", F.posexplode(F.arrays_zip(F.split("word", "").alias("chr"), *values)).alias("char_idx", "c"))
+    return c.select(*keep, "word_idx", "word", "char_idx", "c.*")
+
+
+def morph_rows(sents: DataFrame, keep: list[str]) -> DataFrame:
+    """One row for each morpheme: word_idx, word, morph_idx and its fields."""
+    w = sents.select(*keep, F.posexplode(F.arrays_zip("words", "morphs")).alias("word_idx", "w"))
+    m = w.select(*keep, "word_idx", F.col("w.words").alias("word"), F.posexplode("w.morphs").alias("morph_idx", "m"))
+    return m.select(*keep, "word_idx", "word", "morph_idx", "m.*")

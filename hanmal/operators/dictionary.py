@@ -1,11 +1,10 @@
-"""Dictionary matching: prefixes made equi-joins, pre-analysis, error patches, restoration."""
+"""Dictionary matching as joins, for dictionaries too large to send to every worker: prefixes made equi-joins, pre-analysis."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import tags as T
 from .sizes import small
 
 
@@ -45,40 +44,3 @@ def apply_preanal(words: DataFrame, word: str, dic: DataFrame) -> DataFrame:
     none = F.array().cast("array<int>")
     fill = F.when(n > F.size(F.coalesce("__tags", none)), F.array_repeat(F.lit(0), n - F.size(F.coalesce("__tags", none)))).otherwise(none)
     return words.join(best, words[word] == F.col("__word"), "left").withColumn("tag_nums", F.concat(F.coalesce(F.col("__tags").cast("array<int>"), none), fill)).drop("__word", "__tags")
-
-
-def apply_errpatch(sents: DataFrame, key: list[str], dic: DataFrame) -> DataFrame:
-    """sents with `tags` patched: leftmost-longest, non-overlapping matches over the packed characters.
-
-    sents: key columns (unique), mix array<bigint> (packed characters with delimiters), tags array<int> of the same length.
-    dic: left array<bigint>, right array<int> of one length. Positions join entries on the first two packed characters and
-    the rest is compared; only sentences with a match are folded.
-    """
-    entries = dic.select("left", "right", F.size("left").alias("len"), F.get("left", F.lit(0)).alias("k0"), F.coalesce(F.get("left", F.lit(1)), F.lit(0)).alias("k1")).dropDuplicates(["left"])
-    at = sents.select(*key, "mix", F.posexplode("mix").alias("pos", "k0")).withColumn("next", F.get("mix", F.col("pos") + 1))
-    hit = at.join(small(entries), "k0").where(((F.col("len") == 1) | (F.col("k1") == F.col("next"))) & (F.slice("mix", F.col("pos") + 1, F.col("len")) == F.col("left")))
-    found = hit.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("len")).alias("neg"), "right"))).alias("found"))
-    zero = F.struct(F.lit(0).alias("free"), F.col("tags").cast("array<int>").alias("tags"))
-
-    def step(acc: Column, m: Column) -> Column:
-        n = -m["neg"]
-        new = F.concat(F.slice(acc["tags"], F.lit(1), m["pos"]), F.transform(m["right"], lambda t, i: F.when(F.get(acc["tags"], m["pos"] + i) < 0, F.get(acc["tags"], m["pos"] + i)).otherwise(t)), F.slice(acc["tags"], m["pos"] + n + 1, F.size(acc["tags"])))
-        return F.when(m["pos"] < acc["free"], acc).otherwise(F.struct((m["pos"] + n).alias("free"), new.alias("tags")))
-
-    folded = F.aggregate("found", zero, step, lambda acc: acc["tags"])
-    return sents.join(found, key, "left").withColumn("tags", F.when(F.col("found").isNull(), F.col("tags").cast("array<int>")).otherwise(folded)).drop("found")
-
-
-def restore(chars: DataFrame, dic: DataFrame, firsts: DataFrame, use_dic: bool = True) -> DataFrame:
-    """chars (chr, tag_out, ...) with `restored`: array of (chr, tag, bi), and `missing` for composites not in dic.
-
-    dic: chr, tag_out, vals array<struct<chr, tag, bi>>; firsts: tag_out and first_tag, the first simple tag of each composite.
-    """
-    own = lambda t: F.array(F.struct(F.col("chr"), T.simple_tag(t).cast("int").alias("tag"), T.is_inside(t).alias("bi")))
-    out = chars.join(small(firsts), "tag_out", "left")
-    if use_dic:
-        out = out.join(small(dic), ["chr", "tag_out"], "left")
-    else:
-        out = out.withColumn("vals", F.lit(None).cast("array<struct<chr:string,tag:int,bi:int>>"))
-    composite = T.needs_restore(F.col("tag_out"))
-    return out.withColumn("restored", F.when(~composite, own(F.col("tag_out"))).when(F.col("vals").isNotNull(), F.col("vals")).otherwise(own(F.coalesce("first_tag", "tag_out")))).withColumn("missing", composite & F.col("vals").isNull()).drop("vals", "first_tag")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hangul, text
+from ..operators.analyzer import char_rows
 from .fixtures import HANGUL_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,17 +61,31 @@ hwords AS (SELECT conv_id, turn, line_idx, unnest(p) AS word, CAST(generate_subs
   FROM (SELECT *, regexp_extract_all(line, '{NSP}+') AS p FROM tl2))"""
 
 
-def hangul_chars(words: DataFrame) -> DataFrame:
-    """words with char_idx, chr and a made-up output tag that depends on both."""
-    code = F.ascii("chr")
-    tag = F.when((code + F.col("char_idx")) % 11 == 0, 93 + code % 5).otherwise(1 + (code * 7 + F.col("char_idx") * 13 + F.col("word_idx") * 5) % 92)
-    return words.select(*words.columns, F.posexplode(text.chars(F.col("word"))).alias("char_idx", "chr")).withColumn("tag_out", tag.cast("int"))
+def hangul_sentences(spark: SparkSession, sf_dir: str, zeros: bool = False) -> DataFrame:
+    """conv_id, turn, line_idx, words and tags: for each character a made-up output tag that depends on it and its place; zeros: some are 0."""
+    turns = load(spark, sf_dir, "conversations").withColumn("text", hangul.from_latin(F.col("text")))
+    s = text.lines(turns, "text", "conv_id", "turn").select("conv_id", "turn", "line_idx", text.words(F.col("line")).alias("words"))
+
+    def tag(chr_, i, k):
+        code = F.ascii(chr_)
+        made = F.when((code + i) % 11 == 0, 93 + code % 5).otherwise(1 + (code * 7 + i * 13 + k * 5) % 92)
+        return (F.when((code + i) % 7 == 3, 0).otherwise(made) if zeros else made).cast("int")
+
+    return s.withColumn("tags", F.transform("words", lambda w, k: F.transform(F.split(w, ""), lambda c, i: tag(c, i, k))))
+
+
+def hangul_chars(spark: SparkSession, sf_dir: str, zeros: bool = False) -> DataFrame:
+    """One row for each character of hangul_sentences, with tag_out."""
+    return char_rows(hangul_sentences(spark, sf_dir, zeros), SENT, "tags").withColumnRenamed("tags", "tag_out")
 
 
 HCHARS = """hc0 AS (SELECT *, unnest(string_split(word, '')) AS chr, CAST(generate_subscripts(string_split(word, ''), 1) - 1 AS INTEGER) AS char_idx FROM hwords),
 hchars AS (SELECT *, CAST(CASE WHEN (unicode(chr) + char_idx) % 11 = 0 THEN 93 + unicode(chr) % 5 ELSE 1 + (unicode(chr) * 7 + char_idx * 13 + word_idx * 5) % 92 END AS INTEGER) AS tag_out FROM hc0)"""
 
 
+HCHARS0 = HCHARS.replace("CAST(CASE WHEN", "CAST(CASE WHEN (unicode(chr) + char_idx) % 7 = 3 THEN 0 WHEN")
+
+
 def gold_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line_idx, word_idx, raw, morph_list, and pred, a flawed copy of it, of the documents in syllables."""
     each = doc_lines(spark, sf_dir).withColumn("line", hangul.from_latin(F.col("line")))

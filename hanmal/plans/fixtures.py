@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.hangul import LETTERS, SYLLABLES
-from ..functions.tags import NUMBER
+from ..functions.tags import CHAR_TAG, NUMBER
+from ..operators.resources import Dictionaries
 
 COMPOSITES = [(93, "I-VV:I-EP:0"), (94, "I-VA:I-ETM:0"), (95, "I-NNG:I-JX:0"), (96, "I-VX:I-EC:1"), (97, "B-XSV:I-EP:0")]
 FIRSTS = [(93, 46 + NUMBER["VV"]), (94, 46 + NUMBER["VA"]), (95, 46 + NUMBER["NNG"]), (96, 46 + NUMBER["VX"]), (97, NUMBER["XSV"])]
@@ -20,6 +21,33 @@ PREANAL = [
 PREANAL = [(k.rstrip("*"), p, t) for k, p, t in PREANAL if not k.endswith("*")]
 
 
+def made_tag(code: int, char_idx: int, word_idx: int) -> int:
+    """The made-up tag of a character (base.MADE_TAG)."""
+    return 93 + code % 5 if (code + char_idx) % 11 == 0 else 1 + (code * 7 + char_idx * 13 + word_idx * 5) % 92
+
+
+def _patches() -> dict[tuple[int, ...], list[int]]:
+    """Error patches of 1 to 6 items: characters, words, and both with a delimiter before or after; many overlap."""
+    out = {}
+    for k in range(0, 14):
+        for word in ("커저", "머너서", "라어가", "자너어", "타버", "퍼", "더너"):
+            own = [ord(c) * CHAR_TAG + made_tag(ord(c), i, k) for i, c in enumerate(word)]
+            lefts = [own, own[:2], [-1, *own], [-1, own[0]], [*own, -1]]
+            if k == 0:
+                lefts = [own, [-2, own[0]], [-2, *own]]
+            if word in ("퍼", "타버") or k % 5 == 1:
+                lefts.append(own[:1])
+            for left in lefts:
+                out[tuple(left)] = [x if x < 0 else (x + len(left)) % 46 + 1 for x in left]
+    return out
+
+
+PATCHES = _patches()
+DICTIONARIES = Dictionaries(
+    {k: t for k, p, t in PREANAL if not p}, {k: t for k, p, t in PREANAL if p}, PATCHES, {(c, t): v for c, t, v in RESTORE}, dict(FIRSTS),
+)
+
+
 def restore_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RESTORE, "chr string, tag_out int, vals array<struct<chr:string,tag:int,bi:int>>")
 
@@ -39,4 +67,5 @@ def _values(rows: list[str]) -> str:
 RESTORE_SQL = "restore(chr, tag_out, vals) AS " + _values([f"('{c}', {t}, [" + ", ".join(f"{{'chr': '{x}', 'tag': {g}, 'bi': {b}}}" for x, g, b in v) + "])" for c, t, v in RESTORE])
 FIRSTS_SQL = "firsts(tag_out, first_tag) AS " + _values([f"({a}, {b})" for a, b in FIRSTS])
 PREANAL_SQL = "preanal(key, is_pfx, tag_nums) AS " + _values([f"('{k}', {str(p).lower()}, {t})" for k, p, t in PREANAL])
+PATCHES_SQL = "pat(l, r, k, n) AS " + _values([f"({list(k)}, {v}, {k[0]}, {len(k)})" for k, v in PATCHES.items()])
 HANGUL_SQL = f"translate(lower({{}}), '{LETTERS}', '{SYLLABLES}')"
