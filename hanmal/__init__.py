@@ -1,6 +1,6 @@
 """Korean text analytics on Spark DataFrames."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"
 
 
 def version() -> str:

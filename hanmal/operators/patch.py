@@ -12,7 +12,10 @@ from pyspark.sql.window import Window
 
 #: Characters of a word id that sentence patches compare.
 ID_LEN = 17
-BY_LINE = Window.partitionBy("doc").orderBy("line_no")
+
+
+def by_line():
+    return Window.partitionBy("doc").orderBy("line_no")
 
 
 def type_lines(lines: DataFrame) -> DataFrame:
@@ -36,7 +39,7 @@ def word_patches(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def boundaries(lines: DataFrame) -> DataFrame:
     """doc, prev_wid and next_wid of each sentence boundary between two words."""
-    at = lines.select("doc", "type", F.lag("type").over(BY_LINE).alias("t0"), F.lag("wid").over(BY_LINE).alias("prev_wid"), F.lead("type").over(BY_LINE).alias("t1"), F.lead("type", 2).over(BY_LINE).alias("t2"), F.lead("wid", 2).over(BY_LINE).alias("next_wid"))
+    at = lines.select("doc", "type", F.lag("type").over(by_line()).alias("t0"), F.lag("wid").over(by_line()).alias("prev_wid"), F.lead("type").over(by_line()).alias("t1"), F.lead("type", 2).over(by_line()).alias("t2"), F.lead("wid", 2).over(by_line()).alias("next_wid"))
     found = at.where("type = 'EOS' and t0 = 'WORD' and t1 = 'BOS' and t2 = 'WORD'")
     return found.select("doc", F.substring("prev_wid", 1, ID_LEN).alias("prev_wid"), F.substring("next_wid", 1, ID_LEN).alias("next_wid")).distinct()
 
@@ -70,7 +73,7 @@ def _of(patches: DataFrame, op: str, content: str) -> DataFrame:
 
 def merge(lines: DataFrame, patches: DataFrame) -> DataFrame:
     """lines without the boundaries that M patches name."""
-    w = BY_LINE
+    w = by_line()
     at = lines.withColumns({"t0": F.lag("type").over(w), "w0": F.lag("wid").over(w), "t1": F.lead("type").over(w), "t2": F.lead("type", 2).over(w), "w2": F.lead("wid", 2).over(w)})
     eos = (F.col("type") == "EOS") & (F.col("t0") == "WORD") & (F.col("t1") == "BOS") & (F.col("t2") == "WORD")
     at = at.withColumn("prev17", F.when(eos, F.substring("w0", 1, ID_LEN))).withColumn("next17", F.when(eos, F.substring("w2", 1, ID_LEN)))
@@ -88,7 +91,7 @@ def delete_replace(lines: DataFrame, patches: DataFrame) -> DataFrame:
 
 def split(lines: DataFrame, patches: DataFrame) -> DataFrame:
     """lines with </p> and <p> before the words that S patches name, if the named word is before."""
-    at = lines.withColumns({"t0": F.lag("type").over(BY_LINE), "w0": F.lag("wid").over(BY_LINE)})
+    at = lines.withColumns({"t0": F.lag("type").over(by_line()), "w0": F.lag("wid").over(by_line())})
     at = at.withColumn("prev17", F.when((F.col("type") == "WORD") & (F.col("t0") == "WORD"), F.substring("w0", 1, ID_LEN)))
     p = _of(patches, "S", "p_next").withColumnRenamed("doc", "p_doc")
     hit = at.join(p, (F.col("doc") == F.col("p_doc")) & (F.col("prev17") == F.col("p_wid")) & (F.substring("wid", 1, ID_LEN) == F.substring("p_next", 1, ID_LEN)))
@@ -111,7 +114,7 @@ def insert(lines: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def renumber(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("line_no", F.row_number().over(BY_LINE))
+    return lines.withColumn("line_no", F.row_number().over(by_line()))
 
 
 def apply(lines: DataFrame, patches: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import chars, is_space
-from ..functions.tags import TAGS
+from ..functions.tags import SIMPLE, TAGS
 from .sizes import small
 
 
@@ -96,3 +96,10 @@ def top_examples(df: DataFrame, key: list[str], example: str, most: int = 10) ->
 def error_counts(triples: DataFrame, min_freq: int = 10, min_len: int = 4) -> DataFrame:
     """origin, left, right and freq of error patches that are frequent and long enough."""
     return triples.where(F.char_length(F.trim("origin")) >= min_len).groupBy("origin", "left", "right").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= min_freq)
+
+
+def output_vocabulary(spark, composites: DataFrame) -> DataFrame:
+    """num and tag of every output tag: B- and I- of each simple tag, then the composites (tag) in order. A tag set is bounded by language."""
+    simple = spark.createDataFrame([(0, i, t) for i, t in enumerate(SIMPLE)], "part int, pos int, tag string")
+    both = simple.unionByName(composites.select(F.lit(1).alias("part"), F.lit(0).alias("pos"), "tag"))
+    return both.select("tag", F.row_number().over(Window.orderBy("part", "pos", "tag")).alias("num"))

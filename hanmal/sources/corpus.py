@@ -8,7 +8,10 @@ from pyspark.sql.window import Window
 
 from ..functions import morphs as M
 
-BY_FILE = Window.partitionBy("file").orderBy("line_no")
+
+
+def by_file():
+    return Window.partitionBy("file").orderBy("line_no")
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8", stop: dict[str, str] | None = None) -> DataFrame:
@@ -64,8 +67,8 @@ def gold_words(lines: DataFrame, check_codes: bool = True) -> DataFrame:
 
     Filter with good_sentences() to drop sentences that hold a bad word.
     """
-    opens = F.sum(F.col("line").isin(*M.OPEN_TAGS).cast("int")).over(BY_FILE)
-    closes = F.sum(F.col("line").isin(*M.CLOSE_TAGS).cast("int")).over(BY_FILE)
+    opens = F.sum(F.col("line").isin(*M.OPEN_TAGS).cast("int")).over(by_file())
+    closes = F.sum(F.col("line").isin(*M.CLOSE_TAGS).cast("int")).over(by_file())
     at = lines.withColumn("__open", opens).withColumn("__close", closes).where((F.col("__open") > F.col("__close")) & F.col("line").rlike(M.WORD_ID))
     idx = F.row_number().over(Window.partitionBy("file", "__open").orderBy("line_no")) - 1
     out = at.select("file", (F.col("__open") - 1).cast("int").alias("sent"), idx.alias("word_idx"), parse_word(F.col("line")).alias("w")).select("file", "sent", "word_idx", "w.*")
@@ -85,7 +88,7 @@ def errors(words: DataFrame) -> DataFrame:
 def blank_separated(lines: DataFrame, keep_last: bool) -> DataFrame:
     """file, sent, word_idx and line of the lines between blank ones. keep_last: whether lines after a file's last blank line count."""
     blank = F.trim("line") == ""
-    at = lines.withColumn("__sent", F.sum(blank.cast("int")).over(BY_FILE)).withColumn("__all", F.sum(blank.cast("int")).over(Window.partitionBy("file")))
+    at = lines.withColumn("__sent", F.sum(blank.cast("int")).over(by_file())).withColumn("__all", F.sum(blank.cast("int")).over(Window.partitionBy("file")))
     at = at.where(~blank)
     if not keep_last:
         at = at.where(F.col("__sent") < F.col("__all"))

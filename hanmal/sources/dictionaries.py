@@ -29,7 +29,7 @@ def _entries(lines: DataFrame, any_hash: bool) -> DataFrame:
 def vocabulary(lines: DataFrame, cutoff: int = 0, specials: int = 0) -> DataFrame:
     """id, entry, freq of `entry[<TAB>freq]` lines, without freq <= cutoff where given; of duplicates the first. Ids follow the specials."""
     cols = F.split("line", "\t")
-    got = lines.where(F.col("line") != "").select("line_no", F.get(cols, F.lit(0)).alias("entry"), F.get(cols, F.lit(1)).cast("long").alias("freq"))
+    got = lines.where(F.col("line") != "").select("line_no", F.get(cols, F.lit(0)).alias("entry"), F.get(cols, F.lit(1)).try_cast("long").alias("freq"))
     got = got.where(F.col("freq").isNull() | (F.col("freq") > cutoff))
     first = got.withColumn("__n", F.row_number().over(Window.partitionBy("entry").orderBy("line_no"))).where("__n = 1")
     return first.select((F.row_number().over(Window.orderBy("line_no")) + specials - 1).alias("id"), "entry", "freq")
@@ -55,7 +55,7 @@ def restore_entries(lines: DataFrame) -> DataFrame:
     cols = F.split("line", "\t", -1)
     key = F.get(cols, F.lit(0))
     part = lambda i: F.regexp_extract(key, "^(.)/(.+):(\\d+)$", i)
-    got = _entries(lines, True).select("line_no", part(1).alias("chr"), part(2).alias("tag"), part(3).cast("int").alias("num"), F.split(F.get(cols, F.lit(1)), " ").alias("vals"), ((F.size(cols) == 2) & (part(1) != "")).alias("ok"))
+    got = _entries(lines, True).select("line_no", part(1).alias("chr"), part(2).alias("tag"), part(3).try_cast("int").alias("num"), F.split(F.get(cols, F.lit(1)), " ").alias("vals"), ((F.size(cols) == 2) & (part(1) != "")).alias("ok"))
     twice = F.count(F.lit(1)).over(Window.partitionBy("chr", "tag", "num")) > 1
     return got.withColumn("error", F.when(~F.col("ok"), "invalid").when(twice, "duplicate")).drop("ok")
 
@@ -107,7 +107,7 @@ def align_entries(lines: DataFrame) -> DataFrame:
     """line_no, raw, mrp_chrs, map_nums, error of the M:N alignment dictionary."""
     cols = F.split("line", "\t", -1)
     got = _entries(lines, True).select("line_no", F.get(cols, F.lit(0)).alias("raw"), F.get(cols, F.lit(1)).alias("mrp_chrs"), F.get(cols, F.lit(2)).alias("map_nums"), (F.size(cols) != 3).alias("bad"))
-    total = F.aggregate(F.split("map_nums", ""), F.lit(0), lambda a, x: a + x.cast("int"))
+    total = F.aggregate(F.split("map_nums", ""), F.lit(0), lambda a, x: a + F.coalesce(x.try_cast("int"), F.lit(0)))
     counts = (F.char_length("raw") != F.char_length("map_nums")) | (F.size(F.split("mrp_chrs", " +")) != total)
     twice = F.count(F.lit(1)).over(Window.partitionBy("raw", "mrp_chrs")) > 1
     return got.withColumn("error", F.when(F.col("bad"), "columns").when(~F.col("map_nums").rlike("^\\d+$"), "numbers").when(twice, "duplicate").when(counts, "counts")).drop("bad")
