@@ -228,6 +228,15 @@ def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     return scored.withColumn("rate", rates.column()).withColumn("copies", copies(F.col("rate"))).withColumn("unmet", F.lit(rates.unmet))
 
 
+def realised(rated_docs: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """domain, target, and the shares of tokens that it has among all documents, in expectation at the rates, and among the copies drawn."""
+    t = F.col("n_tokens").cast("double")
+    sums = {"had": t, "expected": t * F.col("rate"), "drawn": t * F.col("copies")}
+    one = rated_docs.agg(*[F.sum(w * F.col(c)).alias(f"{k}_{c}") for k, w in sums.items() for c in P], *[F.sum(w).alias(k) for k, w in sums.items()])
+    rows = [F.struct(F.lit(d).alias("domain"), F.lit(targets[d] / sum(targets.values())).alias("target"), *[(F.col(f"{k}_{c}") / F.col(k)).alias(k) for k in sums]) for d, c in zip(DOMAINS, P, strict=True)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def apply(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """docs, each row as often as it is drawn."""
     key, print_, n = unused(docs, "id", "fp", "n")

@@ -83,10 +83,15 @@ def one_edit(a, b):
     return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def lines_brute(rows, least=20):
+def lines_brute(rows, least=20, short_copies=False):
     at = sorted((i, n, " ".join(x.lower().split())) for i, t in rows for n, x in enumerate(t.split("\n")))
+    seen, short = set(), set()
+    for i, n, x in at:
+        if x and len(x) < least and short_copies and x in seen:
+            short.add((i, n))
+        seen.add(x)
     at = [x for x in at if len(x[2]) >= least]
-    gone = {x[:2] for k, x in enumerate(at) if any(abs(len(x[2]) - len(y[2])) < 2 and one_edit(x[2], y[2]) for y in at[:k])}
+    gone = short | {x[:2] for k, x in enumerate(at) if any(abs(len(x[2]) - len(y[2])) < 2 and one_edit(x[2], y[2]) for y in at[:k])}
     out = {}
     for i, t in rows:
         left = "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)

@@ -1,10 +1,13 @@
 """The pipeline, stage by stage, against brute-force versions on each stage's own input."""
 
+import pytest
+
 import corpus_pipeline as P
 from hanmal.llm import mixing, packing, quality_rules, simhash
 from hanmal.llm.common import fresh_path, table
+from hanmal.llm.tokens import count_tokens
 
-from .test_operators import components_brute, lines_brute
+from .test_operators import components_brute, lines_brute, prose
 
 
 def test_stages(spark, sf):
@@ -23,7 +26,7 @@ def test_stages(spark, sf):
     assert sorted(after.doc_id) == sorted(before.doc_id[~bad])
 
     before, after, _ = seen[1]
-    assert dict(zip(after.doc_id, after.text, strict=True)) == lines_brute(list(zip(before.doc_id, before.text, strict=True)))
+    assert dict(zip(after.doc_id, after.text, strict=True)) == lines_brute(list(zip(before.doc_id, before.text, strict=True)), short_copies=True)
     assert (after.n_chars == after.text.str.len()).all()
 
     before, after, _ = seen[2]
@@ -33,9 +36,40 @@ def test_stages(spark, sf):
     assert want <= set(after.doc_id) and len(set(after.doc_id) - want) <= 0.1 * max(1, len(before) - len(want))
 
     before, after, frame = seen[3]
-    drawn = mixing.rated(frame, labels).where("copies > 0").toPandas()
-    assert sorted(after.doc_id) == sorted(drawn.doc_id) and len(after) > 0.7 * len(before)
+    rated = mixing.rated(frame, labels)
+    drawn = rated.toPandas().set_index("doc_id")
+    times = after.groupby("doc_id").size().reindex(drawn.index, fill_value=0)
+    assert (times == drawn.copies).all() and ((drawn.copies - drawn.rate).abs() < 1).all() and (drawn.rate >= 0).all() and len(after) > 0.7 * len(before)
+    tokens = drawn.index.map(dict(zip(before.doc_id, map(count_tokens, before.text), strict=True)))
+    got = [(tokens * drawn.rate * drawn[c]).sum() for c in mixing.P]
+    want = [(tokens * drawn[mixing.P[0]]).sum() / 0.96 * mixing.TARGETS[d] for d in mixing.DOMAINS]
+    assert max(abs(a - b) for a, b in zip(got, want, strict=True)) <= 2e-4 * sum(want)
+    for r in mixing.realised(rated).collect():
+        assert abs(r.expected - (got[list(mixing.DOMAINS).index(r.domain)] / (tokens * drawn.rate).sum())) < 1e-9
+
+    before, after, _ = seen[4]
+    texts = before.drop_duplicates("doc_id").set_index("doc_id").text
+    assert sorted(after.doc_id) == sorted(before.doc_id) and all(count_tokens(texts[i]) == n for i, n in zip(after.doc_id, after.n_tokens, strict=True))
+    hist = after.groupby("n_tokens").size()
+    bounds = packing.optimal_boundaries(hist.index.tolist(), hist.tolist(), packing.BUCKETS)
+    assert [min(b for b in bounds if b >= n) for n in after.n_tokens] == after.bucket_len.tolist() and (after.padding == after.bucket_len - after.n_tokens).all()
+    assert not after.duplicated(["bucket", "batch", "slot"]).any()
+    for _, g in after.groupby(["bucket", "batch"]):
+        assert (len(g) - 1) * g.bucket_len.iloc[0] < packing.TOKEN_BUDGET and sorted(g.slot) == list(range(len(g)))
+    full = after[after.bucket_len > 0].groupby(["bucket", "batch"]).agg(n=("slot", "size"), most=("bucket_len", "first")).reset_index()
+    assert all(n == max(1, packing.TOKEN_BUDGET // most) for b, k, n, most in full.itertuples(index=False) if k < full[full.bucket == b].batch.max())
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, __id int, kept int"
+LABELS = "doc_id long, quality int, toxic int"
+
 
-    before, after, frame = seen[4]
-    assert sorted(after.doc_id) == sorted(before.doc_id)
-    assert sorted(map(tuple, after.to_numpy().tolist())) == sorted(map(tuple, packing.apply(frame).toPandas().to_numpy().tolist()))
+@pytest.mark.parametrize("empty", [True, False])
+def test_run_on_odd_inputs(spark, tmp_path, empty):
+    """Nulls in every column, empty and repeated rows, ties, clashing columns; and no rows at all."""
+    a, b = prose("a", 60), prose("b", 60)
+    rows = [(1, a, "en", "s", 3, 7, 8), (1, a, "en", "s", 3, 7, 8), (2, a, None, None, None, None, None), (3, b, "en", "s", 3, 7, 8), (None, b, "de", "s", 3, 7, 8), (None, None, None, None, None, None, None), (4, "", "fr", "t", 0, 7, 8), (5, None, "fr", "t", 0, 7, 8), (6, " \n \n", "en", "t", 5, 7, 8)]
+    spark.createDataFrame([] if empty else rows, COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([] if empty else [(1, 1, 0), (3, 0, 1), (3, None, None), (None, 1, 0), (99, 1, 1)], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    out = P.run(spark, str(tmp_path)).collect()
+    assert out == [] if empty else {r.doc_id for r in out} <= {None, 1, 3, 4, 5, 6} and 1 in {r.doc_id for r in out}
