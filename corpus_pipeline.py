@@ -1,4 +1,9 @@
-"""From raw documents to packed training batches: five stages, each written and read again before the next."""
+"""From raw documents to packed training batches: five stages, each written and read again before the next.
+
+Defined results: rows with a null doc_id or text pass the first three stages as their operators state; documents emptied by line dedup go; a
+document is in the result as often as mixing drew it; empty tables give an empty result; columns that documents has beside its own are carried to the last
+stage, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -18,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one."""
-    return line_dedup.apply(docs)
+    """Documents without lines that repeat an earlier one, short ones included."""
+    return line_dedup.apply(docs, short_copies=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        done = stage(spark, docs, sf_dir)
+        # a source without a row has no type for a column that is null throughout
+        done.withColumns({c: done[c].cast("string") for c, kind in done.dtypes if kind == "void"}).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
