@@ -248,7 +248,7 @@ def _lines(spark, rows):
 
 
 _RESTORE = ["# comment", "", "됐/I-VV:I-EP:0\t되/I-VV 었/I-EP", "해/I-XSV:I-EC:0\t하/I-XSV 여/I-EC", "해/I-XSV:I-EC:1\t하/I-XSV 아/I-EC", "bad", "해/I-XSV:I-EC:1\tx/I-EC"]
-golden("restore_loaded", "A10, A11, B8, D-8: the restore dictionary; a number twice is an error.", "chr, tag, num, vals, error", [("됐", "I-VV:I-EP", 0, "되/I-VV|었/I-EP", None), ("해", "I-XSV:I-EC", 0, "하/I-XSV|여/I-EC", None), ("해", "I-XSV:I-EC", 1, "하/I-XSV|아/I-EC", "duplicate"), ("", "", None, "", "invalid"), ("해", "I-XSV:I-EC", 1, "x/I-EC", "duplicate")], lambda spark: D.restore_entries(_lines(spark, _RESTORE)).select("chr", "tag", "num", F.array_join("vals", "|").alias("vals"), "error"))
+golden("restore_loaded", "A10, A11, B8, D-8: the restore dictionary; a number twice is an error.", "chr, tag, num, vals, error", [("됐", "I-VV:I-EP", 0, "되/I-VV|었/I-EP", None), ("해", "I-XSV:I-EC", 0, "하/I-XSV|여/I-EC", None), ("해", "I-XSV:I-EC", 1, "하/I-XSV|아/I-EC", "duplicate"), ("", "", None, None, "invalid"), ("해", "I-XSV:I-EC", 1, "x/I-EC", "duplicate")], lambda spark: D.restore_entries(_lines(spark, _RESTORE)).select("chr", "tag", "num", F.array_join("vals", "|").alias("vals"), "error"))
 
 _OUT = T.SIMPLE + ["I-VV:I-EP:0"]
 golden("restore_compiled", "K10, A12, A19, C3, G3: packed keys and values, and first tags of composites.", "chr, tag_out, key, packed, first_tag", [("됐", 93, ord("됐") * 4096 + 93, f"{ord('되') * 256 + 128 + T.NUMBER['VV']} {ord('었') * 256 + 128 + T.NUMBER['EP']}", 46 + T.NUMBER["VV"]), ("해", 94, ord("해") * 4096 + 94, f"{ord('하') * 256 + 128 + T.NUMBER['XSV']} {ord('여') * 256 + 128 + T.NUMBER['EC']}", 46 + T.NUMBER["XSV"])], lambda spark: _compiled(spark))
