@@ -69,3 +69,23 @@ def unpack_value(packed: Column) -> dict[str, Column]:
 def to_numbers(name: str) -> int:
     """The number of a simple output tag; 0 for others."""
     return SIMPLE.index(name) + 1 if name in SIMPLE else 0
+
+
+def by_word(flat: Column, words: Column) -> Column:
+    """A sentence's flat list of tags as one array for each word; null where their numbers differ."""
+    sizes = F.transform(words, F.char_length)
+    upto = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, n: a + n)
+    parts = F.transform(words, lambda w, i: F.slice(flat, upto(i) + 1, F.char_length(w)))
+    return F.when(F.size(flat) == F.aggregate(sizes, F.lit(0), lambda a, n: a + n), parts)
+
+
+def same_restored(a: Column, b: Column) -> Column:
+    """Whether two words (arrays of arrays of struct<chr, tag, ...>) restore to the same characters and tags."""
+    flat = lambda x: F.transform(F.flatten(x), lambda r: F.struct(r["chr"].alias("chr"), r["tag"].alias("tag")))
+    return flat(a) == flat(b)
+
+
+def spans(lengths: Column) -> Column:
+    """Begin and end of each of the parts of these lengths that stand side by side."""
+    upto = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, n: a + n)
+    return F.transform(lengths, lambda n, i: F.struct(upto(i).alias("begin"), (upto(i) + n).alias("end")))

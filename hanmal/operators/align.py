@@ -17,7 +17,7 @@ from ..functions.hangul import decompose_str as jamo
 from ..functions.tags import SENT_DELIM, SIMPLE, WORD_DELIM
 from .batches import with_columns
 from .resources import entries
-from .vocab import number_variants
+from .vocab import number_variants, top_examples
 
 VERBS = {"VV", "VA", "VX"}
 STEMS = VERBS | {"VCP", "VCN", "XSV", "XSA", "EP"}
@@ -38,7 +38,7 @@ class Unit(NamedTuple):
 
 
 class Misaligned(Exception):
-    """The argument is the kind: 0:N, N:0, M:N, phoneme, or end."""
+    """The first argument is the kind: 0:N, N:0, M:N, phoneme, or end; the second, of M:N, the chunk that no rule knows."""
 
 
 def show(units: Sequence[Unit]) -> str:
@@ -147,7 +147,7 @@ def middle(raw: str, units: list[Unit], chunks: Chunks) -> list[list[Unit]]:
         return [[u] for u in units]
     if sizes := chunks.get((raw, show(units))):
         return cut(units, list(map(int, sizes)))
-    raise Misaligned("M:N")
+    raise Misaligned("M:N", f"{raw} => {show(units)}")
 
 
 def hand_over(head: list[list[Unit]], units: list[Unit], tail: list[list[Unit]]) -> None:
@@ -201,27 +201,32 @@ def char_tags(raw: str, aligned: list[list[Unit]]) -> list[tuple[str, str | None
     return [(us[0].tag, None) if len(us) == 1 and us[0].chr == c else (":".join(u.tag for u in us), show(us)) for c, us in zip(raw, aligned, strict=True)]
 
 
-def _one(raw: str | None, morphs, chunks: Chunks) -> tuple[list[dict] | None, str | None]:
+def _one(raw: str | None, morphs, chunks: Chunks) -> tuple[list[dict] | None, str | None, str | None]:
     if raw is None or morphs is None:
-        return None, "null"
+        return None, "null", None
     try:
         found = char_tags(raw, align(raw, [(m["lex"], m["tag"]) for m in morphs], chunks))
     except Misaligned as e:
-        return None, str(e)
+        return None, e.args[0], e.args[1] if len(e.args) > 1 else None
     except (ValueError, IndexError):
-        return None, "end"
-    return [{"tag": t, "vals": v} for t, v in found], None
+        return None, "end", None
+    return [{"tag": t, "vals": v} for t, v in found], None, None
 
 
 def align_words(words: DataFrame, raw: str = "raw", morphs: str = "morph_list", chunks: Chunks | None = None) -> DataFrame:
-    """words with chars, array<struct<tag, vals>> (vals null where a character is itself), and error, the kind of what could not be aligned."""
+    """words with chars, array<struct<tag, vals>> (vals null where a character is itself), error, the kind of what could not be aligned, and its chunk."""
     known = chunks or {}
 
     def fn(cols: list[list]) -> list[list]:
         got = [_one(r, m, known) for r, m in zip(*cols, strict=True)]
-        return [[a for a, _ in got], [b for _, b in got]]
+        return [[x[k] for x in got] for k in range(3)]
 
-    return with_columns(words, [raw, morphs], fn, "chars array<struct<tag:string,vals:string>>, error string")
+    return with_columns(words, [raw, morphs], fn, "chars array<struct<tag:string,vals:string>>, error string, chunk string")
+
+
+def unmapped(aligned: DataFrame, raw: str = "raw", most: int = 10) -> DataFrame:
+    """The chunks that no rule knows, with their totals and their most frequent words; order by total to see what a dictionary should have first."""
+    return top_examples(aligned.where("chunk is not null"), ["chunk"], raw, most)
 
 
 def whole_sentences(aligned: DataFrame, sentence: list[str]) -> DataFrame:

@@ -127,3 +127,16 @@ def apply(lines: DataFrame, patches: DataFrame) -> DataFrame:
 def leftovers(lines: DataFrame, patches: DataFrame) -> DataFrame:
     """Delete and replace patches whose word does not exist."""
     return patches.where("op in ('-', '=')").join(lines.where("type = 'WORD'").select("doc", "wid"), ["doc", "wid"], "left_anti")
+
+
+def ordered(patches: DataFrame) -> DataFrame:
+    """Sentence patches (M, S) before word patches, each kind in order of word ids."""
+    return patches.orderBy("doc", F.when(F.col("op").isin("M", "S"), 0).otherwise(1), "wid", "content", "op")
+
+
+def write(patches: DataFrame, path: str) -> None:
+    """A folder of patch lines for each document. What is under path is replaced, so that a document without patches keeps no stale ones."""
+    line = F.when(F.col("op") == "-", F.concat_ws("\t", "op", "wid")).otherwise(F.concat_ws("\t", "op", "wid", "content"))
+    kind = F.when(F.col("op").isin("M", "S"), 0).otherwise(1)
+    rows = patches.select("doc", line.alias("value"), kind.alias("__kind"), "wid", "content").repartition("doc").sortWithinPartitions("doc", "__kind", "wid", "content")
+    rows.select("doc", "value").write.mode("overwrite").partitionBy("doc").text(path)

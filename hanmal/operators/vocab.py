@@ -103,3 +103,8 @@ def output_vocabulary(spark, composites: DataFrame) -> DataFrame:
     simple = spark.createDataFrame([(0, i, t) for i, t in enumerate(SIMPLE)], "part int, pos int, tag string")
     both = simple.unionByName(composites.select(F.lit(1).alias("part"), F.lit(0).alias("pos"), "tag"))
     return both.select("tag", F.row_number().over(Window.orderBy("part", "pos", "tag")).alias("num"))
+
+
+def by_frequency(counted: DataFrame, freq: str = "freq") -> DataFrame:
+    """The most frequent rows first; equal ones in order of their other columns."""
+    return counted.orderBy(F.desc(freq), *[c for c in counted.columns if c != freq])

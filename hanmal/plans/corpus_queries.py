@@ -223,3 +223,67 @@ def extract_errpatch(spark, sf_dir):
     """K16, E10, D-5, F2: where flawed analyses differ from gold ones, with their surroundings, counted."""
     w = gold_words(spark, sf_dir).select("doc_id", "line_idx", "word_idx", "raw", "morph_list", F.col("pred"))
     return vocab.error_counts(mining.error_triples(mining.sentences(w, ["doc_id", "line_idx"])), 5, 4)
+
+
+_KNOWN = {("됐", "I-VV:I-EP"): {0: "되/I-VV 었/I-EP"}, ("해", "I-XSV:I-EC"): {0: "하/I-XSV 아/I-EC"}}
+_TAGS = align.tag_numbers(["I-VV:I-EP:0", "I-XSV:I-EC:0"])
+_I = lambda t: _TAGS["I-" + t]
+_PREANAL = [
+    (0, "이더리움", False, "이더리움/NNP", f"{_I('NNP')} " * 3 + str(_I("NNP")), None), (1, "가즈아", True, "가즈아/IC", f"{_I('IC')} {_I('IC')} {_I('IC')}", None), (2, "됐어", False, "되/VV + 었/EP + 어/EC", f"93 {_I('EC')}", None),
+    (3, "사랑해", True, "사랑/NNG + 하/XSV + 여/EC", f"{_I('NNG')} {_I('NNG')} 95", None), (4, "먹혀", False, "먹히/VV + 어/EC", f"{_I('VV')} 96", None), (5, "건강해", True, "건강/NNG + 하/XSV + 여/EC", f"{_I('NNG')} {_I('NNG')} 95", None), (6, "가나", False, "가/NNG", None, "end"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', {str(p).lower()}, {'NULL' if t is None else repr(t)}, {'NULL' if e is None else repr(e)})" for _, w, p, _, t, e in _PREANAL) + ") t(key, is_pfx, tag_nums, error)")
+def compile_preanal(spark, sf_dir):
+    """Pre-analysis entries aligned and numbered; new composites get new variants and new tags."""
+    rows = spark.createDataFrame([(n, w, p, m) for n, w, p, m, _, _ in _PREANAL], "line_no int, word string, is_pfx boolean, m string").withColumn("morph_list", M.parse(F.col("m"), delims=False))
+    out, _, _ = align.compile_preanal(rows, _KNOWN, _TAGS)
+    return out.select("key", "is_pfx", F.array_join("tag_nums", " ").alias("tag_nums"), "error")
+
+
+_P = lambda word, tags: [ord(c) * 4096 + t for c, t in zip(word, tags, strict=True)]
+_N, _G, _R = _I("NNP"), _I("NNG"), _I("NR")
+_ERRPATCH = [
+    ("지저스크라이스트", "지저스크라이스/NNP + 트/NNG", "지저스/NNP + 크라이스트/NNP", _P("지저스크라이스트", [_N] * 7 + [_G]), [_N] * 3 + [_TAGS["B-NNP"]] + [_N] * 4, None),
+    ("지저스 크라이스트", "지저스/NNP + _ + 크라이스/NNP + 트/NNG", "지저스/NNP + _ + 크라이스트/NNP", [*_P("지저스", [_N] * 3), -1, *_P("크라이스트", [_N] * 4 + [_G])], [_N] * 3 + [-1] + [_N] * 5, None),
+    ("고타마", "| + 고타마/NNP", "| + 고타/NNP + 마/NNG", [-2, *_P("고타마", [_N] * 3)], [-2, _N, _N, _G], None), ("무둘라", "무/NNP + 둘/NR + 라/NNP + |", "무/NNP + 둘라/NNP + |", [*_P("무둘라", [_N, _R, _N]), -2], [_N, _TAGS["B-NNP"], _N, -2], None),
+    ("먹혀", "먹히/VV + 어/EC", "먹히/VV + 어/EF", None, None, "align"), ("됐어", "되/VV + 었/EP + 어/EC", "되/VV + 었/EP + 어/EF", _P("됐어", [93, _I("EC")]), [93, _I("EF")], None), ("가나", "가/NNG + 나/NNG", "| + 가/NNG + 나/NNP", None, None, "lengths"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', {}, {}, {})".format(r, *("NULL" if v is None else "'" + (" ".join(map(str, v)) if isinstance(v, list) else v) + "'" for v in (a, b, e))) for r, _, _, a, b, e in _ERRPATCH) + ") t(raw, left_side, right_side, error)")
+def compile_errpatch(spark, sf_dir):
+    """Both sides of error patches aligned; what would need new entries, or differs in length, is refused."""
+    rows = spark.createDataFrame([(r, w, g) for r, w, g, _, _, _ in _ERRPATCH], "raw string, wrong string, `right` string")
+    out = align.compile_errpatch(rows, _KNOWN, _TAGS)
+    return out.select("raw", F.array_join("left", " ").alias("left_side"), F.array_join("right", " ").alias("right_side"), "error")
+
+
+@query("SELECT '뷁 => 정/I-NNG 말/I-NNG' AS chunk, * FROM (VALUES ('뷁가', 2, 3, 1), ('뷁도', 1, 3, 2)) t(raw, n, total, rank)")
+def unmapped_chunks(spark, sf_dir):
+    """D-9, F8: chunks that no rule aligns, with their words."""
+    rows = spark.createDataFrame([("뷁가", "정말/NNG + 가/JKS"), ("뷁도", "정말/NNG + 도/JX"), ("뷁가", "정말/NNG + 가/JKS"), ("가", "가/NNG")], "raw string, m string").withColumn("morph_list", M.parse(F.col("m"), delims=False))
+    return align.unmapped(align.align_words(rows)).select("chunk", "raw", "n", "total", "rank")
+
+
+@query(f"""WITH {HWORDS}, {HCHARS} SELECT conv_id, turn, line_idx, word_idx, string_agg(tag_out, ' ' ORDER BY char_idx) AS tags, CAST(sum(n) OVER w - n AS INTEGER) AS begin_at, CAST(sum(n) OVER w AS INTEGER) AS end_at FROM (SELECT *, length(word) AS n FROM hchars) GROUP BY conv_id, turn, line_idx, word_idx, n WINDOW w AS (PARTITION BY conv_id, turn, line_idx ORDER BY word_idx)""")
+def tags_by_word(spark, sf_dir):
+    """A sentence's flat list of tags cut by its words, with their begins and ends."""
+    from ..functions import tags as T
+
+    s = hangul_sentences(spark, sf_dir)
+    parts = F.arrays_zip(T.by_word(F.flatten("tags"), F.col("words")).alias("t"), T.spans(F.transform("words", F.char_length)).alias("s"))
+    return s.select(*SENT, F.posexplode(parts).alias("word_idx", "p")).select(*SENT, "word_idx", F.array_join("p.t", " ").alias("tags"), F.col("p.s.begin").alias("begin_at"), F.col("p.s.end").alias("end_at"))
+
+
+@query(f"WITH {HWORDS}, {HCHARS}, w AS (SELECT conv_id, turn, line_idx, word_idx, bool_and(tag_out <= 92) AS same FROM hchars GROUP BY ALL) SELECT same, count(*) AS n FROM (SELECT w.conv_id, w.turn, w.line_idx, w.word_idx, bool_and(CASE WHEN tag_out <= 92 THEN true WHEN r.chr IS NULL THEN true ELSE false END) AS same FROM w JOIN hchars h USING (conv_id, turn, line_idx, word_idx) LEFT JOIN (SELECT DISTINCT chr, tag_out FROM {X.RESTORE_SQL.split(' AS ', 1)[1]} restore(chr, tag_out, vals)) r USING (chr, tag_out) GROUP BY ALL) GROUP BY same")
+def same_restored(spark, sf_dir):
+    """Words that restore to the same with and without the dictionary."""
+    from ..functions import tags as T
+
+    s = hangul_sentences(spark, sf_dir)
+    on = A.restore(s, X.DICTIONARIES).withColumnRenamed("restored", "a").drop("missing")
+    both = A.restore(on, X.DICTIONARIES, use_dic=False)
+    w = both.select(F.explode(F.arrays_zip("a", "restored")).alias("w"))
+    return w.groupBy(T.same_restored(F.col("w.a"), F.col("w.restored")).alias("same")).agg(F.count(F.lit(1)).alias("n"))

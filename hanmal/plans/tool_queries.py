@@ -83,8 +83,8 @@ def corpus_apply_patch(spark, sf_dir):
 @query(f"""WITH {GOLD}, {_cells(False)}, {_cells(True)}, a AS (SELECT doc, wid, content AS a FROM r0 WHERE type = 'WORD'), b AS (SELECT doc, wid, content AS b FROM r1 WHERE type = 'WORD')
 SELECT doc, CASE WHEN b IS NULL THEN '-' WHEN a IS NULL THEN '+' ELSE '=' END AS op, wid, coalesce(b, '') AS content FROM a FULL JOIN b USING (doc, wid) WHERE a IS DISTINCT FROM b""")
 def corpus_diff(spark, sf_dir):
-    """Words changed, gone and new between two versions."""
-    return patch.word_patches(*corpora(spark, sf_dir))
+    """Words changed, gone and new between two versions, in order."""
+    return patch.ordered(patch.word_patches(*corpora(spark, sf_dir)))
 
 
 def _pairs(r: str) -> str:
@@ -316,9 +316,9 @@ def duplicated_names(spark, sf_dir):
 
 @query("WITH c AS (SELECT p_brand AS origin, p_type AS l, p_container AS r, count(*) AS freq FROM (SELECT p_brand, p_type, CAST(p_size % 3 AS VARCHAR) AS p_container FROM part) GROUP BY ALL) SELECT origin, l AS left_side, r AS right_side, freq FROM c WHERE freq >= 2 AND length(trim(origin)) >= 4")
 def error_counts(spark, sf_dir):
-    """B16, D-5: error patches that are frequent and long enough."""
+    """B16, D-5, F2: error patches that are frequent and long enough, the most frequent first."""
     p = load(spark, sf_dir, "part").select(F.col("p_brand").alias("origin"), F.col("p_type").alias("left"), (F.col("p_size") % 3).cast("string").alias("right"))
-    return vocab.error_counts(p, 2, 4).select("origin", F.col("left").alias("left_side"), F.col("right").alias("right_side"), "freq")
+    return vocab.by_frequency(vocab.error_counts(p, 2, 4)).select("origin", F.col("left").alias("left_side"), F.col("right").alias("right_side"), "freq")
 
 
 @query("SELECT n_nationkey, n_name, old FROM (SELECT n_nationkey, n_name, true AS old FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, n_name, false FROM nation WHERE n_nationkey % 2 = 1)")
