@@ -33,10 +33,6 @@ def is_inside(tag_out: Column) -> Column:
     return (tag_out > N_TAGS).cast("int")
 
 
-def same_category(a: Column, b: Column) -> Column:
-    return simple_tag(a) == simple_tag(b)
-
-
 def tag_name(num: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, TAGS)), num)
 

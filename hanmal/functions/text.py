@@ -20,11 +20,6 @@ def is_space(chr_: Column) -> Column:
     return chr_.isin(*SPACES)
 
 
-def until_nul(text: Column) -> Column:
-    """text up to its first NUL character."""
-    return F.substring_index(text, "\x00", 1)
-
-
 def chars(text: Column) -> Column:
     """The characters of text."""
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))

@@ -17,6 +17,7 @@ from ..functions.hangul import decompose_str as jamo
 from ..functions.tags import SENT_DELIM, SIMPLE, WORD_DELIM
 from .batches import with_columns
 from .resources import entries
+from .sizes import small
 from .vocab import number_variants, top_examples
 
 VERBS = {"VV", "VA", "VX"}
@@ -243,9 +244,9 @@ def variants(aligned: DataFrame, order: list[str], raw: str = "raw", known: dict
         return number_variants(pairs)
     rows = [(c, t, v, n) for (c, t), vals in known.items() for n, v in vals.items()]
     old = pairs.sparkSession.createDataFrame(rows, "chr string, tag string, vals string, num int")
-    new = number_variants(pairs.join(F.broadcast(old), ["chr", "tag", "vals"], "left_anti")) if rows else number_variants(pairs)
+    new = number_variants(pairs.join(small(old), ["chr", "tag", "vals"], "left_anti")) if rows else number_variants(pairs)
     most = old.groupBy("chr", "tag").agg((F.max("num") + 1).alias("__base"))
-    return new.join(F.broadcast(most), ["chr", "tag"], "left").withColumn("num", F.col("num") + F.coalesce("__base", F.lit(0))).drop("__base")
+    return new.join(small(most), ["chr", "tag"], "left").withColumn("num", F.col("num") + F.coalesce("__base", F.lit(0))).drop("__base")
 
 
 def tag_words(aligned: DataFrame, numbered: DataFrame, raw: str = "raw") -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a dictionary is broadcast; beyond, the join shuffles on its keys.
-MOST_BROADCAST_ROWS = 500_000
+#: Bytes, as the plan knows them before it runs, up to which a dictionary is broadcast.
+MOST_BYTES = 64 << 20
 
 
-def small(dic: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """dic with a broadcast hint if it has at most `most` rows."""
-    return F.broadcast(dic) if dic.limit(most + 1).count() <= most else dic
+def small(dic: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """dic with a broadcast hint if its source is at most `most` bytes; else adaptive execution decides by the size it turns out to have. Runs no job."""
+    size = dic._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(dic) if int(str(size)) <= most else dic

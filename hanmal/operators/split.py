@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Rows of a head up to which it is broadcast.
+MOST_BROADCAST_ROWS = 1_000_000
+
+
 def uniform(*keys: Column, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on keys alone; plain arithmetic, so that any engine can repeat it."""
     x = F.lit(seed)
@@ -33,7 +37,8 @@ def positional_split(df: DataFrame, order: list[str], n_dev: int, n_test: int) -
     """
     head = df.select(*order).orderBy(*order).limit(n_dev + n_test)
     ranked = head.withColumn("__n", F.row_number().over(Window.orderBy(*order)))
-    return df.join(F.broadcast(ranked), order, "left").withColumn("split", F.when(F.col("__n").isNull(), "train").when(F.col("__n") <= n_dev, "dev").otherwise("test")).drop("__n")
+    few = F.broadcast(ranked) if n_dev + n_test <= MOST_BROADCAST_ROWS else ranked
+    return df.join(few, order, "left").withColumn("split", F.when(F.col("__n").isNull(), "train").when(F.col("__n") <= n_dev, "dev").otherwise("test")).drop("__n")
 
 
 def merge_words(words: DataFrame, sentence: list[str], rate: float, seed: int = 1234, raw: str = "raw", morphs: str = "morphs") -> DataFrame:

@@ -254,6 +254,10 @@ _OUT = T.SIMPLE + ["I-VV:I-EP:0"]
 golden("restore_compiled", "K10, A12, A19, C3, G3: packed keys and values, and first tags of composites.", "chr, tag_out, key, packed, first_tag", [("됐", 93, ord("됐") * 4096 + 93, f"{ord('되') * 256 + 128 + T.NUMBER['VV']} {ord('었') * 256 + 128 + T.NUMBER['EP']}", 46 + T.NUMBER["VV"]), ("해", 94, ord("해") * 4096 + 94, f"{ord('하') * 256 + 128 + T.NUMBER['XSV']} {ord('여') * 256 + 128 + T.NUMBER['EC']}", 46 + T.NUMBER["XSV"])], lambda spark: _compiled(spark))
 
 
+golden("values_unpacked", "H10: packed restored characters taken apart.", "packed, code, bi, tag", [(ord(c) * 256 + 128 * b + t, ord(c), b, t) for c, b, t in (("되", 1, 37), ("가", 0, 1), ("ㄴ", 1, 46))], lambda spark: spark.createDataFrame([(ord(c) * 256 + 128 * b + t,) for c, b, t in (("되", 1, 37), ("가", 0, 1), ("ㄴ", 1, 46))], "packed long").select("packed", *[v.alias(k) for k, v in T.unpack_value(F.col("packed")).items()]))
+golden("tag_tables", "D8, H11: simple tags and their output forms, by number.", "num, tag, inner_form", [(i, t, f"I-{t}") for i, t in enumerate(T.TAGS, 1)], lambda spark: T.tagset(spark).withColumn("inner_form", T.out_name(F.col("num") + T.N_TAGS)))
+
+
 def _compiled(spark):
     v = D.output_tags(_lines(spark, _OUT), _lines(spark, ["I-XSV:I-EC:0", ""]))
     c = D.compile_restore(D.restore_entries(_lines(spark, _RESTORE[:4])), v)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import morphs as M
+from ..operators.sizes import small
 
 
 def strict(df: DataFrame, what: str) -> DataFrame:
@@ -44,7 +45,7 @@ def output_tags(main: DataFrame, more: DataFrame) -> DataFrame:
 def first_tags(vocab: DataFrame) -> DataFrame:
     """tag_out and first_tag of each composite: the number of its first simple tag."""
     simple = vocab.where("not is_composite").select(F.col("tag").alias("__one"), F.col("num").alias("first_tag"))
-    return vocab.where("is_composite").select(F.col("num").alias("tag_out"), F.get(F.split("tag", ":"), F.lit(0)).alias("__one")).join(F.broadcast(simple), "__one").select("tag_out", "first_tag")
+    return vocab.where("is_composite").select(F.col("num").alias("tag_out"), F.get(F.split("tag", ":"), F.lit(0)).alias("__one")).join(small(simple), "__one").select("tag_out", "first_tag")
 
 
 def restore_entries(lines: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def compile_restore(entries: DataFrame, vocab: DataFrame) -> DataFrame:
     from ..functions.tags import NUMBER
 
     v = vocab.select(F.col("tag").alias("__t"), F.col("num").alias("tag_out"))
-    got = entries.withColumn("__t", F.concat_ws(":", "tag", "num")).join(F.broadcast(v), "__t").withColumn("vals", F.transform("vals", lambda x: restored_value(x, NUMBER)))
+    got = entries.withColumn("__t", F.concat_ws(":", "tag", "num")).join(small(v), "__t").withColumn("vals", F.transform("vals", lambda x: restored_value(x, NUMBER)))
     pack = lambda x: F.ascii(x["chr"]).cast("long") * 256 + x["bi"] * 128 + x["tag"]
     return got.select("chr", "tag_out", "vals", (F.ascii("chr").cast("long") * 4096 + F.col("tag_out")).alias("key"), F.transform("vals", pack).alias("packed"))
 
