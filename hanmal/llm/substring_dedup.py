@@ -5,7 +5,8 @@ words (a passage pasted into the middle of another sentence thus starts a unit o
 line that are shorter than that are taken together until they have min_words words. Units are normalised (lower
 case, white space squeezed) and hashed to 128 bits; digests are grouped globally and the occurrence in the smallest doc_id, and
 there the first, is kept. Repeats form runs of neighbouring units. What is left of short sentences (a gap) is not a unit,
-as it repeats by chance; a run goes on over a gap only if the kept units are neighbours too, with the same gap between them. A passage that starts or ends within a sentence shares only a part of the
+as it repeats by chance; a run goes on over a gap only if the gap with the units on both sides of it (a bridge, hashed and grouped as units are)
+occurred before. A passage that starts or ends within a sentence shares only a part of the
 units at its edges, so a run is extended word by word as long as the words beside its units are those beside their kept
 occurrences, and goes if it then has at least min_run words. Offsets are characters of the original text. A passage without a
 whole unit in it has nothing to start from and is not found.
@@ -22,8 +23,8 @@ table; other columns are passed on by clean(), whatever their names, but for a c
 
 from __future__ import annotations
 
-import bisect
 import functools
+import itertools
 import re
 import sys
 import unicodedata
@@ -38,9 +39,9 @@ from .common import fingerprint, map_rows, materialize, maybe_among, quoted, req
 MIN_WORDS, MIN_RUN = 4, 30
 #: Words beside a unit that are compared at first; each further round compares eight times as many.
 FIRST_REACH = 4
-UNIT_COLUMNS = {"doc_id": "long", "fp": "long", "no": "int", "begin": "int", "end": "int", "words": "int", "h1": "long", "h2": "long", "gap_words": "int", "gap": "long", "again": "boolean", "kept_begin": "int", "kept_end": "int", "kept_no": "int", "kept_gap": "long"}
-#: Begin, end, words, digest; words and hash of the gap before it, 0 and 0 without one.
-Unit = tuple[int, int, int, bytes, int, int]
+UNIT_COLUMNS = {"doc_id": "long", "fp": "long", "no": "int", "bridge": "boolean", "begin": "int", "end": "int", "words": "int", "h1": "long", "h2": "long", "gap_words": "int", "again": "boolean", "kept_begin": "int", "kept_end": "int"}
+#: Begin, end, words, digest; words of the gap before it, and the digest of the bridge over that gap from the unit before, if there are both.
+Unit = tuple[int, int, int, bytes, int, bytes | None]
 
 
 def _ranges(*categories: str) -> str:
@@ -66,8 +67,12 @@ def units(text: str, min_words: int = MIN_WORDS) -> list[Unit]:
     begin, held = 0, []  # held: neighbouring short sentences of one line
     gap: list[str] = []  # words since the last unit that are in no unit
 
+    before: list[str] = []  # words of the last unit
+
     def add(b: int, e: int, words: list[str]) -> None:
-        out.append((b, e, len(words), _digest(words), len(gap), _short(gap) if gap else 0))
+        nonlocal before
+        out.append((b, e, len(words), _digest(words), len(gap), _digest(["", *before, *gap, *words]) if gap and before else None))
+        before = words
         gap.clear()
 
     for m in [*cuts().finditer(text), None]:
@@ -96,31 +101,51 @@ def _digest(words: list[str]) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(words).encode())
 
 
-def _short(words: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join(words).encode()) - (1 << 63)
-
-
 def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, fp, no, begin, end, words, h1, h2, gap_words, gap, whether the document had the unit before, and where it first did."""
+    """UNIT_COLUMNS of each unit, and of each bridge to the unit `no`: again says whether the document had it before, and kept_ where it first did."""
     require(docs, "doc_id", "text")
 
     def fn(cols: list[list]) -> dict:
-        out: dict[str, list] = {k: [] for k in UNIT_COLUMNS}
         rows = []
         for doc_id, fp, text in zip(*cols, strict=True):
-            seen: dict[bytes, tuple[int, int, int, int]] = {}
-            for no, (b, e, n, d, gap_words, gap) in enumerate(units(text, min_words)):
-                again = d in seen
-                first = seen.setdefault(d, (b, e, no, gap))
-                rows.append((doc_id, fp, no, b, e, n, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), gap_words, gap, again, *first))
-        for k, values in zip(out, zip(*rows, strict=True), strict=False):
-            out[k] = values
-        return out
+            seen: dict[bytes, tuple[int, int]] = {}
+
+            def add(no: int, bridge: bool, b: int, e: int, n: int, d: bytes, gap: int) -> None:
+                again = d in seen  # noqa: B023
+                first = seen.setdefault(d, (b, e))  # noqa: B023
+                rows.append((doc_id, fp, no, bridge, b, e, n, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), gap, again, *first))  # noqa: B023
+
+            for no, (b, e, n, d, gap, over) in enumerate(units(text, min_words)):
+                add(no, False, b, e, n, d, gap)
+                if over is not None:
+                    add(no, True, b, e, n, over, gap)
+        return dict(zip(UNIT_COLUMNS, zip(*rows, strict=True), strict=True)) if rows else {k: [] for k in UNIT_COLUMNS}
 
     src = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     return map_rows(src, [F.col("doc_id").cast("long"), fingerprint(), "text"], fn, ", ".join(f"{k} {v}" for k, v in UNIT_COLUMNS.items()))
 
 
+_WORD = re.compile(r"\S+")
+
+
+def words_after(text: str, at: int, most: int) -> list[tuple[int, int]]:
+    """Begin and end of the first `most` words from at on."""
+    return [m.span() for m in itertools.islice(_WORD.finditer(text, at), most)]
+
+
+def words_before(text: str, at: int, most: int) -> list[tuple[int, int]]:
+    """Begin and end of the last `most` words before at, the last first. Reads no more of text than it needs, to a factor of two."""
+    back = 8 * most
+    while True:
+        low = max(0, at - back)
+        found = [m.span() for m in _WORD.finditer(text, low, at)]
+        if low and found and found[0][0] == low and not text[low - 1].isspace():
+            found.pop(0)  # cut in two by low
+        if len(found) >= most or not low:
+            return found[::-1][:most]
+        back *= 2
+
+
 def beside(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
     """Hashes and outer offsets of up to reach words before (side -1) or after (side 1) the places of wanted: doc_id, fp, side, at."""
     wanted = materialize(wanted.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("side", "at")).alias("wanted")), "wanted")
@@ -132,11 +157,8 @@ def beside(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
     def fetch(cols: list[list]) -> dict:
         out: dict[str, list] = {k: [] for k in ("doc_id", "fp", "side", "at", "hashes", "outer")}
         for doc_id, fp, want, text in zip(*cols, strict=True):
-            words = [m.span() for m in re.finditer(r"\S+", text)]
-            begins = [b for b, _ in words]
             for x in want:
-                k = bisect.bisect_left(begins, x["at"])
-                near = words[k : k + reach] if x["side"] > 0 else words[max(0, k - reach) : k][::-1]
+                near = words_after(text, x["at"], reach) if x["side"] > 0 else words_before(text, x["at"], reach)
                 hashes = [xxhash.xxh3_64_intdigest(text[b:e].lower().encode()) - (1 << 63) for b, e in near]
                 row = (doc_id, fp, x["side"], x["at"], hashes, [e if x["side"] > 0 else b for b, e in near])
                 for k, v in zip(out, row, strict=True):
@@ -180,18 +202,19 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN)
     all_units = materialize(unit_table(docs, min_words), "units")
     spread = all_units.where("not again").groupBy("h1", "h2").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last")
     spread = materialize(spread.drop("last"), "spread")
-    likely = maybe_among(all_units.where("not again"), F.col("h1"), spread.select(F.col("h1").alias("k"))).drop("kept_begin", "kept_end", "kept_no", "kept_gap")
+    likely = maybe_among(all_units.where("not again"), F.col("h1"), spread.select(F.col("h1").alias("k"))).drop("kept_begin", "kept_end")
     shared = materialize(likely.join(spread, ["h1", "h2"]), "shared")
-    source = shared.where("kept_doc_id = doc_id").groupBy("h1", "h2").agg(F.min(F.struct("fp", "begin", "end", "no", "gap")).alias("source"))
-    source = source.select("h1", "h2", *[F.col(f"source.{c}").alias(f"kept_{c}") for c in ("fp", "begin", "end", "no", "gap")])
-    columns = ["doc_id", "fp", "no", "begin", "end", "words", "gap_words", "gap", "kept_doc_id", "kept_fp", "kept_begin", "kept_end", "kept_no", "kept_gap"]
-    gone = shared.where("kept_doc_id < doc_id").join(source, ["h1", "h2"]).select(*columns)
-    own = all_units.where("again").withColumn("kept_doc_id", F.col("doc_id")).withColumn("kept_fp", F.col("fp"))
+    source = shared.where("kept_doc_id = doc_id and not bridge").groupBy("h1", "h2").agg(F.min(F.struct("fp", "begin", "end")).alias("source"))
+    source = source.select("h1", "h2", *[F.col(f"source.{c}").alias(f"kept_{c}") for c in ("fp", "begin", "end")])
+    columns = ["doc_id", "fp", "no", "begin", "end", "words", "gap_words", "kept_doc_id", "kept_fp", "kept_begin", "kept_end"]
+    gone = shared.where("kept_doc_id < doc_id and not bridge").join(source, ["h1", "h2"]).select(*columns)
+    own = all_units.where("again and not bridge").withColumn("kept_doc_id", F.col("doc_id")).withColumn("kept_fp", F.col("fp"))
     gone = gone.unionByName(own.select(*columns)).distinct()
+    place = ["doc_id", "fp", "no"]
+    bridges = shared.where("kept_doc_id < doc_id and bridge").select(*place).union(all_units.where("again and bridge").select(*place)).distinct()
+    gone = gone.join(bridges.withColumn("bridged", F.lit(True)), place, "left")
     order = Window.partitionBy("doc_id", "fp").orderBy("no")
-    last = lambda c: F.lag(c).over(order)
-    alike = (F.col("gap") == F.col("kept_gap")) & (last("kept_doc_id") == F.col("kept_doc_id")) & (last("kept_fp") == F.col("kept_fp")) & (last("kept_no") + 1 == F.col("kept_no"))
-    goes_on = F.coalesce((last("no") + 1 == F.col("no")) & ((F.col("gap_words") == 0) | alike), F.lit(False))
+    goes_on = F.coalesce((F.lag("no").over(order) + 1 == F.col("no")) & ((F.col("gap_words") == 0) | F.col("bridged")), F.lit(False))
     gone = gone.withColumn("opens", (~goes_on).cast("int")).withColumn("run", F.sum("opens").over(order))
     run = Window.partitionBy("doc_id", "fp", "run")
     inner = F.col("words") + F.when(F.col("opens") == 0, F.col("gap_words")).otherwise(0)

@@ -83,6 +83,17 @@ def test_substring_keeps_what_repeats_nothing(spark):
     assert got[1] == f"{a}\n{b}" and got[2] == "New fact 2024" and "".join(got.values()).count("New fact") >= 1
 
 
+def test_words_beside_a_place():
+    r = random.Random(6)
+    for _ in range(300):
+        text = "".join(r.choice(["a", "bc", " ", "\n", "  ", "longer", "x" * 40]) for _ in range(r.randrange(1, 60)))
+        spans = [(m.start(), m.end()) for m in substring_dedup._WORD.finditer(text)]
+        ends = [0, len(text), *[b for b, _ in spans], *[e for _, e in spans]]
+        at, most = r.choice(ends), r.randrange(1, 9)
+        assert substring_dedup.words_after(text, at, most) == [(max(b, at), e) for b, e in spans if e > at][:most]
+        assert substring_dedup.words_before(text, at, most) == [(b, min(e, at)) for b, e in spans if b < at][::-1][:most]
+
+
 URLS = ["http://a\r\nX-Payload: absent", " http://b ", "http://c/%0D%20", "\thttp://d", "http://e\x00\x7f", "", " ", "http://ü/ x", None]
 
 
