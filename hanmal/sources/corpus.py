@@ -21,7 +21,7 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8", stop: di
     after which the rest is ignored.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", encoding).alias("text"))
-    text = F.regexp_replace(F.regexp_replace("text", "^\\uFEFF", ""), "\r?\n$", "")
+    text = F.regexp_replace(F.regexp_replace("text", "^\\uFEFF", ""), "\r?\n\\z", "")
     out = raw.select("file", F.posexplode(F.split(text, "\r?\n", -1)).alias("line_no", "line"))
     for name, last in (stop or {}).items():
         end = F.min(F.when(F.col("line") == last, F.col("line_no"))).over(Window.partitionBy("file"))
