@@ -94,10 +94,12 @@ def split(lines: DataFrame, patches: DataFrame) -> DataFrame:
     at = lines.withColumns({"t0": F.lag("type").over(by_line()), "w0": F.lag("wid").over(by_line())})
     at = at.withColumn("prev17", F.when((F.col("type") == "WORD") & (F.col("t0") == "WORD"), F.substring("w0", 1, ID_LEN)))
     p = _of(patches, "S", "p_next").withColumnRenamed("doc", "p_doc")
-    hit = at.join(p, (F.col("doc") == F.col("p_doc")) & (F.col("prev17") == F.col("p_wid")) & (F.substring("wid", 1, ID_LEN) == F.substring("p_next", 1, ID_LEN)))
-    tags = F.explode(F.array(F.struct(F.lit(0.25).alias("k"), F.lit("EOS").alias("type"), F.lit("</p>").alias("content")), F.struct(F.lit(0.5).alias("k"), F.lit("BOS").alias("type"), F.lit("<p>").alias("content"))))
-    new = hit.select("doc", "line_no", tags.alias("t")).select("doc", (F.col("line_no") - 1 + F.col("t.k")).alias("line_no"), "t.type", F.lit(None).cast("string").alias("wid"), "t.content")
-    return renumber(lines.withColumn("line_no", F.col("line_no").cast("double")).unionByName(new.withColumn("line_no", F.col("line_no").cast("double"))))
+    at = at.join(p, (F.col("doc") == F.col("p_doc")) & (F.col("prev17") == F.col("p_wid")) & (F.substring("wid", 1, ID_LEN) == F.substring("p_next", 1, ID_LEN)), "left")
+    row = lambda k, kind, wid, content: F.struct(F.lit(k).alias("k"), kind.alias("type"), wid.cast("string").alias("wid"), content.alias("content"))
+    own = row(1.0, F.col("type"), F.col("wid"), F.col("content"))
+    tags = [row(0.25, F.lit("EOS"), F.lit(None), F.lit("</p>")), row(0.5, F.lit("BOS"), F.lit(None), F.lit("<p>"))]
+    each = at.select("doc", "line_no", F.explode(F.when(F.col("p_wid").isNotNull(), F.array(*tags, own)).otherwise(F.array(own))).alias("r"))
+    return renumber(each.select("doc", (F.col("line_no") - 1 + F.col("r.k")).alias("line_no"), "r.type", "r.wid", "r.content"))
 
 
 def insert(lines: DataFrame, patches: DataFrame) -> DataFrame:

@@ -76,8 +76,8 @@ def corpora(spark, sf_dir):
 @query(f"WITH {GOLD}, {_cells(True)} {_NUMBERED.format('r1')}")
 def corpus_apply_patch(spark, sf_dir):
     """A corpus with its patches applied is the edited one."""
-    old, new = corpora(spark, sf_dir)
-    return patch.apply(old, patch.make(old, new)).select("doc", "line_no", "type", "wid", "content")
+    old, new = (x.cache() for x in corpora(spark, sf_dir))
+    return patch.apply(old, patch.make(old, new).cache()).select("doc", "line_no", "type", "wid", "content")
 
 
 @query(f"""WITH {GOLD}, {_cells(False)}, {_cells(True)}, a AS (SELECT doc, wid, content AS a FROM r0 WHERE type = 'WORD'), b AS (SELECT doc, wid, content AS b FROM r1 WHERE type = 'WORD')
