@@ -15,6 +15,8 @@ from .common import map_rows, one_label
 from .quality_rules import RULES, rule_values
 
 BUCKETS = 1 << 18
+#: Documents of a class that must hold a bucket before chi-squared means anything: with fewer, every word of a class of two documents would be its sign.
+MIN_SEEN = 3
 
 
 def word_buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +69,7 @@ def choose_buckets(sample: DataFrame, names: list[str], n_chosen: int) -> np.nda
     rows = map_rows(sample, ["class", "text"], fn, "class string, buckets array<int>").select("class", F.explode("buckets").alias("b")).groupBy("class", "b").count()
     total = {r["class"]: r["count"] for r in sample.groupBy("class").count().collect()}
     seen = np.zeros((len(names), BUCKETS))
-    counts = rows.toPandas()  # at most BUCKETS rows a class
+    counts = rows.where(F.col("count") >= MIN_SEEN).toPandas()
     for k, name in enumerate(names):
         own = counts[counts["class"] == name]
         seen[k, own["b"].to_numpy(np.int64)] = own["count"].to_numpy()

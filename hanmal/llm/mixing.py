@@ -3,18 +3,17 @@
 1. A softmax classifier, fitted on a bounded sample of the labels table (at most max_train documents of each class),
    predicts for every document its posteriors over the domains: low quality, toxic, clean. The classes are sampled alike
    and the intercepts corrected to their shares among all labels.
-2. Document rates x >= 0 are fitted so that the expected domain token totals sum(x * tokens * posterior) match the targets:
-   projected gradient descent on the squared residuals, from x = 1, with no upper bound unless max_rate sets one. Residuals are weighted
-   by the inverse Gram matrix of the documents whose rate can move, which spares the descent the many steps that unlike domains cost,
-   and a step that does not lower the residuals is halved. A document's rate is a function of its own posteriors and of the steps, three
-   numbers each, so an iteration is one aggregation over all documents that computes their rates anew, and nothing per
-   document is held between iterations.
+2. Document rates x >= 0 are fitted so that the expected domain token totals sum(x * tokens * posterior) match the targets: least squares by
+   projected gradient steps from x = 1, with no upper bound unless max_rate sets one. The gradient of a document's rate is its
+   posteriors times the residuals, so after any steps x is the projection of 1 - posteriors * mu onto the bounds, mu being the steps so
+   far, three numbers. An iteration is one aggregation over all documents that computes their rates anew; nothing per document is held. Steps are taken in
+   the metric of the Gram matrix of the documents between their bounds, and halved while they do not help. A small ridge towards 1 (RIDGE) makes the optimum unique.
 3. A document is drawn floor(x) times, and once more if a hash of its doc_id says so.
 
 Unless total_tokens is given, the total is the one at which the domain with the largest target keeps its tokens. A domain that holds
-less than its target is repeated. The descent ends when the targets are met within `tolerance` of the total, or when the
-projected gradient is nought (to GRADIENT of the total), as where no document's posteriors reach a domain: `unmet`, the largest difference as
-a share of the total, is a column of every row, and is logged. A descent that has done neither after most_steps raises NotConverged.
+less than its target is repeated. A domain, other than that one, whose posteriors nowhere reach its target share cannot be met by any rates (as when an earlier stage took
+all its documents); it is left out of the fit, which else would drop all documents but those that look most like it. `unmet`, the largest
+difference from a target as a share of the total, is a column of every row, and is logged. A descent that has not settled after most_steps raises NotConverged.
 Tokens are those of operator 5.
 
 Defined results: null and empty texts have no tokens and the posteriors of the empty text; labels with a null doc_id or quality
@@ -39,8 +38,9 @@ from .tokens import VOCABULARY, count_tokens
 #: Conditions on labels, which exclude each other.
 DOMAINS = {"clean": "quality > 0 and coalesce(toxic, 0) <= 0", "low": "quality <= 0", "toxic": "quality > 0 and toxic > 0"}
 TARGETS = {"clean": 0.96, "low": 0.02, "toxic": 0.02}
-#: Projected gradients below this share of the total count as nought.
-GRADIENT = 1e-7
+RIDGE = 1e-5
+#: Gradients below this share of the total count as nought.
+GRADIENT = 1e-6
 log = logging.getLogger(__name__)
 P = [f"p_{d}" for d in DOMAINS]
 
@@ -118,9 +118,9 @@ class NotConverged(RuntimeError):
 
 @dataclass(frozen=True)
 class Rates:
-    """Rates as a function of posteriors: from 1 down the steps so far, projected to [0, max_rate] after each."""
+    """Rates as a function of posteriors: 1 - posteriors * mu, projected to [0, max_rate]."""
 
-    steps: tuple[tuple[float, ...], ...] = ()
+    mu: tuple[float, ...] = ()
     max_rate: float | None = None
     #: By domain: wanted and achieved expected tokens.
     totals: tuple[tuple[str, float, float], ...] = ()
@@ -128,90 +128,65 @@ class Rates:
     unmet: float = 0.0
 
     def column(self) -> Column:
-        x = F.lit(1.0)
-        for step in self.steps:
-            x = F.greatest(F.lit(0.0), x - sum((F.col(c) * v for c, v in zip(P[1:], step[1:], strict=True)), F.col(P[0]) * step[0]))
-            if self.max_rate is not None:
-                x = F.least(F.lit(self.max_rate), x)
-        return x
-
-    def then(self, step: np.ndarray) -> Rates:
-        return Rates((*self.steps, tuple(map(float, step))), self.max_rate)
-
-
-@dataclass(frozen=True)
-class _State:
-    """Of all documents at some rates: domain totals as shares of the total, and the Gram matrices of documents at 0, at max_rate, and between."""
-
-    got: np.ndarray
-    free: np.ndarray
-    zero: np.ndarray
-    top: np.ndarray
-
-
-def _state(scored: DataFrame, rates: Rates, total: float) -> _State:
-    t = F.col("n_tokens").cast("double")
+        if not self.mu:
+            return F.lit(1.0)
+        x = F.greatest(F.lit(0.0), 1 - sum((F.col(c) * v for c, v in zip(P[1:], self.mu[1:], strict=True)), F.col(P[0]) * self.mu[0]))
+        return x if self.max_rate is None else F.least(F.lit(float(self.max_rate)), x)
+
+
+def _state(scored: DataFrame, rates: Rates, total: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of all documents at some rates, as shares of the total: domain totals, the Gram matrix of the documents between their bounds, and half the squares of the
+    rates (the dual of the least squares, whose gradient the totals are)."""
+    t, x = F.col("n_tokens").cast("double"), F.col("x")
+    free_rate = 1 - sum((F.col(c) * v for c, v in zip(P[1:], rates.mu[1:], strict=True)), F.col(P[0]) * rates.mu[0])
+    free = (x > 0) & (F.lit(True) if rates.max_rate is None else x < rates.max_rate)
     pairs = [(i, j) for i in range(len(P)) for j in range(i, len(P))]
-    at = F.when(F.col("x") <= 0, "zero").when((F.col("x") >= rates.max_rate) if rates.max_rate is not None else F.lit(False), "top").otherwise("free")
-    sums = [F.sum(t * F.col("x") * F.col(c)).alias(c) for c in P] + [F.sum(t * F.col(P[i]) * F.col(P[j])).alias(f"g{i}{j}") for i, j in pairs]
-    rows = {r["at"]: r for r in scored.select("n_tokens", *P, rates.column().alias("x")).withColumn("at", at).groupBy("at").agg(*sums).collect()}
-    got = np.array([sum(r[c] or 0.0 for r in rows.values()) for c in P]) / total
-    gram = dict.fromkeys(("free", "zero", "top"), None)
-    for name in gram:
-        g = np.zeros((len(P), len(P)))
-        for i, j in pairs:
-            g[i, j] = g[j, i] = (rows[name][f"g{i}{j}"] or 0.0) / total if name in rows else 0.0
-        gram[name] = g
-    return _State(got, **gram)
+    sums = [F.sum(t * x * F.col(c)).alias(c) for c in P] + [F.sum(F.when(free, t * F.col(P[i]) * F.col(P[j]))).alias(f"g{i}{j}") for i, j in pairs]
+    row = scored.select("n_tokens", *P, rates.column().alias("x")).agg(*sums, F.sum(t * (x * free_rate - x * x / 2)).alias("value")).first()
+    gram = np.zeros((len(P), len(P)))
+    for i, j in pairs:
+        gram[i, j] = gram[j, i] = (row[f"g{i}{j}"] or 0.0) / total
+    return np.array([row[c] or 0.0 for c in P]) / total, gram, (row["value"] or 0.0) / total
 
 
 def fit_rates(scored: DataFrame, targets: dict[str, float], total_tokens: float | None = None, max_rate: float | None = None, tolerance: float = 1e-4, most_steps: int = 200) -> Rates:
     """scored: n_tokens and posteriors, cheap to read more than once."""
     w = np.array([targets[d] for d in DOMAINS], float)
     w = w / w.sum()
-    rates = Rates((), max_rate)
-    first = _state(scored, rates, 1.0).got
-    if not first.sum():
-        return rates
+    t = F.col("n_tokens").cast("double")
+    first = scored.agg(*[F.sum(t * F.col(c)).alias(c) for c in P], *[F.max(F.when(t > 0, F.col(c))).alias(f"most_{c}") for c in P]).first()
+    have, most = (np.array([first[f"{x}{c}"] or 0.0 for c in P]) for x in ("", "most_"))
+    if not have.sum():
+        return Rates((), max_rate)
     lead = int(np.argmax(w))
-    total = total_tokens or float(first[lead] / w[lead] if first[lead] else first.sum())
-    now = _state(scored, rates, total)
-    error = lambda s: float(np.abs(s.got - w).max())
-    every = now.free + now.zero + now.top
-    scale = np.linalg.norm(every, 2)
-    done, size, steps = error(now) <= tolerance, 1.0, 0
-    while not done:
-        residual = now.got - w
-        # documents at a bound move only if the gradient leads inwards; their share of the Gram matrix is added if they might
-        gram = now.free + (now.zero if (residual < 0).any() else 0) + (now.top if (residual > 0).any() else 0)
-        flat = np.linalg.norm(gram @ residual) <= GRADIENT * max(scale, 1e-30)
-        if flat:
-            break
-        way = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ residual
+    total = total_tokens or float(have[lead] / w[lead] if have[lead] else have.sum())
+    fitted = (most >= w) | (np.arange(len(P)) == lead)  # the others are out of reach
+    gradient = lambda mu, got: np.where(fitted, got - w - RIDGE * mu, 0.0)
+    mu = np.zeros(len(P))
+    got, gram, value = _state(scored, Rates(tuple(mu), max_rate), total)
+    g, steps = gradient(mu, got), 0
+    dual = lambda mu, value: value + float(w @ np.where(fitted, mu, 0.0)) + RIDGE / 2 * float(mu @ mu)
+    while np.abs(g).max() > GRADIENT:
+        way = np.zeros(len(P))
+        way[fitted] = np.linalg.solve(gram[np.ix_(fitted, fitted)] + RIDGE * np.eye(fitted.sum()), g[fitted])
+        size = 1.0
         while True:
             steps += 1
-            tried = rates.then(way * size)
-            new = _state(scored, tried, total)
-            better = np.linalg.norm(new.got - w) < (1 - 1e-4 * size) * np.linalg.norm(residual)
-            if better or steps >= most_steps or size < 1e-3:
+            if steps > most_steps:
+                raise NotConverged(f"after {most_steps} steps the domain totals are {got.round(5).tolist()} of {w.round(5).tolist()}")
+            tried = mu + size * way
+            new, curve, height = _state(scored, Rates(tuple(tried), max_rate), total)
+            if dual(tried, height) <= dual(mu, value) - 1e-4 * size * float(g @ way) or size < 1e-6:
                 break
             size /= 2
-        if not better and size < 1e-3:
-            if gram is now.free or not np.isfinite(way).all():
-                break
-            plain = residual / max(scale, 1e-30)  # the unweighted gradient, at the step that can't overshoot
-            tried = rates.then(plain)
-            new = _state(scored, tried, total)
-            if np.linalg.norm(new.got - w) >= (1 - GRADIENT) * np.linalg.norm(residual):
-                break
-        rates, now, size = tried, new, min(1.0, 2 * size)
-        done = error(now) <= tolerance
-        if not done and steps >= most_steps:
-            raise NotConverged(f"after {steps} steps the domain totals are {(now.got).round(5).tolist()} of {w.round(5).tolist()}")
-    totals = tuple((d, float(a * total), float(g * total)) for d, a, g in zip(DOMAINS, w, now.got, strict=True))
+        if size < 1e-6:  # rounding is all that is left
+            break
+        mu, got, gram, value = tried, new, curve, height
+        g = gradient(mu, got)
+    totals = tuple((d, float(a * total), float(x * total)) for d, a, x in zip(DOMAINS, w, got, strict=True))
     for d, want, met in totals:
         log.log(logging.WARNING if abs(met - want) > tolerance * total else logging.INFO, "domain %s: target %.0f tokens, achieved %.0f", d, want, met)
-    return Rates(rates.steps, max_rate, totals, error(now))
+    return Rates(tuple(map(float, mu)), max_rate, totals, float(np.abs(got - w).max()))
 
 
 def copies(rate: Column, seed: int = 11) -> Column:

@@ -283,7 +283,16 @@ def test_mixing_optimum(spark, targets, reachable):
 def test_mixing_without_convergence(spark):
     scored = spark.createDataFrame([(100, 0.9, 0.05, 0.05), (100, 0.1, 0.8, 0.1), (100, 0.1, 0.1, 0.8)], "n_tokens long, " + ", ".join(f"{c} double" for c in mixing.P))
     with pytest.raises(mixing.NotConverged):
-        mixing.fit_rates(scored, {"clean": 0.2, "low": 0.2, "toxic": 0.6}, tolerance=0.0, most_steps=1)
+        mixing.fit_rates(scored, {"clean": 0.05, "low": 0.15, "toxic": 0.8}, most_steps=1)
+
+
+def test_mixing_with_a_domain_out_of_reach(spark):
+    """No document is low, as after quality rules: the others are mixed, nothing is dropped or repeated for it, and the gap is told."""
+    rows = [(100, 0.98, 0.0005, 0.0195)] * 90 + [(100, 0.2, 0.0005, 0.7995)] * 10
+    scored = spark.createDataFrame(rows, "n_tokens long, " + ", ".join(f"{c} double" for c in mixing.P))
+    rates = mixing.fit_rates(scored, mixing.TARGETS)
+    x = [r.x for r in scored.select(rates.column().alias("x")).collect()]
+    assert max(x) < 1.2 and min(x[:90]) > 0.8 and 0.015 < rates.unmet < 0.025
 
 
 def test_mixing_raises_a_scarce_domain(spark):
