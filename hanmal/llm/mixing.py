@@ -11,8 +11,9 @@
 3. A document is drawn floor(x) times, and once more if a hash of its doc_id says so.
 
 Unless total_tokens is given, the total is the one at which the domain with the largest target keeps its tokens. A domain that holds
-less than its target is repeated. A domain, other than that one, whose posteriors nowhere reach its target share cannot be met by any rates (as when an earlier stage took
-all its documents); it is left out of the fit, which else would drop all documents but those that look most like it. `unmet`, the largest
+less than its target is repeated. A domain, other than that one, whose tokens
+lie in documents with a mean posterior below its target share (as when an earlier stage took all its documents, and the rest hold mere traces of it) is out of
+reach, and left out of the fit, which else would repeat the few documents that look a little like it thousands of times. `unmet`, the largest
 difference from a target as a share of the total, is a column of every row, and is logged. A descent that has not settled after most_steps raises NotConverged.
 Tokens are those of operator 5.
 
@@ -38,7 +39,7 @@ from .tokens import VOCABULARY, count_tokens
 #: Conditions on labels, which exclude each other.
 DOMAINS = {"clean": "quality > 0 and coalesce(toxic, 0) <= 0", "low": "quality <= 0", "toxic": "quality > 0 and toxic > 0"}
 TARGETS = {"clean": 0.96, "low": 0.02, "toxic": 0.02}
-RIDGE = 1e-5
+RIDGE = 1e-7
 #: Gradients below this share of the total count as nought.
 GRADIENT = 1e-6
 log = logging.getLogger(__name__)
@@ -154,13 +155,13 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], total_tokens: float
     w = np.array([targets[d] for d in DOMAINS], float)
     w = w / w.sum()
     t = F.col("n_tokens").cast("double")
-    first = scored.agg(*[F.sum(t * F.col(c)).alias(c) for c in P], *[F.max(F.when(t > 0, F.col(c))).alias(f"most_{c}") for c in P]).first()
-    have, most = (np.array([first[f"{x}{c}"] or 0.0 for c in P]) for x in ("", "most_"))
+    first = scored.agg(*[F.sum(t * F.col(c)).alias(c) for c in P], *[F.sum(t * F.col(c) * F.col(c)).alias(f"square_{c}") for c in P]).first()
+    have, square = (np.array([first[f"{x}{c}"] or 0.0 for c in P]) for x in ("", "square_"))
     if not have.sum():
         return Rates((), max_rate)
     lead = int(np.argmax(w))
     total = total_tokens or float(have[lead] / w[lead] if have[lead] else have.sum())
-    fitted = (most >= w) | (np.arange(len(P)) == lead)  # the others are out of reach
+    fitted = (square >= w * have) & (have > 0) | (np.arange(len(P)) == lead)  # the others are out of reach
     gradient = lambda mu, got: np.where(fitted, got - w - RIDGE * mu, 0.0)
     mu = np.zeros(len(P))
     got, gram, value = _state(scored, Rates(tuple(mu), max_rate), total)
