@@ -11,9 +11,10 @@
 3. A document is drawn floor(x) times, and once more if a hash of its doc_id says so.
 
 Unless total_tokens is given, the total is the one at which the domain with the largest target keeps its tokens. A domain that holds
-less than its target is repeated. A domain, other than that one, whose tokens
-lie in documents with a mean posterior below its target share (as when an earlier stage took all its documents, and the rest hold mere traces of it) is out of
-reach, and left out of the fit, which else would repeat the few documents that look a little like it thousands of times. `unmet`, the largest
+less than its target is repeated. Another domain that
+the posteriors hardly tell from the rest (its tokens' mean posterior is above its share by less than MIN_SEPARATION of what a perfect classifier's would be, as when an
+earlier stage took all its documents or what gave them away) is out of reach, and left out of the fit, which else would repeat a few odd documents thousands
+of times and drop all others. `unmet`, the largest
 difference from a target as a share of the total, is a column of every row, and is logged. A descent that has not settled after most_steps raises NotConverged.
 Tokens are those of operator 5.
 
@@ -40,6 +41,7 @@ from .tokens import VOCABULARY, count_tokens
 DOMAINS = {"clean": "quality > 0 and coalesce(toxic, 0) <= 0", "low": "quality <= 0", "toxic": "quality > 0 and toxic > 0"}
 TARGETS = {"clean": 0.96, "low": 0.02, "toxic": 0.02}
 RIDGE = 1e-7
+MIN_SEPARATION = 0.02
 #: Gradients below this share of the total count as nought.
 GRADIENT = 1e-6
 log = logging.getLogger(__name__)
@@ -161,7 +163,9 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], total_tokens: float
         return Rates((), max_rate)
     lead = int(np.argmax(w))
     total = total_tokens or float(have[lead] / w[lead] if have[lead] else have.sum())
-    fitted = (square >= w * have) & (have > 0) | (np.arange(len(P)) == lead)  # the others are out of reach
+    share = have / have.sum()
+    told = (square / np.maximum(have, 1e-300) - share) / np.maximum(1 - share, 1e-300)
+    fitted = (told >= MIN_SEPARATION) | (np.arange(len(P)) == lead)  # the others are out of reach
     gradient = lambda mu, got: np.where(fitted, got - w - RIDGE * mu, 0.0)
     mu = np.zeros(len(P))
     got, gram, value = _state(scored, Rates(tuple(mu), max_rate), total)
