@@ -28,8 +28,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every near-duplicate with the document that stays for it."""
-    return simhash.duplicates(table(spark, sf_dir, "documents"))
+    """Every document with the document that stays for its group of near-duplicates, and the group's size."""
+    return simhash.classes(table(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

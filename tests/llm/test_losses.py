@@ -262,6 +262,75 @@ def test_simhash_recall_beyond_the_guarantee():
         assert hit / 2000 >= least, distance
 
 
+def flipped(sig, at):
+    bits = np.unpackbits(np.frombuffer(sig, np.uint8))
+    bits[at] ^= 1
+    return np.packbits(bits).tobytes()
+
+
+def edges_of(spark, sigs, blocks):
+    unique = spark.createDataFrame([(i, bytearray(s)) for i, s in sigs.items()], "id long, sig binary")
+    found = simhash.near_pairs(unique, blocks=blocks) if blocks else simhash.near_pairs(unique)
+    return {tuple(sorted((e.a, e.b))) for e in found.collect()}
+
+
+@pytest.mark.parametrize("blocks", [None, 3])
+def test_simhash_isolated_pairs_up_to_the_distance(spark, blocks):
+    """Pairs of 32 to 64 bits, spread evenly over the segments or by chance, are found; those of 65 are not."""
+    r = np.random.default_rng(64)
+    sigs, want = {}, set()
+    for k, distance in enumerate([32, 40, 51, 57, 61, 63, 64, 65] * 6):
+        base = r.integers(0, 256, 64, np.uint8).tobytes()
+        even = [32 * (t % 16) + x for t, x in zip(range(distance), np.repeat(r.permutation(32), 16), strict=False)]
+        at = even if k < 24 else r.choice(512, distance, replace=False)
+        sigs |= {2 * k: base, 2 * k + 1: flipped(base, at)}
+        want |= {(2 * k, 2 * k + 1)} if distance <= simhash.MAX_DISTANCE else set()
+    assert edges_of(spark, sigs, blocks) == want
+
+
+@pytest.mark.parametrize("blocks", [None, 4])
+def test_simhash_components_of_a_large_cluster(spark, blocks):
+    """Components with chains, a cluster larger than LARGE and strangers that share its halves, against brute force."""
+    r = np.random.default_rng(5)
+    center = r.integers(0, 256, 64, np.uint8).tobytes()
+    rows = [flipped(center, r.choice(512, r.integers(1, 40), replace=False)) for _ in range(300)]
+    rows += [flipped(center, r.choice(512, r.integers(66, 200), replace=False)) for _ in range(150)]
+    for _ in range(20):
+        rows.append(r.integers(0, 256, 64, np.uint8).tobytes())
+        rows += [flipped(rows[-1], r.choice(512, 64, replace=False)), r.integers(0, 256, 64, np.uint8).tobytes()]
+    sigs = dict(enumerate(dict.fromkeys(rows)))
+    up = {i: i for i in sigs}
+    for a, b in sorted(edges_of(spark, sigs, blocks)):
+        x, y = sorted((components_find(up, a), components_find(up, b)))
+        up[y] = x
+    assert {i: components_find(up, i) for i in sigs} == components_brute(sigs, simhash.MAX_DISTANCE)
+
+
+def components_find(up, i):
+    while up[i] != i:
+        i = up[i]
+    return i
+
+
+@pytest.mark.parametrize("most", [0, 3, 31, 63, 64, 100, 200])
+def test_simhash_radii_leave_no_pair(most):
+    """A pair that keeps within no half and its segment differs in more than `most` bits, by one at least: the cheapest such pair."""
+    shares = simhash.radii(most)
+    cost = 0
+    for s in range(simhash.SEGMENTS):
+        (segment, a), (again, b) = shares[2 * s : 2 * s + 2]
+        assert segment == again
+        cost += min(x + y for x in range(17) for y in range(17) if x + y > segment or (x > a and y > b))
+    assert cost == most + 1
+
+
+def test_simhash_row_for_every_document(spark):
+    rows = [(1, "one two three four"), (2, "ONE two, three four!"), (3, "other words entirely here"), (4, None), (5, ""), (None, "one two three four"), (6, "one two three four")]
+    got = sorted(tuple(r) for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id is not None)
+    assert got == [(1, 1, 3), (2, 1, 3), (3, 3, 1), (4, 4, 1), (5, 5, 1), (6, 1, 3)]
+    assert simhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id is null and kept_doc_id is null and group_size = 1").count() == 1
+
+
 def test_attention_scores_by_loops():
     """Scores and most attended passages of the vectorised forward pass, against plain loops."""
     import math
