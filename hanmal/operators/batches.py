@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+#: Bytes of input that are held as Python objects at once, and rows that are made before they are sent; a row that is larger goes alone.
+PIECE, MOST_ROWS = 256 << 10, 65536
+
+
+def pieces(batch: pa.RecordBatch, inputs: list[int], most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """batch in parts whose input columns have at most `most` bytes, or a single row."""
+    if not batch.num_rows:
+        return
+    if batch.num_rows == 1 or sum(batch.column(i).nbytes for i in inputs) <= most:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from pieces(batch.slice(0, half), inputs, most)
+    yield from pieces(batch.slice(half), inputs, most)
+
 
 def with_columns(df: DataFrame, inputs: list[str], fn: Callable[[list[list]], list[list]], added: str) -> DataFrame:
     """df and the columns of `added` (DDL), which fn computes from the lists of the input columns; of equal names the new one stays."""
@@ -22,7 +37,7 @@ def with_columns(df: DataFrame, inputs: list[str], fn: Callable[[list[list]], li
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b, at)):
             got = fn([batch.column(i).to_pylist() for i in at])
             made = [pa.array(x, arrow.field(len(own) + k).type) for k, x in enumerate(got)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i).cast(arrow.field(k).type) for k, i in enumerate(own)], *made], schema=arrow)
@@ -39,12 +54,41 @@ def rows_of(df: DataFrame, keep: list[str], text: str, fn: Callable[[list[str]],
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (x for b in batches for x in pieces(b, [len(keep)])):
             owner, columns = fn([x or "" for x in batch.column(len(keep)).to_pylist()])
             take = pa.array(owner)
             own = [batch.column(i).take(take).cast(arrow.field(i).type) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*own, *columns], schema=arrow)
 
     return src.mapInArrow(run, out).toDF(*keep, *new.names)
+
+
+def rows_from(df: DataFrame, keep: list[str], inputs: list[str], fn: Callable[..., Iterable[tuple]], made: str) -> DataFrame:
+    """The columns `keep` of each row of df beside each of the tuples that fn makes of its inputs, columns `made` (DDL)."""
+    new = StructType.fromDDL(made)
+    kinds = {f.name: f.dataType for f in df.schema}
+    src = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], *[df[c].alias(f"i{i}") for i, c in enumerate(inputs)])
+    out = StructType([*[StructField(f"k{i}", kinds[c]) for i, c in enumerate(keep)], *[StructField(f"o{i}", f.dataType) for i, f in enumerate(new)]])
+    arrow, n = to_arrow_schema(out), len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in pieces(b, list(range(n, n + len(inputs))))):
+            owner: list[int] = []
+            rows: list[tuple] = []
+
+            def sent() -> pa.RecordBatch:
+                columns = list(zip(*rows, strict=True)) or [()] * len(new)
+                take = pa.array(owner, pa.int32())
+                own = [batch.column(i).take(take).cast(arrow.field(i).type) for i in range(n)]
+                return pa.RecordBatch.from_arrays([*own, *[pa.array(x, arrow.field(n + k).type) for k, x in enumerate(columns)]], schema=arrow)
+
+            for at, given in enumerate(zip(*[batch.column(n + i).to_pylist() for i in range(len(inputs))], strict=True)):
+                for row in fn(*given):
+                    owner.append(at), rows.append(row)
+                    if len(rows) >= MOST_ROWS:
+                        yield sent()
+                        owner, rows = [], []
+            if rows:
+                yield sent()
+
+    return src.mapInArrow(run, out).toDF(*keep, *new.names)

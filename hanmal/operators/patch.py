@@ -1,21 +1,26 @@
 """Corpus patches: the difference of two versions of a corpus, and its application.
 
 A corpus is a table of lines: doc, line_no, type (WORD, BOS, EOS, MISC), wid, content. A patch is doc, op (= + - S M), wid, content.
-All joins are on (doc, wid), so documents are patched in parallel.
+Documents are patched one by one, in parallel: a table is shuffled once, by document, and not at all where each row already holds a document.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .batches import rows_from
+
 #: Characters of a word id that sentence patches compare.
 ID_LEN = 17
-
-
-def by_line():
-    return Window.partitionBy("doc").orderBy("line_no")
+#: Lines of a document in order: type, wid, content. Its patches: op, wid, content.
+Lines = list[tuple[str, str | None, str | None]]
+Patches = list[tuple[str, str | None, str | None]]
+PATCH, LINE = "op string, wid string, content string", "line_no int, type string, wid string, content string"
 
 
 def type_lines(lines: DataFrame) -> DataFrame:
@@ -28,107 +33,189 @@ def type_lines(lines: DataFrame) -> DataFrame:
     return lines.select("doc", "line_no", kind.alias("type"), F.when(is_word, F.substring(F.col("line"), F.lit(1), at - 1)).alias("wid"), F.when(is_word, F.substring(F.col("line"), at + 1, F.char_length("line"))).otherwise(F.col("line")).alias("content"))
 
 
-def word_patches(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Words changed (=), gone (-) and new (+)."""
-    a = old.where("type = 'WORD'").select("doc", "wid", F.col("content").alias("a"), F.lit(1).alias("in_a"))
-    b = new.where("type = 'WORD'").select("doc", "wid", F.col("content").alias("b"), F.lit(1).alias("in_b"))
-    op = F.when(F.col("in_b").isNull(), "-").when(F.col("in_a").isNull(), "+").when(~F.col("a").eqNullSafe(F.col("b")), "=")
-    both = a.join(b, ["doc", "wid"], "full_outer").select("doc", op.alias("op"), "wid", F.when(op == "-", "").otherwise(F.col("b")).alias("content"))
-    return both.where("op is not null")
+# ---- one document
 
+def document_words(old: Lines, new: Lines) -> Patches:
+    """Words changed (=), gone (-) and new (+). A null id is nobody else's."""
+    theirs: dict[str | None, list] = {}
+    for kind, wid, content in new:
+        if kind == "WORD":
+            theirs.setdefault(wid, []).append(content)
+    out, known = [], set()
+    for kind, wid, content in old:
+        if kind != "WORD":
+            continue
+        found = None if wid is None else theirs.get(wid)
+        if found is None:
+            out.append(("-", wid, ""))
+            continue
+        known.add(wid)
+        for c in found:
+            if c != content:
+                out.append(("=", wid, c))
+    out += [("+", wid, c) for wid, cs in theirs.items() if wid not in known for c in cs]
+    return out
 
-def boundaries(lines: DataFrame) -> DataFrame:
-    """doc, prev_wid and next_wid of each sentence boundary between two words."""
-    at = lines.select("doc", "type", F.lag("type").over(by_line()).alias("t0"), F.lag("wid").over(by_line()).alias("prev_wid"), F.lead("type").over(by_line()).alias("t1"), F.lead("type", 2).over(by_line()).alias("t2"), F.lead("wid", 2).over(by_line()).alias("next_wid"))
-    found = at.where("type = 'EOS' and t0 = 'WORD' and t1 = 'BOS' and t2 = 'WORD'")
-    return found.select("doc", F.substring("prev_wid", 1, ID_LEN).alias("prev_wid"), F.substring("next_wid", 1, ID_LEN).alias("next_wid")).distinct()
 
+def _short(wid: str | None) -> str | None:
+    return wid and wid[:ID_LEN]
 
-def boundary_patches(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Boundaries gone (M, merge) and new (S, split)."""
-    a, b = boundaries(old), boundaries(new)
-    row = lambda df, op: df.select("doc", F.lit(op).alias("op"), F.col("prev_wid").alias("wid"), F.col("next_wid").alias("content"))
-    return row(a.exceptAll(b), "M").union(row(b.exceptAll(a), "S"))
 
+def _between(lines: Lines, i: int) -> bool:
+    """Whether line i ends a sentence between two words."""
+    return lines[i][0] == "EOS" and 0 < i < len(lines) - 2 and lines[i - 1][0] == "WORD" and lines[i + 1][0] == "BOS" and lines[i + 2][0] == "WORD"
 
-def make(old: DataFrame, new: DataFrame) -> DataFrame:
-    """All patches from old to new, sentence patches first within each document."""
-    return boundary_patches(old, new).unionByName(word_patches(old, new))
 
+def document_boundaries(lines: Lines) -> set[tuple[str | None, str | None]]:
+    """Ids before and after each sentence boundary between two words."""
+    return {(_short(lines[i - 1][1]), _short(lines[i + 2][1])) for i in range(len(lines)) if _between(lines, i)}
 
-def parse(lines: DataFrame) -> DataFrame:
-    """Patches from raw patch lines (doc, line_no, line); of conflicting ones the first. Others have `error`."""
-    cols = F.split("line", "\t", 3)
-    op = F.upper(F.get(cols, F.lit(0)))
-    ok = ((F.size(cols) == 3) & op.isin("=", "+", "M", "S")) | ((F.size(cols) == 2) & (op == "-"))
-    p = lines.where(F.col("line") != "").select("doc", "line_no", op.alias("op"), F.get(cols, F.lit(1)).alias("wid"), F.coalesce(F.get(cols, F.lit(2)), F.lit("")).alias("content"), ok.alias("ok"))
-    key = F.when(F.col("op").isin("M", "S"), F.concat_ws("\t", "wid", "content")).otherwise(F.col("wid"))
-    again = F.row_number().over(Window.partitionBy("doc", "ok", F.col("op").isin("M", "S"), key).orderBy("line_no")) > 1
-    return p.withColumn("error", F.when(~F.col("ok"), "invalid").when(again, "conflict")).drop("ok")
+
+def document_sentences(old: Lines, new: Lines) -> Patches:
+    """Boundaries gone (M, merge) and new (S, split)."""
+    a, b = document_boundaries(old), document_boundaries(new)
+    return [("M", *x) for x in a - b] + [("S", *x) for x in b - a]
+
+
+def document_patches(old: Lines, new: Lines) -> Patches:
+    return document_sentences(old, new) + document_words(old, new)
 
 
-def _of(patches: DataFrame, op: str, content: str) -> DataFrame:
-    return patches.where(F.col("op") == op).select("doc", F.col("wid").alias("p_wid"), F.col("content").alias(content)).dropDuplicates(["doc", "p_wid"])
+def _named(patches: Patches, op: str) -> dict:
+    """wid and content of these patches, of one id the first. Those without an id name no word."""
+    out: dict = {}
+    for o, wid, content in patches:
+        if o == op and wid is not None:
+            out.setdefault(wid, content)
+    return out
 
 
-def merge(lines: DataFrame, patches: DataFrame) -> DataFrame:
+def document_merged(lines: Lines, patches: Patches) -> Lines:
     """lines without the boundaries that M patches name."""
-    w = by_line()
-    at = lines.withColumns({"t0": F.lag("type").over(w), "w0": F.lag("wid").over(w), "t1": F.lead("type").over(w), "t2": F.lead("type", 2).over(w), "w2": F.lead("wid", 2).over(w)})
-    eos = (F.col("type") == "EOS") & (F.col("t0") == "WORD") & (F.col("t1") == "BOS") & (F.col("t2") == "WORD")
-    at = at.withColumn("prev17", F.when(eos, F.substring("w0", 1, ID_LEN))).withColumn("next17", F.when(eos, F.substring("w2", 1, ID_LEN)))
-    p = _of(patches, "M", "p_next").withColumnRenamed("doc", "p_doc")
-    at = at.join(p, (F.col("doc") == F.col("p_doc")) & (F.col("prev17") == F.col("p_wid")) & (F.col("next17") == F.col("p_next")), "left").withColumn("cut", F.col("p_wid").isNotNull())
-    return at.withColumn("gone", F.col("cut") | F.coalesce(F.lag("cut").over(w), F.lit(False))).where("not gone").select(*lines.columns)
+    pairs = {(w, c) for op, w, c in patches if op == "M" and w is not None and c is not None}
+    gone = {k for i in range(len(lines)) if pairs and _between(lines, i) and (_short(lines[i - 1][1]), _short(lines[i + 2][1])) in pairs for k in (i, i + 1)}
+    return [x for i, x in enumerate(lines) if i not in gone] if gone else lines
 
 
-def delete_replace(lines: DataFrame, patches: DataFrame) -> DataFrame:
+def document_replaced(lines: Lines, patches: Patches) -> Lines:
     """lines without the words that - patches name and with the contents of = patches."""
-    gone, new = _of(patches, "-", "x").select("doc", F.col("p_wid").alias("wid")), _of(patches, "=", "p_new").withColumnRenamed("p_wid", "wid")
-    out = lines.join(gone, ["doc", "wid"], "left_anti").join(new, ["doc", "wid"], "left")
-    return out.withColumn("content", F.coalesce("p_new", "content")).select(*lines.columns)
+    gone, new = _named(patches, "-"), _named(patches, "=")
+    got = []
+    for kind, wid, content in lines:
+        if wid is None or wid not in gone:
+            c = None if wid is None else new.get(wid)
+            got.append((kind, wid, content if c is None else c))
+    return got
 
 
-def split(lines: DataFrame, patches: DataFrame) -> DataFrame:
+def document_split(lines: Lines, patches: Patches) -> Lines:
     """lines with </p> and <p> before the words that S patches name, if the named word is before."""
-    at = lines.withColumns({"t0": F.lag("type").over(by_line()), "w0": F.lag("wid").over(by_line())})
-    at = at.withColumn("prev17", F.when((F.col("type") == "WORD") & (F.col("t0") == "WORD"), F.substring("w0", 1, ID_LEN)))
-    p = _of(patches, "S", "p_next").withColumnRenamed("doc", "p_doc")
-    at = at.join(p, (F.col("doc") == F.col("p_doc")) & (F.col("prev17") == F.col("p_wid")) & (F.substring("wid", 1, ID_LEN) == F.substring("p_next", 1, ID_LEN)), "left")
-    row = lambda k, kind, wid, content: F.struct(F.lit(k).alias("k"), kind.alias("type"), wid.cast("string").alias("wid"), content.alias("content"))
-    own = row(1.0, F.col("type"), F.col("wid"), F.col("content"))
-    tags = [row(0.25, F.lit("EOS"), F.lit(None), F.lit("</p>")), row(0.5, F.lit("BOS"), F.lit(None), F.lit("<p>"))]
-    each = at.select("doc", "line_no", F.explode(F.when(F.col("p_wid").isNotNull(), F.array(*tags, own)).otherwise(F.array(own))).alias("r"))
-    return renumber(each.select("doc", (F.col("line_no") - 1 + F.col("r.k")).alias("line_no"), "r.type", "r.wid", "r.content"))
-
-
-def insert(lines: DataFrame, patches: DataFrame) -> DataFrame:
+    pairs = {(w, c[:ID_LEN]) for op, w, c in patches if op == "S" and w is not None and c is not None}
+    out: Lines = []
+    for i, x in enumerate(lines):
+        if pairs and i and x[0] == "WORD" and lines[i - 1][0] == "WORD" and (_short(lines[i - 1][1]), _short(x[1])) in pairs:
+            out += [("EOS", None, "</p>"), ("BOS", None, "<p>")]
+        out.append(x)
+    return out
+
+
+def document_inserted(lines: Lines, patches: Patches) -> Lines:
     """lines with the words of + patches, each after the last word with a smaller id (at the head if there is none)."""
-    new = _of(patches, "+", "content").select("doc", F.lit(None).cast("double").alias("line_no"), F.lit("WORD").alias("type"), F.col("p_wid").alias("wid"), "content", F.lit(1).alias("is_new"))
-    words = lines.where("type = 'WORD'").select("doc", F.col("line_no").cast("double").alias("line_no"), "type", "wid", "content", F.lit(0).alias("is_new"))
-    by_id = Window.partitionBy("doc").orderBy("wid", "is_new")
-    before = F.last(F.when(F.col("is_new") == 0, F.col("line_no")), ignorenulls=True).over(by_id.rowsBetween(Window.unboundedPreceding, -1))
-    placed = words.unionByName(new).withColumn("after", F.coalesce(before, F.lit(0.0))).where("is_new = 1")
-    rank = F.row_number().over(Window.partitionBy("doc", "after").orderBy("wid"))
-    total = F.count(F.lit(1)).over(Window.partitionBy("doc", "after"))
-    at = placed.withColumn("line_no", F.col("after") + rank / (total + 1.0)).select("doc", "line_no", "type", "wid", "content")
-    return renumber(lines.withColumn("line_no", F.col("line_no").cast("double")).select(*at.columns).unionByName(at))
+    words = sorted((wid, i) for i, (kind, wid, _) in enumerate(lines) if kind == "WORD" and wid is not None)
+    ids = [w for w, _ in words]
+    after: dict[int, Lines] = {}
+    for wid, content in sorted(_named(patches, "+").items()):
+        k = bisect_right(ids, wid)
+        after.setdefault(words[k - 1][1] if k else -1, []).append(("WORD", wid, content))
+    if not after:
+        return lines
+    out = after.get(-1, [])
+    for i, x in enumerate(lines):
+        out.append(x)
+        out += after.get(i, ())
+    return out
+
+
+def document_applied(lines: Lines, patches: Patches) -> Lines:
+    """The document after merges, deletions and replacements, splits, and insertions."""
+    out = document_replaced(document_merged(lines, patches), patches)
+    return document_inserted(document_split(out, patches), patches)
+
+
+def document_leftovers(lines: Lines, patches: Patches) -> Patches:
+    """Delete and replace patches whose word does not exist."""
+    known = {wid for kind, wid, _ in lines if kind == "WORD" and wid is not None}
+    return [p for p in patches if p[0] in ("-", "=") and p[1] not in known]
+
+
+def document_ordered(patches: Patches) -> Patches:
+    """Sentence patches (M, S) before word patches, each kind in order of word ids; null first."""
+    null_first = lambda x: (x is not None, x or "")
+    return sorted(patches, key=lambda p: (p[0] not in ("M", "S"), null_first(p[1]), null_first(p[2]), p[0]))
+
+
+def numbered(lines: Lines) -> Iterable[tuple]:
+    return ((i, *x) for i, x in enumerate(lines, 1))
 
 
-def renumber(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("line_no", F.row_number().over(by_line()))
+# ---- tables
+
+def _together(lines: DataFrame, patches_or_new: DataFrame) -> DataFrame:
+    """doc, a and b: what two tables hold of a document, in order of lines or as it comes."""
+
+    def by_document(df: DataFrame, into: str) -> DataFrame:
+        cols = ["line_no", "type", "wid", "content"] if "type" in df.columns else ["op", "wid", "content"]
+        return df.groupBy("doc").agg(F.collect_list(F.struct(*cols)).alias(into))
+
+    return by_document(lines, "a").join(by_document(patches_or_new, "b"), "doc", "full_outer")
+
+
+def _tuples(rows: list[dict] | None) -> list[tuple]:
+    if not rows:
+        return []
+    if "op" in rows[0]:
+        return [(r["op"], r["wid"], r["content"]) for r in rows]
+    return [(r["type"], r["wid"], r["content"]) for r in sorted(rows, key=lambda r: r["line_no"])]
+
+
+def _each(a: DataFrame, b: DataFrame, fn: Callable, made: str) -> DataFrame:
+    return rows_from(_together(a, b), ["doc"], ["a", "b"], lambda x, y: fn(_tuples(x), _tuples(y)), made)
+
+
+def word_patches(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Words changed (=), gone (-) and new (+)."""
+    return _each(old, new, document_words, PATCH)
+
+
+def boundary_patches(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Boundaries gone (M, merge) and new (S, split)."""
+    return _each(old, new, document_sentences, PATCH)
+
+
+def make(old: DataFrame, new: DataFrame) -> DataFrame:
+    """All patches from old to new, sentence patches first within each document."""
+    return _each(old, new, document_patches, PATCH)
+
+
+def parse(lines: DataFrame) -> DataFrame:
+    """Patches from raw patch lines (doc, line_no, line); of conflicting ones the first. Others have `error`."""
+    cols = F.split("line", "\t", 3)
+    op = F.upper(F.get(cols, F.lit(0)))
+    ok = ((F.size(cols) == 3) & op.isin("=", "+", "M", "S")) | ((F.size(cols) == 2) & (op == "-"))
+    p = lines.where(F.col("line") != "").select("doc", "line_no", op.alias("op"), F.get(cols, F.lit(1)).alias("wid"), F.coalesce(F.get(cols, F.lit(2)), F.lit("")).alias("content"), ok.alias("ok"))
+    key = F.when(F.col("op").isin("M", "S"), F.concat_ws("\t", "wid", "content")).otherwise(F.col("wid"))
+    again = F.row_number().over(Window.partitionBy("doc", "ok", F.col("op").isin("M", "S"), key).orderBy("line_no")) > 1
+    return p.withColumn("error", F.when(~F.col("ok"), "invalid").when(again, "conflict")).drop("ok")
 
 
 def apply(lines: DataFrame, patches: DataFrame) -> DataFrame:
     """The corpus after merges, deletions and replacements, splits, and insertions."""
-    out = renumber(merge(lines, patches))
-    out = renumber(delete_replace(out, patches))
-    return insert(split(out, patches), patches)
+    return _each(lines, patches, lambda x, y: numbered(document_applied(x, y)), LINE)
 
 
 def leftovers(lines: DataFrame, patches: DataFrame) -> DataFrame:
     """Delete and replace patches whose word does not exist."""
-    return patches.where("op in ('-', '=')").join(lines.where("type = 'WORD'").select("doc", "wid"), ["doc", "wid"], "left_anti")
+    return _each(lines, patches, document_leftovers, PATCH)
 
 
 def ordered(patches: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hangul, text
 from ..operators.analyzer import char_rows
+from ..operators.sizes import spread
 from .fixtures import HANGUL_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,8 +34,21 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of documents up to which they are read by fewer tasks than there are cores.
+FEW_TASKS = 32 << 20
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(load(spark, sf_dir, "documents"), FEW_TASKS)
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations, in syllables."""
+    return spread(load(spark, sf_dir, "conversations")).withColumn("text", hangul.from_latin(F.col("text")))
+
+
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.lines(load(spark, sf_dir, "documents"), "text", "doc_id")
+    return text.lines(documents(spark, sf_dir).select("doc_id", "text"), "text", "doc_id")
 
 
 LINES = "lines AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_idx, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"
@@ -48,8 +62,7 @@ words AS (SELECT doc_id, line_idx, CAST(i - 1 AS INTEGER) AS word_idx, regexp_ex
 
 def hangul_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, line_idx, word_idx, word of the conversations, in syllables."""
-    turns = load(spark, sf_dir, "conversations").withColumn("text", hangul.from_latin(F.col("text")))
-    each = text.lines(turns, "text", "conv_id", "turn")
+    each = text.lines(turns(spark, sf_dir), "text", "conv_id", "turn")
     return each.select("conv_id", "turn", "line_idx", F.posexplode(text.words(F.col("line"))).alias("word_idx", "word"))
 
 
@@ -63,8 +76,7 @@ hwords AS (SELECT conv_id, turn, line_idx, unnest(p) AS word, CAST(generate_subs
 
 def hangul_sentences(spark: SparkSession, sf_dir: str, zeros: bool = False) -> DataFrame:
     """conv_id, turn, line_idx, words and tags: for each character a made-up output tag that depends on it and its place; zeros: some are 0."""
-    turns = load(spark, sf_dir, "conversations").withColumn("text", hangul.from_latin(F.col("text")))
-    s = text.lines(turns, "text", "conv_id", "turn").select("conv_id", "turn", "line_idx", text.words(F.col("line")).alias("words"))
+    s = text.lines(turns(spark, sf_dir), "text", "conv_id", "turn").select("conv_id", "turn", "line_idx", text.words(F.col("line")).alias("words"))
 
     def tag(chr_, i, k):
         code = F.ascii(chr_)

@@ -9,13 +9,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..analyzer import Analyzer
-from ..functions import hangul, text
+from ..functions import text
 from ..functions.hangul import SYLLABLES
 from ..operators import tagger
 from ..operators.resources import KERNELS, Model
 from . import fixtures as X
 from .analysis_queries import _MORPHS, _RESTORED, _REVISED, _S, _W
-from .base import HWORDS, NSP, SENT, SP, load, query
+from .base import HWORDS, NSP, SENT, SP, query, turns
 from .fixtures import HANGUL_SQL
 
 WINDOW, EMBED, HIDDEN, CLASSES, SEED = 2, 6, 10, 97, 17
@@ -92,8 +92,7 @@ _OUT = f"""SELECT m.*, c + first_char AS c_begin, last_char - first_char + 1 AS
 
 
 def lines(spark, sf_dir):
-    turns = load(spark, sf_dir, "conversations").withColumn("text", hangul.from_latin(F.col("text")))
-    return text.lines(turns, "text", "conv_id", "turn")
+    return text.lines(turns(spark, sf_dir), "text", "conv_id", "turn")
 
 
 def analyzer(**options) -> Analyzer:
