@@ -84,6 +84,11 @@ class Model:
     def classes(self) -> int:
         return self.out[0].shape[1]
 
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of the known characters in order, and their ids."""
+        known = sorted((ord(c), i) for c, i in self.chars.items() if len(c) == 1)
+        return np.array([c for c, _ in known], np.uint32), np.array([i for _, i in known], np.int64)
+
     @staticmethod
     def made(window: int, embed_dim: int, hidden_dim: int, classes: int, chars: str, value: Callable[[np.ndarray], np.ndarray], dtype=np.float32) -> Model:
         """A model whose parameters are value(number of the parameter), counted over all of them in order."""
