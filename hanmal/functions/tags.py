@@ -75,12 +75,6 @@ def by_word(flat: Column, words: Column) -> Column:
     return F.when(F.size(flat) == F.aggregate(sizes, F.lit(0), lambda a, n: a + n), parts)
 
 
-def same_restored(a: Column, b: Column) -> Column:
-    """Whether two words (arrays of arrays of struct<chr, tag, ...>) restore to the same characters and tags."""
-    flat = lambda x: F.transform(F.flatten(x), lambda r: F.struct(r["chr"].alias("chr"), r["tag"].alias("tag")))
-    return flat(a) == flat(b)
-
-
 def spans(lengths: Column) -> Column:
     """Begin and end of each of the parts of these lengths that stand side by side."""
     upto = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, n: a + n)

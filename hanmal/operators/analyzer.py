@@ -14,6 +14,8 @@ from . import sentence as S
 from .batches import with_columns
 from .resources import Dictionaries
 
+#: Restored characters that a worker keeps.
+MOST_KNOWN = 1 << 20
 RESTORED = "struct<chr:string,tag:int,bi:int>"
 MORPH = "struct<lex:string,tag:string,first_char:int,last_char:int>"
 
@@ -48,17 +50,52 @@ def apply_errpatch(sents: DataFrame, d: Dictionaries) -> DataFrame:
 def restore(sents: DataFrame, d: Dictionaries, use_dic: bool = True) -> DataFrame:
     """restored: for each character the characters it stands for; missing: whether it is a composite that d lacks."""
 
+    def one(chr_: str, tag: int) -> tuple[list[dict], bool]:
+        return [{"chr": c, "tag": t, "bi": b} for c, t, b in S.restore(chr_, tag, d, use_dic)], tag > 2 * T.N_TAGS and (chr_, tag) not in d.restored
+
+    known: dict[tuple[str, int], tuple[list[dict], bool]] = {}
+
     def fn(words, tags):
-        got = [[[dict(zip(("chr", "tag", "bi"), r, strict=True)) for r in S.restore(c, t, d, use_dic)] for c, t in zip(w, ts, strict=True)] for w, ts in zip(words, tags, strict=True)]
-        return got, [[t > 2 * T.N_TAGS and (c, t) not in d.restored for c, t in zip(w, ts, strict=True)] for w, ts in zip(words, tags, strict=True)]
+        got, missing = [], []
+        for word, own in zip(words, tags, strict=True):
+            pairs = list(zip(word, own, strict=True))
+            for x in pairs:
+                if x not in known:
+                    known[x] = one(*x)
+            got.append([known[x][0] for x in pairs])
+            missing.append([known[x][1] for x in pairs])
+        if len(known) > MOST_KNOWN:
+            known.clear()
+        return got, missing
 
     return _each(sents, fn, f"`restored` array<array<array<{RESTORED}>>>, `missing` array<array<boolean>>")
 
 
+def restored_alike(sents: DataFrame, d: Dictionaries) -> DataFrame:
+    """same: of each word whether it restores to the same characters and tags with the dictionary and without."""
+    plain = lambda c, t, on: [r[:2] for r in S.restore(c, t, d, on)]
+    known: dict[tuple[str, int], bool] = {}
+
+    def alike(word: str, own: list[int]) -> bool:
+        every = True
+        for x in zip(word, own, strict=True):
+            if x not in known:
+                known[x] = plain(*x, True) == plain(*x, False)
+            every = every and known[x]
+        return every or [r for x in zip(word, own, strict=True) for r in plain(*x, True)] == [r for x in zip(word, own, strict=True) for r in plain(*x, False)]
+
+    def fn(words, tags):
+        if len(known) > MOST_KNOWN:
+            known.clear()
+        return ([alike(w, t) for w, t in zip(words, tags, strict=True)],)
+
+    return _each(sents, fn, "`same` array<boolean>")
+
+
 def make_morphs(sents: DataFrame, d: Dictionaries, use_dic: bool = True) -> DataFrame:
     """morphs: of each word its morphemes, with the first and last character they come from."""
-    names = ("lex", "tag", "first_char", "last_char")
-    return _each(sents, lambda w, t: ([[dict(zip(names, m, strict=True)) for m in S.morphs(x, y, d, use_dic)] for x, y in zip(w, t, strict=True)],), f"`morphs` array<array<{MORPH}>>")
+    row = lambda m: {"lex": m[0], "tag": m[1], "first_char": m[2], "last_char": m[3]}
+    return _each(sents, lambda w, t: ([[row(m) for m in S.morphs(x, y, d, use_dic)] for x, y in zip(w, t, strict=True)],), f"`morphs` array<array<{MORPH}>>")
 
 
 def sentence_tags(words: Column) -> Column:
@@ -71,11 +108,20 @@ def sentence_tags(words: Column) -> Column:
     return F.when(F.size(words) == 0, end).otherwise(F.concat(end, body, end))
 
 
-def contexts(ids: Column, window: int) -> Column:
-    """For each of a sentence's ids those of `window` characters on each side, across words, 0 beyond the sentence."""
-    pad = F.array_repeat(F.lit(0), window)
-    padded = F.concat(pad, ids, pad)
-    return F.transform(ids, lambda _, i: F.slice(padded, i + 1, 2 * window + 1))
+def contexts(sents: DataFrame, ids: str, window: int, into: str = "contexts") -> DataFrame:
+    """sents with `into`: for each id of each word (arrays of arrays) those of `window` characters on each side, across the sentence's words, 0 beyond it."""
+
+    def one(words: list[list[int]] | None):
+        if words is None:
+            return None
+        padded = [0] * window + [i for w in words for i in w] + [0] * window
+        out, at = [], 0
+        for w in words:
+            out.append([padded[i : i + 2 * window + 1] for i in range(at, at + len(w))])
+            at += len(w)
+        return out
+
+    return with_columns(sents, [ids], lambda cols: [[one(x) for x in cols[0]]], f"`{into}` array<array<array<int>>>")
 
 
 def bound_masks(char_idx: Column, word_len: Column, window: int) -> tuple[Column, Column]:

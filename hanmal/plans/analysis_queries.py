@@ -150,11 +150,9 @@ def errpatch_apply(spark, sf_dir):
 @query(f"WITH {HWORDS}, {HCHARS}, i AS (SELECT *, unicode(chr) % 1000 AS id FROM hchars) SELECT {_W}, char_idx, concat_ws(' ', {', '.join(f'coalesce({f}(id, {k}) OVER w, 0)' if k else 'id' for f, k in [('lag', 4), ('lag', 3), ('lag', 2), ('lag', 1), ('', 0), ('lead', 1), ('lead', 2), ('lead', 3), ('lead', 4)])}) AS context FROM i WINDOW w AS (PARTITION BY {_S} ORDER BY word_idx, char_idx)")
 def context_windows(spark, sf_dir):
     """Four characters on each side, across words."""
-    s = hangul_sentences(spark, sf_dir)
-    ids = F.flatten(F.transform("words", lambda w: F.transform(F.split(w, ""), lambda c: F.ascii(c) % 1000)))
-    at = F.flatten(F.transform("words", lambda w, k: F.transform(F.split(w, ""), lambda _, i: F.struct(k.alias("word_idx"), i.alias("char_idx")))))
-    each = s.select(*SENT, F.explode(F.arrays_zip(at.alias("at"), analyzer.contexts(ids, 4).alias("context"))).alias("x"))
-    return each.select(*SENT, "x.at.*", F.array_join("x.context", " ").alias("context"))
+    s = hangul_sentences(spark, sf_dir).withColumn("ids", F.transform("words", lambda w: F.transform(F.split(w, ""), lambda c: F.ascii(c) % 1000)))
+    c = analyzer.char_rows(analyzer.contexts(s.select(*SENT, "words", "ids"), "ids", 4), SENT, "contexts")
+    return c.select(*WORD, "char_idx", F.array_join("contexts", " ").alias("context"))
 
 
 @query(f"WITH {HWORDS}, {HCHARS} SELECT {_W}, char_idx, CASE WHEN 4 - char_idx >= 0 THEN 4 - char_idx ELSE -1 END AS left_mask, CAST(CASE WHEN 4 + length(word) - char_idx - 1 <= 8 THEN 4 + length(word) - char_idx - 1 ELSE -1 END AS INTEGER) AS right_mask FROM hchars")

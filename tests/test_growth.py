@@ -38,3 +38,54 @@ def test_patches_of_tables(spark):
     assert [r.wid[-1] if r.wid else r.content for r in got] == ["0", "<p>", "1", "2", "3", "4", "5", "7", "</p>"]
     assert sorted(r.wid[-1] for r in patch.leftovers(new, made).collect()) == ["6"]
     assert made.where(F.col("doc").isNull()).count() == 0
+
+
+def test_ids_are_looked_up_once(monkeypatch):
+    from hanmal.operators import tagger
+    from hanmal.plans.tagger_queries import model
+
+    seen = []
+    monkeypatch.setattr(tagger, "BLOCK", 16)
+    monkeypatch.setattr(type(model()), "codes", lambda self, own=type(model()).codes: seen.append(1) or own(self))
+    sents = [["가나다라", "뷁"], [], ["거너" * 40]]
+    got = tagger.predict(model(), sents, [[[0] * len(w) for w in s] for s in sents])
+    assert len(seen) == 1 and [[len(w) for w in s] for s in got] == [[4, 1], [], [80]]
+    monkeypatch.setattr(tagger, "BLOCK", 4096)
+    assert got == tagger.predict(model(), sents, [[[0] * len(w) for w in s] for s in sents])
+
+
+def test_batches_are_cut_by_size():
+    import pyarrow as pa
+
+    from hanmal.operators.batches import pieces
+
+    batch = pa.RecordBatch.from_pydict({"a": list(range(50)), "t": ["x" * (1000 if i != 7 else 50_000) for i in range(50)]})
+    got = list(pieces(batch, [1], 8000))
+    assert [x for p in got for x in p.column(0).to_pylist()] == list(range(50))
+    assert all(p.num_rows == 1 or p.column(1).nbytes <= 8000 for p in got) and len(got) < 20
+
+
+def test_contexts_are_linear(spark):
+    """A long line: the padded sentence is made once, not for each character."""
+    import time
+
+    from hanmal.operators import analyzer
+
+    df = spark.createDataFrame([([[1, 2], [3]],), ([],), ([[k % 9 for k in range(60_000)]],)], "ids array<array<int>>")
+    began = time.time()
+    got = [r.contexts for r in analyzer.contexts(df, "ids", 2).collect()]
+    assert got[:2] == [[[[0, 0, 1, 2, 3], [0, 1, 2, 3, 0]], [[1, 2, 3, 0, 0]]], []] and len(got[2][0]) == 60_000 and time.time() - began < 60
+
+
+def test_restored_alike(spark):
+    from hanmal.operators import analyzer
+    from hanmal.operators.resources import Dictionaries
+
+    d = Dictionaries(restored={("됐", 93): [("되", 37, 1), ("었", 2, 1)], ("가", 93): [("가", 37, 1)]}, firsts={93: 83})
+    df = spark.createDataFrame([(["됐", "가", "나", "가됐"], [[93], [93], [93], [50, 93]])], "words array<string>, tags array<array<int>>")
+    assert analyzer.restored_alike(df, d).first().same == [False, True, True, False]
+
+
+@pytest.mark.parametrize("name", ["cnn_tags", "same_restored", "analyze_patched", "restore_chars", "context_windows"])
+def test_small_tables_are_spread(spark, sf, name):
+    assert "REPARTITION_BY_NUM" in plan(plans.QUERIES[name](spark, sf))
