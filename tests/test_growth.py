@@ -89,3 +89,37 @@ def test_restored_alike(spark):
 @pytest.mark.parametrize("name", ["cnn_tags", "same_restored", "analyze_patched", "restore_chars", "context_windows"])
 def test_small_tables_are_spread(spark, sf, name):
     assert "REPARTITION_BY_NUM" in plan(plans.QUERIES[name](spark, sf))
+
+
+def test_matching_blocks_are_those_of_difflib(monkeypatch):
+    import difflib
+    import random
+
+    from hanmal.operators import mining
+
+    r = random.Random(5)
+    for few in (1, 128):
+        monkeypatch.setattr(mining, "FEW", few)
+        for t in range(1500):
+            kinds, n = r.choice([1, 2, 3, 5, 20, 200]), r.choice([0, 1, 5, 12, 30]) if t % 40 else 250
+            a = [str(r.randrange(kinds)) for _ in range(n)]
+            b = list(a) if r.random() < 0.6 else [str(r.randrange(kinds)) for _ in range(r.choice([0, 3, 12]))]
+            for _ in range(r.randrange(5) if b else 0):
+                i = r.randrange(len(b) + 1)
+                b[i : i + r.randrange(3)] = [str(r.randrange(kinds + 1)) for _ in range(r.randrange(3))]
+            assert mining.matching_blocks(a, b) == [tuple(x) for x in difflib.SequenceMatcher(None, a, b).get_matching_blocks()]
+
+
+def test_long_repetitive_sentence_is_mined():
+    """8,000 words of 50 kinds: took over a minute when each row was compared item by item."""
+    import time
+
+    from hanmal.operators import mining
+
+    words = [(str(i * i % 101 % 50), [f"{i * i % 101 % 50}/NNG"], [f"{i * i % 101 % 50}/NN{'P' if i % 7 == 0 else 'G'}"]) for i in range(8000)]
+    began = time.process_time()
+    assert len(list(mining.sentence_triples(words))) > 1000 and time.process_time() - began < 30
+
+
+def test_mining_groups_only_triples(spark, sf):
+    assert plan(plans.QUERIES["extract_errpatch"](spark, sf)).count("hashpartitioning") == 1
