@@ -45,6 +45,13 @@ def render(morphs: Column, simple: bool = False) -> Column:
     return F.array_join(F.transform(morphs, lambda m: F.when(m["tag"] == "", m["lex"]).otherwise(F.concat_ws("/", m["lex"], tag(m)))), " + ")
 
 
+def joined(morphs: Column) -> Column:
+    """Morphemes as lex/TAG joined by ' + '. The usual one or two are written out, as a lambda over an array is not compiled."""
+    one = lambda m: F.concat_ws("/", m["lex"], m["tag"])
+    a, b = F.get(morphs, F.lit(0)), F.get(morphs, F.lit(1))
+    return F.when(F.size(morphs) == 1, one(a)).when(F.size(morphs) == 2, F.concat_ws(" + ", one(a), one(b))).otherwise(F.array_join(F.transform(morphs, one), " + "))
+
+
 def raw_of(morphs: Column) -> Column:
     return F.array_join(F.transform(morphs, lambda m: m["lex"]), "")
 

@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _multiset(df: DataFrame, key: list[str], morphs: str, name: str) -> DataFrame:
-    return df.select(*key, F.explode(morphs).alias("morph")).groupBy(*key, "morph").agg(F.count(F.lit(1)).alias(name))
-
-
 def morph_counts(pairs: DataFrame, key: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """One row: n_gold, n_pred, n_match over words with two arrays of morphemes.
+    """One row: n_gold, n_pred, n_match over words with two arrays of morphemes. Each row is a word of its own, which key names.
 
     Morphemes of a word form a set in which one that occurs n > 1 times stands as n numbered ones. So a morpheme seen once on
-    one side and several times on the other matches nothing.
+    one side and several times on the other matches nothing. Words are counted where they are, only sums are shuffled.
     """
-    g, p = _multiset(pairs, key, gold, "g"), _multiset(pairs, key, pred, "p")
-    both = g.join(p, [*key, "morph"], "full_outer")
-    match = F.when((F.col("g") == 1) & (F.col("p") == 1), 1).when((F.col("g") > 1) & (F.col("p") > 1), F.least("g", "p")).otherwise(0)
-    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("g", "n_gold"), ("p", "n_pred"), (match, "n_match"))])
+    g, p = F.col(gold), F.col(pred)
+    times = lambda ms, m: F.size(F.filter(ms, lambda x: x == m))
+    both = lambda m: F.when((times(g, m) == 1) & (times(p, m) == 1), 1).when((times(g, m) > 1) & (times(p, m) > 1), F.least(times(g, m), times(p, m))).otherwise(0)
+    single = (F.size(g) == 1) & (F.size(p) == 1)
+    match = F.when(single, F.coalesce((g[0] == p[0]).cast("int"), F.lit(0))).otherwise(F.aggregate(F.array_distinct(g), F.lit(0), lambda n, m: n + both(m)))
+    size = lambda ms: F.when(ms.isNull(), 0).otherwise(F.size(ms))
+    cols = ((size(g), "n_gold"), (size(p), "n_pred"), (F.when(g.isNotNull() & p.isNotNull(), match).otherwise(0), "n_match"))
+    return pairs.select(*[c.alias(n) for c, n in cols]).agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for _, n in cols])
 
 
 def f_score(counts: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def fix_final_symbol(raw: Column, morphs: Column) -> Column:
     one_more = raw.startswith(flat) & (F.char_length(raw) == F.char_length(flat) + 1)
     end = F.substring(raw, -1, 1)
     tag = F.when((end == ".") & (F.element_at(morphs, -1)["tag"] == "EC"), "SF").when(end == ",", "SP").when(end == '"', "SS")
-    return F.when(one_more & tag.isNotNull(), F.concat(morphs, F.array(F.struct(end.alias("lex"), tag.alias("tag"))))).otherwise(morphs)
+    return F.when(tag.isNotNull() & one_more, F.concat(morphs, F.array(F.struct(end.alias("lex"), tag.alias("tag"))))).otherwise(morphs)
 
 
 def recover_from_raw(raw: Column, morphs: Column) -> Column:

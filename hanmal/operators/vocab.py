@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.morphs import joined
 from ..functions.text import chars, is_space
 from ..functions.tags import SIMPLE, TAGS
 from .sizes import small
@@ -40,12 +41,11 @@ def analyses(words: DataFrame) -> DataFrame:
 
     words: raw, morph_list array<struct<lex, tag>>.
     """
-    render = lambda m: F.array_join(F.transform(m, lambda x: F.concat_ws("/", x["lex"], x["tag"])), " + ")
     n = F.size("morph_list")
     last = F.element_at("morph_list", F.greatest(n, F.lit(1)))["lex"]
     cut = F.char_length("raw") - F.char_length(last)
-    whole = F.struct(F.col("raw"), render(F.col("morph_list")).alias("morphs"), F.lit(False).alias("is_pfx"))
-    prefix = F.struct(F.substring(F.col("raw"), F.lit(1), cut).alias("raw"), render(F.slice("morph_list", F.lit(1), F.greatest(n - 1, F.lit(0)))).alias("morphs"), F.lit(True).alias("is_pfx"))
+    whole = F.struct(F.col("raw"), joined(F.col("morph_list")).alias("morphs"), F.lit(False).alias("is_pfx"))
+    prefix = F.struct(F.substring(F.col("raw"), F.lit(1), cut).alias("raw"), joined(F.slice("morph_list", F.lit(1), F.greatest(n - 1, F.lit(0)))).alias("morphs"), F.lit(True).alias("is_pfx"))
     both = F.when((n >= 2) & F.col("raw").endswith(last) & (cut >= 4), F.array(whole, prefix)).otherwise(F.array(whole))
     return words.where(n > 0).select(F.explode(both).alias("a")).select("a.*").groupBy("raw", "morphs", "is_pfx").agg(F.count(F.lit(1)).alias("n"))
 

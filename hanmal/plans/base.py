@@ -102,16 +102,20 @@ def gold_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line_idx, word_idx, raw, morph_list, and pred, a flawed copy of it, of the documents in syllables."""
     each = doc_lines(spark, sf_dir).withColumn("line", hangul.from_latin(F.col("line")))
     w = each.select("doc_id", "line_idx", F.posexplode(text.words(F.col("line"))).alias("word_idx", "raw"))
-    core = F.regexp_replace("raw", "[.,?!]$", "")
-    end = F.substring(F.col("raw"), F.char_length(core) + 1, F.lit(1))
-    tag = F.when(core.rlike("^[0-9]+$"), "SN").otherwise("NNG")
-    flawed = F.when((F.col("doc_id") * 31 + F.col("word_idx")) % 7 == 0, "NNP").otherwise(tag)
+    # columns of their own, not expressions that would be written out wherever they are used
+    last = F.substring("raw", -1, 1)
+    w = w.withColumn("end", F.when(last.isin(".", ",", "?", "!"), last).otherwise(""))
+    w = w.withColumn("core", F.when(F.col("end") == "", F.col("raw")).otherwise(F.substring(F.col("raw"), F.lit(1), F.char_length("raw") - 1)))
+    core, end = F.col("core"), F.col("end")
+    w = w.withColumn("tag", F.when((core >= "0") & (core < ":") & core.rlike("^[0-9]+\\z"), "SN").otherwise("NNG"))
+    flawed = F.when((F.col("doc_id") * 31 + F.col("word_idx")) % 7 == 0, "NNP").otherwise(F.col("tag"))
 
     def morphs(t):
-        m = F.array(F.struct(core.alias("lex"), t.alias("tag")), F.struct(end.alias("lex"), F.when(end == ",", "SP").otherwise("SF").alias("tag")))
-        return F.filter(m, lambda x: x["lex"] != "")
+        one = F.struct(core.alias("lex"), t.alias("tag"))
+        final = F.struct(end.alias("lex"), F.when(end == ",", "SP").otherwise("SF").alias("tag"))
+        return F.when(end == "", F.array(one)).when(core == "", F.array(final)).otherwise(F.array(one, final))
 
-    return w.select("*", morphs(tag).alias("morph_list"), morphs(flawed).alias("pred"))
+    return w.select("doc_id", "line_idx", "word_idx", "raw", morphs(F.col("tag")).alias("morph_list"), morphs(flawed).alias("pred"))
 
 
 GOLD = rf"""{LINES},

@@ -2,13 +2,95 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import morphs as M
-
-
+from ..functions.tags import TAGS
+
+_ID, _JAMO, _TAGS = re.compile(M.WORD_ID, re.ASCII), re.compile(M.JAMO), frozenset(TAGS)
+
+
+# ---- one file, by its lines in order; the functions on tables below say what they do
+
+class Word(NamedTuple):
+    sent: int
+    word_idx: int
+    wid: str
+    raw: str | None
+    morphs: list[tuple[str, str]] | None
+    error: str | None
+
+
+@functools.lru_cache(1 << 16)
+def parsed(token: str) -> tuple[str, str, str | None]:
+    """lex, tag and error of a morpheme (morphs.parse_token for corpora)."""
+    lex, slash, tag = token.rpartition("/")
+    if not slash:
+        return "", "", "no tag" if token else "empty"
+    return lex, tag, "no lex" if lex == "" else "jamo" if _JAMO.search(lex) else None if tag in _TAGS else "bad tag"
+
+
+def file_words(lines: Iterable[str], check_codes: bool = True) -> Iterator[Word]:
+    """gold_words of a file."""
+    opened = closed = idx = 0
+    for line in lines:
+        if line in M.OPEN_TAGS:
+            opened, idx = opened + 1, 0
+        elif line in M.CLOSE_TAGS:
+            closed += 1
+        if opened <= closed or not _ID.match(line):
+            continue
+        cols = line.split("\t")
+        raw, morphs, error = cols[1] if len(cols) > 1 else None, None, "columns"
+        if len(cols) == 3:
+            found = [parsed(t) for t in cols[2].split(" + ")]
+            morphs = [(x, t) for x, t, _ in found]
+            error = "space" if " " in raw else next((e for _, _, e in found if e), None)
+        if check_codes and error is None:
+            flat = "".join(x for x, _ in morphs)
+            if raw != flat and len(raw) == len(flat) and unicodedata.normalize("NFKD", raw) == unicodedata.normalize("NFKD", flat):
+                error = "mismatch"
+        yield Word(opened - 1, idx, cols[0], raw, morphs, error)
+        idx += 1
+
+
+def good_words(words: Iterable[Word]) -> list[Word]:
+    """good_sentences of a file."""
+    words = list(words)
+    bad = {w.sent for w in words if w.error is not None}
+    return [w for w in words if w.sent not in bad]
+
+
+def file_training_words(lines: list[str], keep_last: bool = False) -> Iterator[tuple[int, int, str, list[str] | None]]:
+    """training_words of a file: sent, word_idx, raw and tags."""
+    blank = [line.strip(" ") == "" for line in lines]
+    last = len(lines) if keep_last else max((i for i, b in enumerate(blank) if b), default=0)
+    sent, idx = -1, 0
+    for i in range(last):
+        if blank[i]:
+            idx = 0
+            continue
+        sent += idx == 0
+        cols = lines[i].split("\t")
+        yield sent, idx, cols[0], cols[1].split(" ") if len(cols) > 1 else None
+        idx += 1
+
+
+def text_of(words: Iterable[tuple]) -> tuple[str, str]:
+    """sentence_text of a sentence's words: raw, and morphemes as text, come first in each."""
+    words = list(words)
+    return " ".join(w[0] for w in words), " + _ + ".join(" + ".join(w[1]) for w in words)
+
+
+# ---- tables
 
 def by_file():
     return Window.partitionBy("file").orderBy("line_no")

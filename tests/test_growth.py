@@ -123,3 +123,40 @@ def test_long_repetitive_sentence_is_mined():
 
 def test_mining_groups_only_triples(spark, sf):
     assert plan(plans.QUERIES["extract_errpatch"](spark, sf)).count("hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["score_report", "morph_fscore", "sentence_texts", "read_gold", "training_words", "final_symbols"])
+def test_words_are_not_shuffled_by_key(spark, sf, name):
+    assert "hashpartitioning" not in plan(plans.QUERIES[name](spark, sf))
+
+
+def test_morphemes_are_counted_by_word(spark):
+    from hanmal.operators import evaluate
+
+    rows = [(1, ["a"], ["a"]), (2, ["a"], ["a", "a"]), (3, ["a", "a", "b"], ["b", "a", "a", "a"]), (4, None, ["a"]), (5, [], []), (6, ["a", None], ["a", None]), (7, ["a"], ["b"])]
+    df = spark.createDataFrame(rows, "id int, gold array<string>, pred array<string>")
+    assert tuple(evaluate.morph_counts(df, ["id"]).first()) == (8, 11, 5)
+    assert tuple(evaluate.morph_counts(df.where("id = 0"), ["id"]).first()) == (0, 0, 0)
+
+
+def test_gold_words_are_taken_apart_once(spark, sf):
+    """The pattern of a final symbol stood in the plan for each use of the word's stem."""
+    from hanmal.plans.base import gold_words
+
+    assert plan(gold_words(spark, sf)).count("RLIKE") + plan(gold_words(spark, sf)).count("regexp_replace") <= 2
+
+
+def test_file_words_are_those_of_tables(spark):
+    from hanmal.sources import corpus
+
+    w = "AAAA0001-0000000"
+    lines = ["x", "<p>", f"{w}1\t가\t가/NNG", f"{w}2\t가 나\t가/NNG", "</p>", f"{w}3\t가\t가/NNG", "<l>", f"{w}4\t가", f"{w}5\ta\ta/XX", f"{w}6\ta/b\ta//b/SL + ./SF", f"{w}7\t가\t/NNG", f"{w}8\tㄱ\tᄀ/NNG + x", f"{w}9\tㄱ\tᄀ/NNG", "</l>", "<p>", "", f"{w}1\t\t", f"{w}2\tÅ\tÅ/SL", "<date>"]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no int, line string")
+    for codes in (False, True):
+        want = sorted(((r.sent, r.word_idx, r.wid, r.raw, None if r.morphs is None else [tuple(m) for m in r.morphs], r.error) for r in corpus.gold_words(df, codes).collect()), key=str)
+        assert sorted((tuple(x) for x in corpus.file_words(lines, codes)), key=str) == want and len(want) == 10
+        assert sorted(r.wid for r in corpus.good_sentences(corpus.gold_words(df, codes)).collect()) == sorted(x.wid for x in corpus.good_words(corpus.file_words(lines, codes)))
+    train = ["", "a\tX Y", "b", " ", "  ", "c\tZ\tq", "", "d\tX"]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(train)], "file string, line_no int, line string")
+    for last in (False, True):
+        assert sorted(((r.sent, r.word_idx, r.raw, r.tags) for r in corpus.training_words(df, last).collect()), key=str) == sorted(corpus.file_training_words(train, last), key=str)
