@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -43,16 +45,38 @@ class Scan:
             "b_begin": self.byte[begin] - self.byte[self.start[owner]], "b_len": sizes,
         }
 
-    def chars(self) -> dict[str, np.ndarray | pa.Array]:
-        inside = np.ones(len(self.cp), bool)
-        inside[self.end] = False
-        at = np.flatnonzero(inside)
-        owner = self.owner(at)
-        begin = self.byte[at] - self.byte[self.start[owner]]
-        return {"owner": owner, "char_idx": at - self.start[owner], "chr": self.strings(inside, self.width[at]), "b_begin": begin, "b_end": begin + self.width[at]}
+    def chars(self, most: int) -> Iterator[dict[str, np.ndarray | pa.Array]]:
+        """All characters, `most` at a time."""
+        for lo in range(0, len(self.cp), most):
+            at = np.arange(lo, min(lo + most, len(self.cp)))
+            owner = self.owner(at)
+            at, owner = at[at != self.end[owner]], owner[at != self.end[owner]]
+            if not len(at):
+                continue
+            begin, width = self.byte[at] - self.byte[self.start[owner]], self.width[at]
+            # whole characters from the first to the last; the newlines between texts are dropped
+            inside = np.zeros(at[-1] + 1 - at[0], bool)
+            inside[at - at[0]] = True
+            data = self.utf8[self.byte[at[0]] : self.byte[at[-1] + 1]][np.repeat(inside, self.width[at[0] : at[-1] + 1])]
+            offsets = np.concatenate(([0], np.cumsum(width)))
+            chr_ = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+            yield {"owner": owner, "char_idx": at - self.start[owner], "chr": chr_, "b_begin": begin, "b_end": begin + width}
+
+
+def as_lists(values: np.ndarray, sizes: np.ndarray, absent: np.ndarray | None = None) -> pa.Array:
+    """values cut into lists of these sizes; null where absent."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    mask = None if absent is None else pa.array(absent)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)), mask=mask)
 
 
-def chars_at_bytes(text: str, places: list[int]) -> list[int]:
-    """The numbers of the characters that begin at these byte offsets."""
-    scan = Scan([text])
-    return np.searchsorted(scan.byte, places).tolist()
+def chars_at_bytes(texts: list[str | None], places: list[list[int] | None]) -> pa.Array:
+    """For each text the numbers of the characters that begin at these byte offsets; null where either is."""
+    absent = np.fromiter((t is None or p is None for t, p in zip(texts, places, strict=True)), bool, len(texts))
+    scan = Scan(["" if gone else t for t, gone in zip(texts, absent, strict=True)])
+    sizes = np.fromiter((0 if gone else len(p) for p, gone in zip(places, absent, strict=True)), np.int64, len(texts))
+    flat = np.fromiter((x for p, gone in zip(places, absent, strict=True) if not gone for x in p), np.int64, int(sizes.sum()))
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    start, end = scan.start[owner], scan.end[owner]
+    found = np.searchsorted(scan.byte, flat + scan.byte[start])
+    return as_lists(np.clip(found, start, end + 2) - start, sizes, absent)

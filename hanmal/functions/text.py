@@ -12,6 +12,8 @@ from . import scan
 #: What separates words in the analyzer, and nothing else: no form feed, no no-break space.
 SPACES = " \t\x0b\r\n　"
 NOT_SPACE = "[^ \\t\\x0B\\r\\n\\u3000]+"
+#: Characters that are sent as rows at once.
+MOST_CHARS = 1 << 16
 #: What separates words in training data: all Unicode white space.
 TRAIN_NOT_SPACE = "[^\\s\\x1c-\\x1f\\x85\\p{Z}]+"
 
@@ -48,17 +50,17 @@ def tokenize(df: DataFrame, text: str, *keep: str) -> DataFrame:
 def char_table(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """One row for each character, up to the first NUL: char_idx, chr, b_begin, b_end."""
 
-    def fn(texts: list[str]) -> tuple:
-        c = scan.Scan(texts).chars()
-        return c["owner"], [pa.array(c[k], pa.int32()) if k != "chr" else c[k] for k in ("char_idx", "chr", "b_begin", "b_end")]
+    def fn(texts: list[str]):
+        for c in scan.Scan(texts).chars(MOST_CHARS):
+            yield c["owner"], [pa.array(c[k], pa.int32()) if k != "chr" else c[k] for k in ("char_idx", "chr", "b_begin", "b_end")]
 
     return rows_of(df, list(keep), text, fn, "char_idx int, chr string, b_begin int, b_end int")
 
 
-def byte_to_char(df: DataFrame, text: str, places: str, into: str) -> DataFrame:
-    """df with `into`: for each byte offset in the array `places` the number of the character that begins there."""
-    fn = lambda cols: [[None if t is None or p is None else scan.chars_at_bytes(t, p) for t, p in zip(*cols, strict=True)]]
-    return with_columns(df, [text, places], fn, f"`{into}` array<int>")
+def byte_to_char(df: DataFrame, text: str, places: str, into: str, **more: str) -> DataFrame:
+    """df with `into`: for each byte offset in the array `places` the number of the character that begins there. more: other arrays, and the columns for them, in the same pass."""
+    every = {places: into, **more}
+    return with_columns(df, [text, *every], lambda cols: [scan.chars_at_bytes(cols[0], c) for c in cols[1:]], ", ".join(f"`{x}` array<int>" for x in every.values()))
 
 
 def split_trailing(text: Column, delim: str) -> Column:

@@ -25,7 +25,7 @@ def pieces(batch: pa.RecordBatch, inputs: list[int], most: int = PIECE) -> Itera
     yield from pieces(batch.slice(half), inputs, most)
 
 
-def with_columns(df: DataFrame, inputs: list[str], fn: Callable[[list[list]], list[list]], added: str) -> DataFrame:
+def with_columns(df: DataFrame, inputs: list[str], fn: Callable[[list[list]], list[list | pa.Array]], added: str) -> DataFrame:
     """df and the columns of `added` (DDL), which fn computes from the lists of the input columns; of equal names the new one stays."""
     new = StructType.fromDDL(added)
     kept = [f for f in df.schema if f.name not in new.names]
@@ -39,14 +39,14 @@ def with_columns(df: DataFrame, inputs: list[str], fn: Callable[[list[list]], li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in pieces(b, at)):
             got = fn([batch.column(i).to_pylist() for i in at])
-            made = [pa.array(x, arrow.field(len(own) + k).type) for k, x in enumerate(got)]
+            made = [x.cast(arrow.field(len(own) + k).type) if isinstance(x, pa.Array) else pa.array(x, arrow.field(len(own) + k).type) for k, x in enumerate(got)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i).cast(arrow.field(k).type) for k, i in enumerate(own)], *made], schema=arrow)
 
     return plain.mapInArrow(run, out).toDF(*[f.name for f in kept], *new.names)
 
 
-def rows_of(df: DataFrame, keep: list[str], text: str, fn: Callable[[list[str]], tuple], made: str) -> DataFrame:
-    """Rows made of a text column. fn gets the texts (null as '') and returns the number of the text of each row, and the columns of `made` (DDL)."""
+def rows_of(df: DataFrame, keep: list[str], text: str, fn: Callable[[list[str]], tuple | Iterable[tuple]], made: str) -> DataFrame:
+    """Rows made of a text column. fn gets the texts (null as '') and returns the number of the text of each row, and the columns of `made` (DDL); or several of these, for rows that are many."""
     new = StructType.fromDDL(made)
     kinds = {f.name: f.dataType for f in df.schema}
     src = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[text].alias("text"))
@@ -55,10 +55,11 @@ def rows_of(df: DataFrame, keep: list[str], text: str, fn: Callable[[list[str]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in pieces(b, [len(keep)])):
-            owner, columns = fn([x or "" for x in batch.column(len(keep)).to_pylist()])
-            take = pa.array(owner)
-            own = [batch.column(i).take(take).cast(arrow.field(i).type) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*own, *columns], schema=arrow)
+            got = fn([x or "" for x in batch.column(len(keep)).to_pylist()])
+            for owner, columns in [got] if isinstance(got, tuple) else got:
+                take = pa.array(owner)
+                own = [batch.column(i).take(take).cast(arrow.field(i).type) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*own, *columns], schema=arrow)
 
     return src.mapInArrow(run, out).toDF(*keep, *new.names)
 

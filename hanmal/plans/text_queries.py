@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import hangul, tags, text
 from ..operators import vocab
-from .base import HCHARS, HWORDS, LINES, NSP, SP, WORD, WORDS, doc_lines, hangul_chars, hangul_words, load, query
+from .base import HCHARS, HWORDS, LINES, NSP, SP, WORD, WORDS, doc_lines, documents, hangul_chars, hangul_words, load, query
 from .fixtures import HANGUL_SQL
 
 
@@ -25,15 +26,13 @@ def trainer_words(spark, sf_dir):
 
 def word_places(lines, line: str):
     """lines with the byte offsets of their words as arrays."""
-    from ..functions.scan import Scan
+    from ..functions.scan import Scan, as_lists
     from ..operators.batches import with_columns
 
     def fn(cols):
-        out = [], []
-        for t in cols[0]:
-            w = Scan([t or ""]).words()
-            out[0].append(w["b_begin"].tolist()), out[1].append((w["b_begin"] + w["b_len"]).tolist())
-        return out
+        w = Scan([t or "" for t in cols[0]]).words()
+        sizes = np.bincount(w["owner"], minlength=len(cols[0]))
+        return [as_lists(w["b_begin"], sizes), as_lists(w["b_begin"] + w["b_len"], sizes)]
 
     return with_columns(lines, [line], fn, "b_begin array<int>, b_end array<int>")
 
@@ -44,7 +43,7 @@ _CHARS = "CAST(i - 1 AS INTEGER) AS char_idx, chr, CAST(sum(strlen(chr)) OVER w
 @query(f"WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS chr, generate_subscripts(string_split(text, ''), 1) AS i FROM documents) SELECT doc_id, {_CHARS} (PARTITION BY doc_id ORDER BY i)")
 def char_offsets(spark, sf_dir):
     """B2: characters with byte begin and end."""
-    return text.char_table(load(spark, sf_dir, "documents"), "text", "doc_id")
+    return text.char_table(documents(spark, sf_dir), "text", "doc_id")
 
 
 @query(f"WITH c AS (SELECT item_id, unnest(string_split(t, '')) AS chr, generate_subscripts(string_split(t, ''), 1) AS i FROM (SELECT item_id, substr(text, 1, CAST(item_id % 97 + 5 AS INTEGER)) AS t FROM benchmark)) SELECT item_id, {_CHARS} (PARTITION BY item_id ORDER BY i)")
@@ -67,7 +66,7 @@ def tokenize_until_nul(spark, sf_dir):
 def byte_to_char(spark, sf_dir):
     """Character offsets found from byte offsets."""
     nested = word_places(doc_lines(spark, sf_dir), "line")
-    at = text.byte_to_char(text.byte_to_char(nested, "line", "b_begin", "c_begin"), "line", "b_end", "c_end")
+    at = text.byte_to_char(nested, "line", "b_begin", "c_begin", b_end="c_end")
     each = at.select("doc_id", "line_idx", F.posexplode(F.arrays_zip("b_begin", "c_begin", "c_end")).alias("word_idx", "w")).select("doc_id", "line_idx", "word_idx", "w.*")
     return each.withColumn("c_len", F.col("c_end") - F.col("c_begin"))
 

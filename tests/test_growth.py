@@ -160,3 +160,24 @@ def test_file_words_are_those_of_tables(spark):
     df = spark.createDataFrame([("f", i, x) for i, x in enumerate(train)], "file string, line_no int, line string")
     for last in (False, True):
         assert sorted(((r.sent, r.word_idx, r.raw, r.tags) for r in corpus.training_words(df, last).collect()), key=str) == sorted(corpus.file_training_words(train, last), key=str)
+
+
+def test_characters_are_sent_in_parts(spark, monkeypatch):
+    from hanmal.functions import scan, text
+
+    texts = ["가a😀", "", "b\0c", "é" * 9, "", "x"]
+    want = [(k, i, c, len(t.partition("\0")[0][:i].encode())) for k, t in enumerate(texts) for i, c in enumerate(t.partition("\0")[0])]
+    for most in (1, 2, 3, 100):
+        parts = list(scan.Scan(texts).chars(most))
+        got = [(int(o), int(i), c, int(b)) for p in parts for o, i, c, b in zip(p["owner"], p["char_idx"], p["chr"].to_pylist(), p["b_begin"], strict=True)]
+        assert got == want and all(len(p["owner"]) <= most for p in parts)
+    assert text.char_table(spark.range(2).select("id", F.repeat(F.lit("가b"), 100_000).alias("t")), "t", "id").agg(F.count("*"), F.max("b_end"), F.max("char_idx")).first() == (400_000, 400_000, 199_999)
+
+
+def test_offsets_of_many_texts_at_once():
+    from hanmal.functions import scan
+
+    texts = ["가a😀", None, "", "b\0c", "ab", "x"]
+    places = [[0, 3, 4, 8, 99, -1], [1], [0, 5], [0, 1, 2, 3], None, []]
+    assert scan.chars_at_bytes(texts, places).to_pylist() == [[0, 1, 2, 3, 5, 0], None, [0, 2], [0, 1, 2, 3], None, []]
+    assert len(scan.chars_at_bytes([], [])) == 0
