@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,12 +50,13 @@ def from_latin(text: Column) -> Column:
     return F.translate(F.lower(text), LETTERS, SYLLABLES)
 
 
+@functools.lru_cache(1 << 15)
+def _jamo(chr_: str) -> str:
+    at = ord(chr_) - 0xAC00
+    if not 0 <= at < 11172:
+        return chr_
+    return FIRST[at // 588] + MIDDLE[at % 588 // 28] + (LAST[at % 28 - 1] if at % 28 else "")
+
+
 def decompose_str(text: str) -> str:
-    out = []
-    for c in text:
-        at = ord(c) - 0xAC00
-        if 0 <= at < 11172:
-            out.append(FIRST[at // 588] + MIDDLE[at % 588 // 28] + (LAST[at % 28 - 1] if at % 28 else ""))
-        else:
-            out.append(c)
-    return "".join(out)
+    return "".join(map(_jamo, text))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hangul import decompose_str as jamo
 from ..functions.tags import SENT_DELIM, SIMPLE, WORD_DELIM
-from .batches import with_columns
+from .batches import rows_from, with_columns
 from .resources import entries
 from .sizes import small
 from .vocab import number_variants, top_examples
@@ -230,12 +230,6 @@ def unmapped(aligned: DataFrame, raw: str = "raw", most: int = 10) -> DataFrame:
     return top_examples(aligned.where("chunk is not null"), ["chunk"], raw, most)
 
 
-def whole_sentences(aligned: DataFrame, sentence: list[str]) -> DataFrame:
-    """The words of sentences in which every word was aligned."""
-    bad = aligned.where("error is not null").select(*sentence).distinct()
-    return aligned.join(bad, sentence, "left_anti")
-
-
 def variants(aligned: DataFrame, order: list[str], raw: str = "raw", known: dict[tuple[str, str], dict[int, str]] | None = None) -> DataFrame:
     """chr, tag, vals, num and first_pos: what characters restore to, numbered for each (chr, tag) by first occurrence, after the known ones."""
     each = aligned.where("error is null").select(F.struct(*order).alias("__at"), F.posexplode(F.arrays_zip(F.split(raw, "").alias("chr"), "chars")).alias("i", "c"))
@@ -264,11 +258,54 @@ def tag_numbers(composites: list[str]) -> dict[str, int]:
     return {t: i for i, t in enumerate([*SIMPLE, *composites], 1)}
 
 
+#: A sentence's words: word_idx, raw, and morphemes as lex and tag.
+Words = list[tuple[int, str | None, Sequence[tuple[str, str]] | None]]
+
+
+def sentence_chars(words: Words, chunks: Chunks, whole: bool = True) -> list[tuple[int, str, list[tuple[str, str | None]]]]:
+    """word_idx, raw and char_tags of the words that can be aligned; whole: of none if one of them can't."""
+    out = []
+    for at, raw, morphs in words:
+        try:
+            if raw is None or morphs is None:
+                raise Misaligned("null")
+            out.append((at, raw, char_tags(raw, align(raw, morphs, chunks))))
+        except (Misaligned, ValueError, IndexError):
+            if whole:
+                return []
+    return out
+
+
+def _read(words: list[dict]) -> Words:
+    return [(w["word_idx"], w["raw"], None if w["morph_list"] is None else [(m["lex"], m["tag"]) for m in w["morph_list"]]) for w in words]
+
+
+def sentence_variants(sents: DataFrame, sentence: list[str], words: str = "words", read: Callable[..., Words] = _read, chunks: Chunks | None = None, whole: bool = True) -> DataFrame:
+    """variants of a table of sentences, with the first word that each occurs in (example). read: makes the words of what the column `words` holds. Only composites leave the workers."""
+    known = chunks or {}
+
+    def fn(own):
+        return ((at, raw, i, c, tag, vals) for at, raw, chars in sentence_chars(read(own), known, whole) for i, (c, (tag, vals)) in enumerate(zip(raw, chars, strict=True)) if vals is not None)
+
+    found = rows_from(sents, sentence, [words], lambda x: () if x is None else fn(x), "word_idx int, raw string, i int, chr string, tag string, vals string")
+    return number_variants(found.select("chr", "tag", "vals", "raw", F.struct(F.struct(*sentence, "word_idx").alias("__at"), "i").alias("pos")), "raw")
+
+
+def tag_sentences(sents: DataFrame, sentence: list[str], words: str = "words", read: Callable[..., Words] = _read, chunks: Chunks | None = None) -> tuple[DataFrame, DataFrame]:
+    """Training words (sentence, word_idx, raw, tags) of the sentences that can be aligned whole, and the restore table that is gathered from them. Sentences stay where they are."""
+    known, numbered = chunks or {}, sentence_variants(sents, sentence, words, read, chunks)
+    number = {(r["chr"], r["tag"], r["vals"]): r["num"] for r in entries(numbered.select("chr", "tag", "vals", "num"))}
+
+    def fn(own):
+        for at, raw, chars in sentence_chars(read(own), known):
+            yield at, raw, [tag if vals is None else f"{tag}:{number[c, tag, vals]}" for c, (tag, vals) in zip(raw, chars, strict=True)]
+
+    return rows_from(sents, sentence, [words], lambda x: () if x is None else fn(x), "word_idx int, raw string, tags array<string>"), numbered
+
+
 def tag_corpus(words: DataFrame, sentence: list[str], chunks: Chunks | None = None) -> tuple[DataFrame, DataFrame]:
-    """Training words with tags, of the sentences that could be aligned whole, and the restore table that was gathered from them."""
-    aligned = whole_sentences(align_words(words, chunks=chunks), sentence)
-    numbered = variants(aligned, [*sentence, "word_idx"])
-    return tag_words(aligned, numbered), numbered
+    """tag_sentences of a table of words (word_idx, raw, morph_list)."""
+    return tag_sentences(words.groupBy(*sentence).agg(F.collect_list(F.struct("word_idx", "raw", "morph_list")).alias("words")), sentence, chunks=chunks)
 
 
 def compile_preanal(words: DataFrame, known: dict[tuple[str, str], dict[int, str]], tags: dict[str, int], chunks: Chunks | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:

@@ -75,9 +75,10 @@ def prune(entries: DataFrame) -> DataFrame:
     return near.where(~F.col("gone")).select("raw", "is_pfx", "morphs", "freq").join(dead, ["raw", "is_pfx"], "left_anti")
 
 
-def number_variants(pairs: DataFrame) -> DataFrame:
-    """pairs (chr, tag, vals, pos) with num: variants of each (chr, tag), numbered in order of their first position."""
-    first = pairs.groupBy("chr", "tag", "vals").agg(F.min("pos").alias("first_pos"))
+def number_variants(pairs: DataFrame, example: str | None = None) -> DataFrame:
+    """pairs (chr, tag, vals, pos) with num: variants of each (chr, tag), numbered in order of their first position. example: a column whose value there is kept."""
+    more = [F.min_by(example, "pos").alias("example")] if example else []
+    first = pairs.groupBy("chr", "tag", "vals").agg(F.min("pos").alias("first_pos"), *more)
     return first.withColumn("num", F.row_number().over(Window.partitionBy("chr", "tag").orderBy("first_pos", "vals")) - 1)
 
 

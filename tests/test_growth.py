@@ -181,3 +181,19 @@ def test_offsets_of_many_texts_at_once():
     places = [[0, 3, 4, 8, 99, -1], [1], [0, 5], [0, 1, 2, 3], None, []]
     assert scan.chars_at_bytes(texts, places).to_pylist() == [[0, 1, 2, 3, 5, 0], None, [0, 2], [0, 1, 2, 3], None, []]
     assert len(scan.chars_at_bytes([], [])) == 0
+
+
+def test_sentences_are_aligned_in_place(spark, sf):
+    assert "hashpartitioning" not in plan(plans.QUERIES["tag_corpus"](spark, sf))
+    for name in ("restore_table", "restore_examples"):
+        assert plan(plans.QUERIES[name](spark, sf)).count("MapInArrow") == 1
+
+
+def test_tag_corpus_of_tables(spark):
+    from hanmal.operators import align
+
+    rows = [(1, 0, "한", [("하", "VV"), ("ㄴ", "ETM")]), (1, 1, "가", [("가", "NNG")]), (2, 0, "나", [("나", "NP")]), (2, 1, None, [("가", "NNG")]), (3, 0, "가나", [("가", "NNG")]), (4, 0, "한", [("하", "VX"), ("ㄴ", "ETM")]), (5, 0, "한", None)]
+    df = spark.createDataFrame(rows, "s int, word_idx int, raw string, morph_list array<struct<lex:string,tag:string>>")
+    words, table = align.tag_corpus(df, ["s"])
+    assert sorted((r.s, r.word_idx, r.raw, r.tags) for r in words.collect()) == [(1, 0, "한", ["I-VV:I-ETM:0"]), (1, 1, "가", ["I-NNG"]), (4, 0, "한", ["I-VX:I-ETM:0"])]
+    assert sorted((r.chr, r.tag, r.vals, r.num) for r in table.collect()) == [("한", "I-VV:I-ETM", "하/I-VV ㄴ/I-ETM", 0), ("한", "I-VX:I-ETM", "하/I-VX ㄴ/I-ETM", 0)]
