@@ -93,3 +93,17 @@ def rows_from(df: DataFrame, keep: list[str], inputs: list[str], fn: Callable[..
                 yield sent()
 
     return src.mapInArrow(run, out).toDF(*keep, *new.names)
+
+
+def rows_of_parts(df: DataFrame, inputs: list[str], fn: Callable[[list[list]], list[tuple]], made: str) -> DataFrame:
+    """Rows that fn makes of each part of a batch, columns `made` (DDL): sums over many rows, to be added up."""
+    new = StructType.fromDDL(made)
+    arrow = to_arrow_schema(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in pieces(b, list(range(len(inputs))))):
+            rows = fn([c.to_pylist() for c in batch.columns])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, arrow.field(k).type) for k, x in enumerate(zip(*rows, strict=True))], schema=arrow)
+
+    return df.select(*inputs).mapInArrow(run, new)

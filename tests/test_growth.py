@@ -197,3 +197,13 @@ def test_tag_corpus_of_tables(spark):
     words, table = align.tag_corpus(df, ["s"])
     assert sorted((r.s, r.word_idx, r.raw, r.tags) for r in words.collect()) == [(1, 0, "한", ["I-VV:I-ETM:0"]), (1, 1, "가", ["I-NNG"]), (4, 0, "한", ["I-VX:I-ETM:0"])]
     assert sorted((r.chr, r.tag, r.vals, r.num) for r in table.collect()) == [("한", "I-VV:I-ETM", "하/I-VV ㄴ/I-ETM", 0), ("한", "I-VX:I-ETM", "하/I-VX ㄴ/I-ETM", 0)]
+
+
+def test_evidence_is_counted_in_the_workers(spark, sf):
+    from hanmal.operators import mining
+
+    df = spark.createDataFrame([([1, 2, 1, 2, 3], [5, 6, 5, 9, 3]), ([], []), (None, [1]), ([2, 1, 2], [0, 5, 6])], "mix array<bigint>, gold array<bigint>")
+    got = {tuple(r.left): (r.n_right, r.n_wrong) for r in mining.patch_evidence(df, {(1, 2): [5, 6], (3,): [1], (9,): [9]}).collect()}
+    assert got == {(1, 2): (2, 1), (3,): (0, 1)}
+    found = plan(plans.QUERIES["validate_patches"](spark, sf))
+    assert found.count("MapInArrow") == 1 and "Generate explode" not in found.split("MapInArrow")[0]
