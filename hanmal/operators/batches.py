@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -74,21 +76,22 @@ def rows_from(df: DataFrame, keep: list[str], inputs: list[str], fn: Callable[..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in pieces(b, list(range(n, n + len(inputs))))):
-            owner: list[int] = []
+            owners: list[tuple[int, int]] = []
             rows: list[tuple] = []
 
             def sent() -> pa.RecordBatch:
-                columns = list(zip(*rows, strict=True)) or [()] * len(new)
-                take = pa.array(owner, pa.int32())
+                take = pa.array(np.repeat(*np.array(owners, np.int32).T))
                 own = [batch.column(i).take(take).cast(arrow.field(i).type) for i in range(n)]
-                return pa.RecordBatch.from_arrays([*own, *[pa.array(x, arrow.field(n + k).type) for k, x in enumerate(columns)]], schema=arrow)
+                return pa.RecordBatch.from_arrays([*own, *[pa.array(x, arrow.field(n + k).type) for k, x in enumerate(zip(*rows, strict=True))]], schema=arrow)
 
             for at, given in enumerate(zip(*[batch.column(n + i).to_pylist() for i in range(len(inputs))], strict=True)):
-                for row in fn(*given):
-                    owner.append(at), rows.append(row)
+                found = iter(fn(*given))
+                while got := list(islice(found, MOST_ROWS - len(rows))):
+                    owners.append((at, len(got)))
+                    rows += got
                     if len(rows) >= MOST_ROWS:
                         yield sent()
-                        owner, rows = [], []
+                        owners, rows = [], []
             if rows:
                 yield sent()
 

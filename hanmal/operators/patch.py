@@ -63,12 +63,12 @@ def _short(wid: str | None) -> str | None:
 
 def _between(lines: Lines, i: int) -> bool:
     """Whether line i ends a sentence between two words."""
-    return lines[i][0] == "EOS" and 0 < i < len(lines) - 2 and lines[i - 1][0] == "WORD" and lines[i + 1][0] == "BOS" and lines[i + 2][0] == "WORD"
+    return 0 < i < len(lines) - 2 and lines[i][0] == "EOS" and lines[i - 1][0] == "WORD" and lines[i + 1][0] == "BOS" and lines[i + 2][0] == "WORD"
 
 
 def document_boundaries(lines: Lines) -> set[tuple[str | None, str | None]]:
     """Ids before and after each sentence boundary between two words."""
-    return {(_short(lines[i - 1][1]), _short(lines[i + 2][1])) for i in range(len(lines)) if _between(lines, i)}
+    return {(_short(lines[i - 1][1]), _short(lines[i + 2][1])) for i, x in enumerate(lines) if x[0] == "EOS" and _between(lines, i)}
 
 
 def document_sentences(old: Lines, new: Lines) -> Patches:
@@ -93,7 +93,7 @@ def _named(patches: Patches, op: str) -> dict:
 def document_merged(lines: Lines, patches: Patches) -> Lines:
     """lines without the boundaries that M patches name."""
     pairs = {(w, c) for op, w, c in patches if op == "M" and w is not None and c is not None}
-    gone = {k for i in range(len(lines)) if pairs and _between(lines, i) and (_short(lines[i - 1][1]), _short(lines[i + 2][1])) in pairs for k in (i, i + 1)}
+    gone = {k for i, x in enumerate(lines) if pairs and x[0] == "EOS" and _between(lines, i) and (_short(lines[i - 1][1]), _short(lines[i + 2][1])) in pairs for k in (i, i + 1)}
     return [x for i, x in enumerate(lines) if i not in gone] if gone else lines
 
 
@@ -101,19 +101,24 @@ def document_replaced(lines: Lines, patches: Patches) -> Lines:
     """lines without the words that - patches name and with the contents of = patches."""
     gone, new = _named(patches, "-"), _named(patches, "=")
     got = []
-    for kind, wid, content in lines:
-        if wid is None or wid not in gone:
-            c = None if wid is None else new.get(wid)
-            got.append((kind, wid, content if c is None else c))
+    for x in lines:
+        wid = x[1]
+        if wid is None:
+            got.append(x)
+        elif wid not in gone:
+            c = new.get(wid)
+            got.append(x if c is None else (x[0], wid, c))
     return got
 
 
 def document_split(lines: Lines, patches: Patches) -> Lines:
     """lines with </p> and <p> before the words that S patches name, if the named word is before."""
     pairs = {(w, c[:ID_LEN]) for op, w, c in patches if op == "S" and w is not None and c is not None}
+    if not pairs:
+        return lines
     out: Lines = []
     for i, x in enumerate(lines):
-        if pairs and i and x[0] == "WORD" and lines[i - 1][0] == "WORD" and (_short(lines[i - 1][1]), _short(x[1])) in pairs:
+        if i and x[0] == "WORD" and lines[i - 1][0] == "WORD" and (_short(lines[i - 1][1]), _short(x[1])) in pairs:
             out += [("EOS", None, "</p>"), ("BOS", None, "<p>")]
         out.append(x)
     return out
@@ -130,10 +135,12 @@ def document_inserted(lines: Lines, patches: Patches) -> Lines:
     if not after:
         return lines
     out = after.get(-1, [])
-    for i, x in enumerate(lines):
-        out.append(x)
-        out += after.get(i, ())
-    return out
+    at = 0
+    for i in sorted(i for i in after if i >= 0):
+        out += lines[at : i + 1]
+        out += after[i]
+        at = i + 1
+    return out + lines[at:]
 
 
 def document_applied(lines: Lines, patches: Patches) -> Lines:

@@ -46,12 +46,17 @@ def _word(raw: str, flawed: bool) -> Word:
     return raw, gold, [core + "/NNP", *tail] if flawed else gold
 
 
-def word_id(doc: int, seq: int) -> str:
-    return "AAAA%04d-%08d" % ((doc % 10000 if doc >= 0 else -(-doc % 10000)), seq)
+def content(raw: str) -> str:
+    """A word's line without its id."""
+    last = raw[-1]
+    if last not in ".,?!":
+        return f"{raw}\t{raw}/SN" if raw.isascii() and raw.isdigit() else f"{raw}\t{raw}/NNG"
+    return raw + "\t" + " + ".join(_word(raw, False)[1])
 
 
-def content(word: Word) -> str:
-    return word[0] + "\t" + " + ".join(word[1])
+def word_ids(doc: int) -> str:
+    """What the ids of a document's words begin with."""
+    return "AAAA%04d-" % (doc % 10000 if doc >= 0 else -(-doc % 10000))
 
 
 BOS, EOS = ("BOS", None, "<p>"), ("EOS", None, "</p>")
@@ -60,9 +65,10 @@ BOS, EOS = ("BOS", None, "<p>"), ("EOS", None, "</p>")
 def corpus(doc: int, doc_text: str) -> Lines:
     """Typed lines of a document."""
     out: Lines = []
+    ids = word_ids(doc)
     for at, words in sentences(doc, doc_text):
         out.append(BOS)
-        out += [("WORD", word_id(doc, at * 10000 + k), content(w)) for k, w in enumerate(words)]
+        out += [("WORD", f"{ids}{at * 10000 + k:08d}", content(w[0])) for k, w in enumerate(words)]
         out.append(EOS)
     return out
 
@@ -71,8 +77,11 @@ def corpora(doc: int, doc_text: str) -> tuple[Lines, Lines]:
     """A document's typed lines and an edited version: words changed, gone and new, boundaries merged and split."""
     old: Lines = []
     new: Lines = []
-    before, merged = None, False
-    for at, words in sentences(doc, doc_text):
+    before, merged, ids = None, False, word_ids(doc)
+    for at, line in enumerate(doc_text.split("\n")):
+        words = _WORD.findall(line)
+        if not words:
+            continue
         long = len(words) >= 6
         if before is not None:
             merged = (doc + before) % 5 == 0
@@ -82,16 +91,19 @@ def corpora(doc: int, doc_text: str) -> tuple[Lines, Lines]:
             new.append(BOS)
         before = at
         old.append(BOS)
-        for k, w in enumerate(words):
+        for k, raw in enumerate(words):
             seq = at * 10000 + k
-            own = ("WORD", word_id(doc, seq), content(w))
+            own = ("WORD", f"{ids}{seq:08d}", content(raw))
             old.append(own)
-            if long and k == 4 and at % 4 == 1:
-                new += [EOS, BOS]
-            if not (long and seq % 11 == 3 and k > 4):
+            if long:
+                if k == 4 and at % 4 == 1:
+                    new += [EOS, BOS]
+                if k <= 4 or seq % 11 != 3:
+                    new.append(("WORD", own[1], own[2] + "X") if seq % 7 == 2 else own)
+                if k == 1 and seq % 13 == 5:
+                    new.append(("WORD", own[1] + "a", "new"))
+            else:
                 new.append(("WORD", own[1], own[2] + "X") if seq % 7 == 2 else own)
-            if long and k == 1 and seq % 13 == 5:
-                new.append(("WORD", own[1] + "a", "new"))
         old.append(EOS)
     if before is not None:
         new.append(EOS)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -29,7 +28,6 @@ class Word(NamedTuple):
     error: str | None
 
 
-@functools.lru_cache(1 << 16)
 def parsed(token: str) -> tuple[str, str, str | None]:
     """lex, tag and error of a morpheme (morphs.parse_token for corpora)."""
     lex, slash, tag = token.rpartition("/")
